@@ -17,11 +17,39 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source at equal weight, one epoch; the rows without their texts."""
+    from .mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents")
+    return mix_sources(docs).select("doc_id", "source", "copy", "shuffle_key")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_digest
 
     return token_file_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op9_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+def _oracles() -> dict[str, str]:
+    from .mixing import MIX_SQL
+
+    return {"op3_mixing": MIX_SQL}
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_best_fit_packing, op3_mixing, op5_media_columns, op6_simhash, op9_token_files)
+}
+ORACLE_SQL: dict[str, str] = _oracles()
