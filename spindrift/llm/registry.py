@@ -25,6 +25,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "source", "copy", "shuffle_key")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_digest
+
+    return warc_digest(table(spark, sf_dir, "pages"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_digest
 
@@ -43,13 +49,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _oracles() -> dict[str, str]:
     from .mixing import MIX_SQL
+    from .warc import WARC_SQL
 
-    return {"op3_mixing": MIX_SQL}
+    return {"op3_mixing": MIX_SQL, "op4_warc": WARC_SQL}
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_mixing, op5_media_columns, op6_simhash, op9_token_files)
+    f.__name__: f for f in (op1_best_fit_packing, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op9_token_files, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = _oracles()
