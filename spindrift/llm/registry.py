@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document, by its hash."""
+    from .lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.char_length(text).alias("n_kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_digest
 
@@ -63,6 +73,6 @@ def _oracles() -> dict[str, str]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op9_token_files, op10_toxicity)
+    f.__name__: f for f in (op1_best_fit_packing, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op8_line_dedup, op9_token_files, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = _oracles()
