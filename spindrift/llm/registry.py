@@ -18,6 +18,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source at equal weight, one epoch; the rows without their texts."""
     from .mixing import mix_sources
@@ -73,6 +79,6 @@ def _oracles() -> dict[str, str]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op8_line_dedup, op9_token_files, op10_toxicity)
+    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op8_line_dedup, op9_token_files, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = _oracles()
