@@ -192,7 +192,7 @@ def _strings(rows: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                 raw = t.encode()
                 for w in wanted:
                     p = w["pos"]
-                    out.append((w["gram"].to_bytes(8, "little", signed=True), w["single"], r, p, raw[max(0, p - reach) : p], raw[p : p + length], 0, reach))
+                    out.append((w["gram"].to_bytes(8, "big", signed=True), w["single"], r, p, raw[max(0, p - reach) : p], raw[p : p + length], 0, reach))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _STRING_TYPES)], names=_STRING_NAMES)
 
@@ -309,8 +309,8 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, length: int = LENGTH, most
 
 
 def _eight_bytes(col: str) -> Column:
-    """The bytes of a long, lowest first, as ``int.to_bytes(8, 'little')`` gives them."""
-    return F.reverse(F.unhex(F.lpad(F.hex(col), 16, "0")))
+    """The bytes of a long, highest first, as ``int.to_bytes(8, 'big')`` gives them."""
+    return F.unhex(F.lpad(F.hex(col), 16, "0"))
 
 
 def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
