@@ -50,6 +50,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document, by its hash."""
     from .lines import dedup_lines
@@ -79,6 +85,6 @@ def _oracles() -> dict[str, str]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op8_line_dedup, op9_token_files, op10_toxicity)
+    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op7_nn_descent, op8_line_dedup, op9_token_files, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = _oracles()
