@@ -31,7 +31,8 @@ _CHUNK = 127  # words whose counts fit the eight-bit lanes of a signed long
 
 def normalised(line: Column) -> Column:
     zeros = F.regexp_replace(F.lower(line), "[0-9]+", "0")
-    return F.trim(F.regexp_replace(zeros, r"[^\p{L}0]+", " "))
+    # Only what is not a single space: most runs between words are.
+    return F.trim(F.regexp_replace(zeros, r" *[^\p{L}0 ][^\p{L}0]*| {2,}", " "))
 
 
 def _lanes(hashes: Column) -> Column:
@@ -89,37 +90,82 @@ def _filed(fps: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose ``norm`` and ``norm2`` have that edit similarity; a small distance is tried first, which is fast for long texts."""
+    """The pairs whose ``norm`` and ``norm2`` have that edit similarity.
+
+    Words that both begin or end with do not change the distance and are left out,
+    one word at least being kept of each; a small bound is tried before the full one.
+    """
     most = F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(F.char_length("norm"), F.char_length("norm2"))).cast("int")
-    bounded = pairs.withColumn("_most", most).withColumn("_near", F.least(most, F.lit(32)))
-    return bounded.where("CASE WHEN levenshtein(norm, norm2, _near) >= 0 THEN true ELSE levenshtein(norm, norm2, _most) >= 0 END")
+    p = pairs.withColumns({"_most": most, "_a": F.split("norm", " "), "_b": F.split("norm2", " ")})
+    p = p.withColumn("_m", F.least(F.size("_a"), F.size("_b")) - 1)
+
+    def common(a: Column, b: Column, limit: Column) -> Column:
+        first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+        return F.least(F.when(first == 0, limit).otherwise(first - 1), limit)
+
+    p = p.withColumn("_p", common(F.col("_a"), F.col("_b"), F.col("_m")))
+    p = p.withColumn("_s", common(F.reverse("_a"), F.reverse("_b"), F.col("_m") - F.col("_p")))
+    inner = lambda w: F.array_join(F.slice(w, F.col("_p") + 1, F.size(w) - F.col("_p") - F.col("_s")), " ")
+    p = p.withColumns({"_a": inner("_a"), "_b": inner("_b"), "_near": F.least("_most", F.lit(16))})
+    return p.where("CASE WHEN levenshtein(_a, _b, _near) >= 0 THEN true ELSE levenshtein(_a, _b, _most) >= 0 END")
+
+
+def _first_meeting() -> Column:
+    """Whether a slot is the first that ``fp`` and ``fp2`` share: blocks before its second one differ, but for its first."""
+    differ = F.col("fp").bitwiseXOR(F.col("fp2"))
+    apart = [F.shiftrightunsigned(differ, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")) != 0 for first, width in _BLOCKS]
+    out = F.lit(True)
+    for t, (a, b) in enumerate(combinations(range(len(_BLOCKS)), 2)):
+        for k in set(range(b)) - {a}:
+            out = out & ((F.shiftright("slot", 26) != t) | apart[k])
+    return out
 
 
 def fuzzy_groups(scratch: Scratch, docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, group) of the distinct lines that have a fuzzy link; ``group`` is the least key."""
-    fps = distinct.select("fp").distinct()
-    filed = _filed(fps)
-    other = filed.select(F.col("fp").alias("fp2"), "slot")
-    near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE)
-    met = filed.join(other, "slot").where(near).select("fp", "fp2").distinct()
-    met = scratch.stage(met, "near")
-    lines = distinct.select("key", "fp", "doc_id", "pos")
-    # Different lines of one fingerprint meet as they are: each link is verified.
-    same = lines.alias("a").join(lines.alias("b"), (F.col("a.fp") == F.col("b.fp")) & (F.col("a.key") < F.col("b.key")))
-    named = [F.col("a.key").alias("key"), F.col("a.doc_id").alias("doc_id"), F.col("a.pos").alias("pos"), F.col("b.key").alias("key2"), F.col("b.doc_id").alias("doc_id2"), F.col("b.pos").alias("pos2")]
-    across = met.join(lines.alias("a"), F.col("a.fp") == met.fp).join(lines.alias("b"), F.col("b.fp") == met.fp2)
-    pairs = scratch.stage(same.select(*named).unionByName(across.select(*named)), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("key", F.col("key2").alias("group")).limit(0)
-
-    wanted = pairs.select("key", "doc_id", "pos").unionByName(pairs.select(F.col("key2").alias("key"), F.col("doc_id2").alias("doc_id"), F.col("pos2").alias("pos"))).distinct()
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("want"))
+    """(key, group) of the distinct lines that have a fuzzy link; ``group`` is the least key.
+
+    Pairs are only made where they can change a group. First each line meets the least
+    line of its fingerprint, and these those of the least fingerprint nearby. All other
+    pairs are made and verified if their ends are then still in different groups, so
+    that no link is lost and a group of very many variants makes no pairs of them all.
+    """
+    lines = distinct.select("key", "fp")
+    hubs = scratch.stage(lines.groupBy("fp").agg(F.min("key").alias("hub"), F.count("*").alias("n")), "hubs")
+    filed = _filed(hubs)
+    other = _filed(hubs).select(F.col("fp").alias("fp2"), F.col("slot").alias("slot2"))
+    near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE) & _first_meeting()
+    met = scratch.stage(filed.join(other, (F.col("slot") == F.col("slot2")) & near).select("fp", "fp2"), "near")
+
+    near_fps = met.select("fp").unionByName(met.select(F.col("fp2").alias("fp"))).unionByName(hubs.where("n > 1").select("fp")).distinct()
+    members = scratch.stage(distinct.join(near_fps, "fp").select("key", "fp", "doc_id", "pos"), "members")
+    if members.isEmpty():
+        return members.select("key", F.col("key").alias("group"))
+    by_doc = members.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("want"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, "doc_id")
     texts = texts.withColumn("lines", F.split("text", "\n", -1)).select("lines", F.explode("want").alias("w"))
-    texts = texts.select(F.col("w.key").alias("key"), normalised(F.get("lines", F.col("w.pos"))).alias("norm"))
-    texts = scratch.stage(texts.dropDuplicates(["key"]), "candidates")
-    both = pairs.select("key", "key2").join(texts, "key").join(texts.select(F.col("key").alias("key2"), F.col("norm").alias("norm2")), "key2")
-    links = _alike(both, similarity).select("key", "key2")
+    texts = texts.select(F.col("w.key").alias("key"), normalised(F.get("lines", F.col("w.pos"))).alias("norm")).where("norm is not null")
+    # Rows repeated under one id may hold other texts there; the key tells.
+    texts = scratch.stage(texts.where(F.unhex(F.md5(F.col("norm").cast("binary"))) == F.col("key")).dropDuplicates(["key"]), "candidates")
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(texts, "key").join(texts.select(F.col("key").alias("key2"), F.col("norm").alias("norm2")), "key2")
+        return scratch.stage(_alike(both, similarity).select("key", "key2"), "links")
+
+    own = members.select(F.col("key").alias("key2"), "fp").join(hubs.where("n > 1").select("fp", F.col("hub").alias("key")), "fp").where("key < key2").select("key", "key2")
+    hub = hubs.select("fp", "hub")
+    least = met.groupBy("fp2").agg(F.min("fp").alias("fp"))
+    star = least.join(hub.withColumnRenamed("hub", "key"), "fp").join(hub.select(F.col("fp").alias("fp2"), F.col("hub").alias("key2")), "fp2").select("key", "key2")
+    first = verified(own.unionByName(star))
+    joined = connected_components(scratch, first).withColumnRenamed("node", "key")
+    placed = scratch.stage(members.select("key", "fp").join(joined, "key", "left").select("key", "fp", F.coalesce("component", "key").alias("c")), "placed")
+
+    second = placed.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
+    same = placed.join(second, (F.col("fp") == F.col("fp2")) & (F.col("key") < F.col("key2")) & (F.col("c") != F.col("c2")))
+    sides = placed.groupBy("fp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    apart = met.join(sides, "fp").join(sides.select(F.col("fp").alias("fp2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "fp2")
+    apart = apart.where("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("fp", "fp2")
+    across = apart.join(placed.select("fp", "key", "c"), "fp").join(second, "fp2").where("c <> c2")
+    links = first.unionByName(verified(same.select("key", "key2").unionByName(across.select("key", "key2"))))
     return connected_components(scratch, links).select(F.col("node").alias("key"), F.col("component").alias("group"))
 
 

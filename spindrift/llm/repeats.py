@@ -31,7 +31,7 @@ from .tokens import sliced
 
 LENGTH = 400
 GRAM = 48
-MOST = 512
+MOST = 4096
 SEGMENT = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
