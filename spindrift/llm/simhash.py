@@ -31,20 +31,28 @@ SEED = 42
 
 
 
-def fingerprint(text: bytes, words_in_shingle: int) -> int:
-    """SimHash of lower-cased (A-Z) word shingles, repeats included; 0 for no words."""
+def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
+    """64-bit hashes of lower-cased (A-Z) word shingles in order, repeats included; none for no words."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - words_in_shingle + 1)
     first = (ends - np.fromiter(map(len, words), np.int64, len(words)))[:n].tolist()
     last = ends[min(words_in_shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], "<u8")
+
+
+def fingerprint(text: bytes, words_in_shingle: int) -> int:
+    """SimHash of lower-cased (A-Z) word shingles, repeats included; 0 for no words."""
+    hashes = shingle_hashes(text, words_in_shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     raw = hashes.view(np.uint8).reshape(n, 8)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):  # bounded memory for very long texts
