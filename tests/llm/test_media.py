@@ -72,6 +72,21 @@ def test_very_tall_payload():
     assert media.to_pixels(payload)[..., :3].tobytes() == payload
 
 
+@pytest.mark.parametrize("rows", [16411, 16417, 16421, 65521, 4_194_301])
+def test_payload_of_rows_that_no_width_divides(rows):
+    payload = bytes(range(192)) * rows
+    pixels = media.to_pixels(payload)
+    assert max(pixels.shape[:2]) <= 16384 and media.to_payload(pixels) == payload
+
+
+def test_text_of_rows_that_no_width_divides(spark):
+    text = "0123456789abcdef" * 12 * 16411
+    r = media.media_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), len(text), hashlib.sha256(text.encode()).hexdigest())
+    r = media.decode_media(media.encode_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert bytes(r.pixels) == text.encode()
+
+
 PAGES = [(1, "http://a/\r\nX: y", "p" * 100), (2, None, "p" * 100), (3, "u", "p" * 99), (4, "u", "p" * 99), (5, "u", None), (6, "u", ""), (7, "u", "é\r\n\r\nWARC/1.1\r\n" * 20), (8, "u", "é\r\n\r\nWARC/1.1\r\n" * 20), (9, "u", "q" * 300_000)]
 
 
