@@ -10,6 +10,10 @@ sorted by another hash, which is a global shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +21,10 @@ from .scratch import Scratch, partitions
 
 #: Digits of md5 that make a uniform number: 13 hexadecimal digits are 52 bits.
 _DIGITS = 13
-#: Beyond this mean the normal approximation's rounding is used in place of summed terms.
-_LARGE_MEAN = 200.0
+#: Beyond this mean the distribution function begins 12 standard deviations and 30 below it, where it is 0 in doubles.
+_LARGE_MEAN = 4096.0
+#: Copies of a document that one task makes from one row.
+_COPIES = 1024
 
 
 def uniform(*key: Column) -> Column:
@@ -46,16 +52,42 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     return weighed.crossJoin(F.broadcast(total)).select("source", F.coalesce(F.try_divide(F.col("weight") * F.col("total") * F.lit(float(epochs)), F.col("all_weight") * F.col("size")), F.lit(0.0)).alias("rate"))
 
 
+def poisson(rate: float) -> tuple[int, np.ndarray]:
+    """The first count and the Poisson distribution function from there up to where it is 1 in doubles."""
+    if rate <= 0:
+        return 0, np.ones(1)
+    wide = 12 * np.sqrt(rate) + 30
+    first = 0 if rate <= _LARGE_MEAN else int(rate - wide)
+    k = np.arange(first + 1, int(np.ceil(rate + wide)) + 1)
+    # Logarithms of the terms over the first one; what is left out is below 1e-30, so they sum to one.
+    logs = np.concatenate([[0.0], np.cumsum(np.log(rate / k))])
+    steps = np.cumsum(np.exp(logs - logs.max()))
+    return first, steps / steps[-1]
+
+
 def distribution(rates: DataFrame) -> DataFrame:
-    """(source, steps): the Poisson distribution function at 0, 1, 2, ... up to where it is 1 in doubles."""
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    k = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    # In logarithms, so that no mean is too large: k ln(rate) - rate - ln(k!).
-    logs = F.aggregate(F.when(F.col("k") > 0, F.sequence(F.lit(1), F.col("k"))).otherwise(F.array(F.lit(0))), F.lit(0.0), lambda a, i: a + F.when(i > 0, F.ln(i.cast("double"))).otherwise(0.0))
-    p = F.when(F.col("rate") == 0, F.when(F.col("k") == 0, 1.0).otherwise(0.0)).otherwise(F.exp(F.col("k") * F.ln("rate") - F.col("rate") - logs))
-    terms = k.select("source", "k", p.alias("p")).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("t"))
-    running = F.aggregate("t", F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("steps")), lambda a, x: F.struct((a["sum"] + x["p"]).alias("sum"), F.concat(a["steps"], F.array(a["sum"] + x["p"])).alias("steps")))
-    return terms.select("source", running["steps"].alias("steps"))
+    """(source, first, steps): the distribution function at ``first``, ``first`` + 1, ... up to where it is 1 in doubles.
+
+    A row holds about 24 times the root of the mean; ``first`` is 0 up to ``_LARGE_MEAN``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for source, rate in zip(b.column("source").to_pylist(), b.column("rate").to_pylist()):
+                first, steps = poisson(rate)
+                yield pa.record_batch([pa.array([source], pa.string()), pa.array([first], pa.int64()), pa.array([steps], pa.list_(pa.float64()))], names=["source", "first", "steps"])
+
+    return rates.select("source", "rate").mapInArrow(run, "source string, first long, steps array<double>")
+
+
+def _copied(drawn: DataFrame, n_parts: int) -> DataFrame:
+    """A row for each of the ``_n`` copies, numbered by ``copy``; documents of very many are dealt out first."""
+    few = drawn.where(F.col("_n") <= _COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
+    dealt = drawn.where(F.col("_n") > _COPIES).withColumn("_part", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / _COPIES).cast("int"))))
+    dealt = dealt.repartition(n_parts, "doc_id", "_part")
+    start = F.col("_part") * _COPIES
+    many = dealt.withColumn("copy", F.explode(F.sequence(start, F.least(start + _COPIES, F.col("_n")).cast("int") - 1))).drop("_part")
+    return few.unionByName(many)
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 42) -> DataFrame:
@@ -68,15 +100,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     """
     scratch = Scratch(docs.sparkSession, "mix")
     docs = docs.drop("copy", "shuffle_key")
-    steps = scratch.stage(distribution(rates(docs, weights, epochs)), "steps").withColumnRenamed("source", "_source")
+    steps = scratch.stage(distribution(rates(docs, weights, epochs)), "steps").select(F.col("source").alias("_source"), F.col("first").alias("_first"), F.col("steps").alias("_steps"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     joined = docs.join(steps, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_source"))
     u = uniform(F.lit(seed), key)
-    n = F.size(F.filter("steps", lambda c: c <= F.col("_u")))
-    copies = joined.withColumn("_u", u).withColumn("_n", n).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), key, F.col("copy")).cast("binary")))
+    n = F.col("_first") + F.size(F.filter("_steps", lambda c: c <= F.col("_u")))
+    drawn = joined.withColumn("_u", u).withColumn("_n", n).where("_n > 0").select(*docs.columns, "_n")
     n_parts = partitions(docs.sparkSession)
-    dealt = keyed.drop("_u", "_n", "_source", "steps").repartition(n_parts, "shuffle_key")
+    copies = _copied(drawn, n_parts)
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), key, F.col("copy")).cast("binary")))
+    dealt = keyed.drop("_n").repartition(n_parts, "shuffle_key")
     return dealt.sortWithinPartitions("shuffle_key")
 
 

@@ -149,3 +149,25 @@ def test_poisson_distribution(spark, rate):
         total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else float(k == 0)
         expect.append(total)
     assert steps == pytest.approx(expect, abs=1e-9) and steps[-1] == pytest.approx(1.0)
+
+
+def test_poisson_of_a_large_mean():
+    rate = 1_500_000.0
+    first, steps = mixing.poisson(rate)
+    assert len(steps) < 40_000
+    p = np.diff(steps, prepend=0.0)
+    k = first + np.arange(len(steps))
+    assert p.sum() == pytest.approx(1.0)
+    assert (p * k).sum() == pytest.approx(rate, rel=1e-9) and (p * (k - rate) ** 2).sum() == pytest.approx(rate, rel=1e-6)
+    assert p[int(rate) - first] == pytest.approx(math.exp(rate * math.log(rate) - rate - math.lgamma(rate + 1)), rel=1e-6)
+
+
+def test_mixing_a_tiny_source_beside_a_large_one(spark):
+    df = spark.createDataFrame([(1, "t" * 2_000_000, "large"), (2, "t" * 5, "tiny"), (3, "t" * 5, "tiny")], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).drop("text").groupBy("doc_id").agg({"copy": "max", "*": "count"}).collect()
+    n = {r["doc_id"]: r["count(1)"] for r in got}
+    first, steps = mixing.poisson(2_000_010 / (2 * 10))
+    for k in (2, 3):
+        u = int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:13], 16) / 2**52
+        assert n[k] == first + int((steps <= u).sum())
+    assert all(r["max(copy)"] == r["count(1)"] - 1 for r in got)
