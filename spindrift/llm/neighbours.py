@@ -32,6 +32,7 @@ TREES = 3
 SAMPLE = 4096  # vectors that the trees are fitted on at most
 GROUP = 300  # nodes compared with each other at most, about, in the first graph
 BLOCK = 8192  # vectors in a block, about
+ASKED = 1 << 20  # comparisons in a group of a block's queries, about
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -221,13 +222,24 @@ def descend(scratch: Scratch, nodes: DataFrame, graph: DataFrame, round_: int, k
     return scratch.stage(_best(graph.unionByName(dealt), k), "graph")
 
 
+def search_lists(graph: DataFrame, k: int = K) -> DataFrame:
+    """(node, nbrs): a node's own nearest and the ``k`` most similar of those that name it."""
+    back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim")
+    order = Window.partitionBy("node").orderBy(F.desc("sim"), "nbr")
+    back = back.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("node", "nbr")
+    return graph.select("node", "nbr").unionByName(back).groupBy("node").agg(F.collect_set("nbr").alias("nbrs"))
+
+
+def _dealt(asked: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``piece``: a block's queries by a hash into groups of about ASKED comparisons, its vectors once for each."""
+    pieces = asked.groupBy("block").agg(F.ceil(F.sum(F.size("cands") + 64) / F.lit(float(ASKED))).cast("long").alias("pieces"))
+    some = asked.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("q", "block"), F.col("pieces"))).drop("pieces")
+    return some, blocks.join(pieces, "block").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
+
+
 def _search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int, rounds: int) -> DataFrame:
     """(node, found): for each start node the nodes of its beam."""
-    spark = scratch.spark
-    both = graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr")))
-    mixed = Window.partitionBy("node").orderBy(F.xxhash64("nbr"))
-    both = both.distinct().withColumn("_r", F.row_number().over(mixed)).where(F.col("_r") <= 2 * K)
-    lists = scratch.stage(both.groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "lists")
+    lists = scratch.stage(search_lists(graph), "lists")
     n_blocks = max(1, nodes.count() // BLOCK)
     block = F.pmod(F.xxhash64("node"), F.lit(n_blocks))
     blocks = scratch.stage(nodes.select(block.alias("block"), "node", "unit"), "blocks")
@@ -254,8 +266,9 @@ def _search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts: DataFr
         if reached.isEmpty():
             break
         asked = reached.select("q", F.explode("cands").alias("node")).withColumn("block", block).groupBy("block", "q").agg(F.collect_list("node").alias("cands"))
-        asked = asked.join(units.withColumnRenamed("node", "q"), "q").select("block", "q", "unit", "cands")
-        met = asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(evaluate, "q long, ids array<long>, sims array<float>")
+        asked = scratch.stage(asked, "asked")
+        some, vectors = _dealt(asked.join(units.withColumnRenamed("node", "q"), "q").select("block", "q", "unit", "cands"), blocks)
+        met = some.groupBy("block", "piece").cogroup(vectors.groupBy("block", "piece")).applyInPandas(evaluate, "q long, ids array<long>, sims array<float>")
         new = met.groupBy("q").agg(F.flatten(F.collect_list("ids")).alias("new_ids"), F.flatten(F.collect_list("sims")).alias("new_sims"))
         joined = state.join(new.withColumnRenamed("q", "node"), "node", "left")
 
@@ -275,7 +288,7 @@ def _search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts: DataFr
 
         before = state
         state = scratch.stage(joined.mapInArrow(advance, before.schema), "state")
-        scratch.drop(before, reached)
+        scratch.drop(before, reached, asked)
     return state.select("node", F.col("ids").alias("found"))
 
 

@@ -85,6 +85,23 @@ def test_neighbours_recall_and_scores(spark):
     assert hits / (5 * len(got)) >= 0.9
 
 
+def test_search_list_of_a_hub_keeps_its_own_nearest(spark):
+    edges = [(0, k, 0.99 - k / 1000) for k in range(1, 21)] + [(k, 0, 0.5 + k / 2000) for k in range(100, 700)]
+    lists = {r.node: set(r.nbrs) for r in neighbours.search_lists(spark.createDataFrame(edges, neighbours.EDGES)).collect()}
+    assert lists[0] == {*range(1, 21), *range(680, 700)}
+    assert lists[100] == {0} and lists[7] == {0}
+
+
+def test_queries_of_a_block_are_dealt_into_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKED", 1000)
+    asked = spark.createDataFrame([(0, q, [1, 2]) for q in range(300)] + [(1, 5, [3])], "block long, q long, cands array<long>")
+    blocks = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "block long, node long")
+    some, vectors = neighbours._dealt(asked, blocks)
+    groups = {(r.block, r.piece): r["count"] for r in some.groupBy("block", "piece").count().collect()}
+    assert sum(groups.values()) == 301 and max(groups.values()) < 40
+    assert vectors.count() == 2 * 20 + 1 and set(groups) <= {(r.block, r.piece) for r in vectors.collect()}
+
+
 def test_few_and_equal_vectors(spark):
     df = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(60)] + [(100, [2.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(df).orderBy("query_id", "rank").collect()]
