@@ -1,15 +1,17 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
 Lines are normalised (lower case, numbers to 0, everything else to single spaces)
-and get a 64-bit SimHash of their words. Equal normalised lines are one node;
-nodes are linked if their SimHashes differ in at most three bits and their edit
-similarity is 0.8 or more. Candidates meet on pigeonhole blocks: with five blocks
-and three differing bits two blocks agree, so a fingerprint is filed under its ten
-pairs of blocks, and a key is 25 or 26 bits wide. Of each connected group the
-first occurrence (least document, then least line) stays.
-
-Only keys, fingerprints and places of lines are shuffled to find groups; texts
-move once for the candidates' edit distances and once to take lines out.
+and get a 64-bit SimHash of their distinct words; a line of fewer than four words
+has too few bits of its own for that and gets the hash of the whole line. Equal
+normalised lines are one node; nodes are linked if their fingerprints differ in at
+most three bits and their edit similarity is 0.8 or more. Candidates meet on
+pigeonhole blocks: with five blocks and three differing bits two blocks agree, so a
+fingerprint is filed under its ten pairs of blocks, and a key is 25 or 26 bits wide.
+Of each connected group the first occurrence (least document, then least line) stays.
+
+Texts are normalised as a whole, before they are split. Only keys, fingerprints and
+places of lines are shuffled to find groups; texts move once for the candidates'
+edit distances and once to take lines out.
 """
 
 from __future__ import annotations
@@ -24,55 +26,86 @@ from .scratch import Scratch
 
 DISTANCE = 3
 SIMILARITY = 0.8
+LEAST_WORDS = 4  # distinct words of a line that has a SimHash
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
 _LANES = 0x0101010101010101
-_CHUNK = 127  # words whose counts fit the eight-bit lanes of a signed long
+_CHUNK = 126  # words whose counts fit the eight-bit lanes of a signed long, and seven planes of bits
 
 
-def normalised(line: Column) -> Column:
-    zeros = F.regexp_replace(F.lower(line), "[0-9]+", "0")
-    # Only what is not a single space: most runs between words are.
-    return F.trim(F.regexp_replace(zeros, r" *[^\p{L}0 ][^\p{L}0]*| {2,}", " "))
+def normalised(text: Column) -> Column:
+    """``text`` in lower case, numbers as 0, everything but letters, zeros and line feeds as single spaces."""
+    zeros = F.regexp_replace(F.lower(text), "[0-9]+", "0")
+    return F.regexp_replace(F.regexp_replace(zeros, r"[^a-z0 \n\p{L}]+", " "), "  +", " ")
 
 
-def _lanes(hashes: Column) -> Column:
+def _lanes(words: str) -> str:
     """Counts of set bits of at most ``_CHUNK`` hashes, eight lanes of eight bits in each of eight longs."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"a{i}") for i in range(8)])
-    return F.aggregate(hashes, zero, lambda a, h: F.struct(*[(a[f"a{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES).cast("long"))).alias(f"a{i}") for i in range(8)]))
+    zero = ", ".join(f"'a{i}', 0L" for i in range(8))
+    step = ", ".join(f"'a{i}', a.a{i} + (shiftrightunsigned(h, {i}) & {_LANES}L)" for i in range(8))
+    return f"aggregate({words}, named_struct({zero}), (a, h) -> named_struct({step}))"
 
 
-def _count(lanes: Column, bit: int) -> Column:
-    return F.shiftrightunsigned(lanes[f"a{bit % 8}"], bit - bit % 8).bitwiseAND(F.lit(255).cast("long"))
+def _long_majority(chunks: str, n: str) -> str:
+    """The long whose bit k is set if that bit's count over all ``chunks`` (of ``_lanes``) is over half of ``n``."""
+    bits = []
+    for k in range(64):
+        total = f"aggregate({chunks}, 0L, (t, x) -> t + (shiftrightunsigned(x.a{k % 8}, {k - k % 8}) & 255L))"
+        bits.append(f"if(2 * {total} > {n}, shiftleft(1L, {k}), 0L)")
+    return " | ".join(bits)
 
 
-def _sum_over(chunks: Column, bit: int) -> Column:
-    return F.aggregate(chunks, F.lit(0).cast("long"), lambda total, lanes: total + _count(lanes, bit))
+def _planes(hashed: DataFrame, between: dict[int, tuple[str, str]]) -> tuple[DataFrame, list[str]]:
+    """Counts of set bits of the first ``_CHUNK`` hashes of ``_h``, for all 64 bits at once, as planes of binary digits.
 
-
-def _majority(counts: list[Column], n: Column) -> Column:
-    """The long whose bit k is set if ``counts[k]`` is over half of ``n``."""
-    bits = [F.when(c * 2 > n, F.lit((1 << k) if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in enumerate(counts)]
-    while len(bits) > 1:
-        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])]
-    return bits[0]
+    Full adders join three longs of one weight to a sum and a carry; each layer of
+    them is a projection. ``between`` names further columns and the layers that make
+    them: lambdas there part the layers into methods short enough to be compiled.
+    """
+    kept = [f"`{c}`" for c in hashed.columns]
+    weights, layer = [[f"coalesce(get(_h, {k}), 0L)" for k in range(_CHUNK)]], 0
+    while any(len(w) > 1 for w in weights):
+        placed: list[tuple[int, str]] = []
+        for k, cols in enumerate(weights):
+            whole = len(cols) - len(cols) % 3 if layer else 0
+            for a, b, c in zip(cols[:whole:3], cols[1:whole:3], cols[2:whole:3]):
+                placed += [(k, f"{a} ^ {b} ^ {c}"), (k + 1, f"(({a} & {b}) | ({c} & ({a} ^ {b})))")]
+            rest = cols[whole:]
+            if layer and len(cols) == 2:
+                placed += [(k, f"{rest[0]} ^ {rest[1]}"), (k + 1, f"{rest[0]} & {rest[1]}")]
+            else:
+                placed += [(k, c) for c in rest]
+        more = [f"{expr} AS {name}" for name, expr in [between[layer]]] if layer in between else []
+        hashed = hashed.selectExpr(*kept, *more, *[f"{e} AS _p{layer}_{k}" for k, (_, e) in enumerate(placed)])
+        kept += [between[layer][0]] if more else []
+        weights = [w for at in range(len(weights) + 1) if (w := [f"_p{layer}_{k}" for k, (x, _) in enumerate(placed) if x == at])]
+        layer += 1
+    return hashed, [w[0] for w in weights]
+
+
+def _over_half(planes: list[str], n: str) -> str:
+    """The long whose bits are set where the number in ``planes`` is over half of ``n``: the carry of adding what lacks to 2^7."""
+    carry = "0L"
+    for k, p in enumerate(planes):
+        own = f"(-(shiftright({1 << len(planes)}L - shiftright({n}, 1) - 1, {k}) & 1L))"
+        carry = f"(({p} & {own}) | ({carry} & ({p} | {own})))"
+    return carry
 
 
 def with_simhash(lines: DataFrame, norm: str = "norm") -> DataFrame:
-    """``lines`` with ``fp``: the SimHash of the words of column ``norm``."""
-    hashes = F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
-    hashed = lines.withColumn("_h", hashes).withColumn("_n", F.size("_h").cast("long"))
-    short = hashed.withColumn("_l", F.when(F.col("_n") <= _CHUNK, _lanes(F.col("_h"))))
-    chunks = F.transform(F.sequence(F.lit(1), F.col("_n").cast("int"), F.lit(_CHUNK)), lambda k: _lanes(F.slice("_h", k, _CHUNK)))
-    chunked = short.withColumn("_c", F.when(F.col("_n") > _CHUNK, chunks))
-    long_counts = [_sum_over(F.col("_c"), k) for k in range(64)]
-    fp = F.when(F.col("_n") <= _CHUNK, _majority([_count(F.col("_l"), k) for k in range(64)], F.col("_n"))).otherwise(_majority(long_counts, F.col("_n")))
-    return chunked.withColumn("fp", fp).drop("_h", "_n", "_l", "_c")
+    """``lines`` with ``fp``: the SimHash of the distinct words of column ``norm``, or the hash of all of it below ``LEAST_WORDS``."""
+    columns = [f"`{c}`" for c in lines.columns]
+    hashed = lines.selectExpr("*", f"array_distinct(transform(split(`{norm}`, ' '), w -> xxhash64(w))) AS _h").selectExpr("*", "CAST(size(_h) AS BIGINT) AS _n")
+    chunks = f"if(_n > {_CHUNK}, transform(sequence(1, CAST(_n AS INT), {_CHUNK}), k -> {_lanes(f'slice(_h, k, {_CHUNK})')}), null)"
+    long_fp = f"if(_n > {_CHUNK}, {_long_majority('_c', '_n')}, 0L)"
+    added, planes = _planes(hashed, {2: ("_c", chunks), 4: ("_f", long_fp)})
+    fp = f"CASE WHEN _n < {LEAST_WORDS} THEN xxhash64(`{norm}`) WHEN _n > {_CHUNK} THEN _f ELSE {_over_half(planes, '_n')} END"
+    return added.selectExpr(*columns, f"{fp} AS fp")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, pos, key (128 bits of the normalised line) and norm of every line that holds a letter or digit."""
-    one = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return one.select("doc_id", "pos", normalised(F.col("line")).alias("norm")).where("norm <> ''").withColumn("key", F.unhex(F.md5(F.col("norm").cast("binary"))))
+    one = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("pos", "line"))
+    return one.select("doc_id", "pos", F.trim("line").alias("norm")).where("norm <> ''").withColumn("key", F.unhex(F.md5(F.col("norm").cast("binary"))))
 
 
 def _filed(fps: DataFrame) -> DataFrame:
@@ -121,64 +154,72 @@ def _first_meeting() -> Column:
     return out
 
 
+def _node() -> Column:
+    """A distinct line, ordered by its first place."""
+    return F.struct("doc_id", "pos", "key")
+
+
 def fuzzy_groups(scratch: Scratch, docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, group) of the distinct lines that have a fuzzy link; ``group`` is the least key.
+    """(node, component) of the distinct lines that have a fuzzy link; ``component`` is the least node, the first occurrence.
 
     Pairs are only made where they can change a group. First each line meets the least
     line of its fingerprint, and these those of the least fingerprint nearby. All other
-    pairs are made and verified if their ends are then still in different groups, so
-    that no link is lost and a group of very many variants makes no pairs of them all.
+    pairs whose lengths allow it are made and verified if their ends are then still in
+    different groups, so that no link is lost and a group of very many variants makes
+    no pairs of them all.
     """
-    lines = distinct.select("key", "fp")
-    hubs = scratch.stage(lines.groupBy("fp").agg(F.min("key").alias("hub"), F.count("*").alias("n")), "hubs")
+    hubs = scratch.stage(distinct.groupBy("fp").agg(F.min(_node()).alias("hub"), F.count("*").alias("n")), "hubs")
     filed = _filed(hubs)
     other = _filed(hubs).select(F.col("fp").alias("fp2"), F.col("slot").alias("slot2"))
     near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE) & _first_meeting()
     met = scratch.stage(filed.join(other, (F.col("slot") == F.col("slot2")) & near).select("fp", "fp2"), "near")
 
     near_fps = met.select("fp").unionByName(met.select(F.col("fp2").alias("fp"))).unionByName(hubs.where("n > 1").select("fp")).distinct()
-    members = scratch.stage(distinct.join(near_fps, "fp").select("key", "fp", "doc_id", "pos"), "members")
+    members = scratch.stage(distinct.join(near_fps, "fp").select("fp", "n_chars", _node().alias("node")), "members")
     if members.isEmpty():
-        return members.select("key", F.col("key").alias("group"))
-    by_doc = members.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("want"))
+        return members.select("node", F.col("node").alias("component"))
+    by_doc = members.groupBy("node.doc_id").agg(F.collect_list("node").alias("want"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, "doc_id")
-    texts = texts.withColumn("lines", F.split("text", "\n", -1)).select("lines", F.explode("want").alias("w"))
-    texts = texts.select(F.col("w.key").alias("key"), normalised(F.get("lines", F.col("w.pos"))).alias("norm")).where("norm is not null")
+    texts = texts.withColumn("lines", F.split("text", "\n", -1)).select("lines", F.explode("want").alias("node"))
+    texts = texts.select("node", F.trim(normalised(F.get("lines", F.col("node.pos")))).alias("norm")).where("norm is not null")
     # Rows repeated under one id may hold other texts there; the key tells.
-    texts = scratch.stage(texts.where(F.unhex(F.md5(F.col("norm").cast("binary"))) == F.col("key")).dropDuplicates(["key"]), "candidates")
+    texts = scratch.stage(texts.where(F.unhex(F.md5(F.col("norm").cast("binary"))) == F.col("node.key")).dropDuplicates(["node"]), "candidates")
 
     def verified(some: DataFrame) -> DataFrame:
-        both = some.join(texts, "key").join(texts.select(F.col("key").alias("key2"), F.col("norm").alias("norm2")), "key2")
-        return scratch.stage(_alike(both, similarity).select("key", "key2"), "links")
+        both = some.join(texts, "node").join(texts.select(F.col("node").alias("node2"), F.col("norm").alias("norm2")), "node2")
+        return scratch.stage(_alike(both, similarity).select("node", "node2"), "links")
 
-    own = members.select(F.col("key").alias("key2"), "fp").join(hubs.where("n > 1").select("fp", F.col("hub").alias("key")), "fp").where("key < key2").select("key", "key2")
     hub = hubs.select("fp", "hub")
+    own = members.select(F.col("node").alias("node2"), "fp").join(hubs.where("n > 1").select("fp", F.col("hub").alias("node")), "fp").where("node < node2").select("node", "node2")
     least = met.groupBy("fp2").agg(F.min("fp").alias("fp"))
-    star = least.join(hub.withColumnRenamed("hub", "key"), "fp").join(hub.select(F.col("fp").alias("fp2"), F.col("hub").alias("key2")), "fp2").select("key", "key2")
+    star = least.join(hub.withColumnRenamed("hub", "node"), "fp").join(hub.select(F.col("fp").alias("fp2"), F.col("hub").alias("node2")), "fp2").select("node", "node2")
     first = verified(own.unionByName(star))
-    joined = connected_components(scratch, first).withColumnRenamed("node", "key")
-    placed = scratch.stage(members.select("key", "fp").join(joined, "key", "left").select("key", "fp", F.coalesce("component", "key").alias("c")), "placed")
+    joined = connected_components(scratch, first)
+    placed = scratch.stage(members.join(joined, "node", "left").select("node", "fp", "n_chars", F.coalesce("component", "node").alias("c")), "placed")
 
-    second = placed.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    same = placed.join(second, (F.col("fp") == F.col("fp2")) & (F.col("key") < F.col("key2")) & (F.col("c") != F.col("c2")))
+    second = placed.select(F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.col("n_chars").alias("n_chars2"), F.col("c").alias("c2"))
+    edits = F.floor(F.lit(1 - similarity + 1e-9) * F.greatest("n_chars", "n_chars2"))
+    open_pair = (F.col("c") != F.col("c2")) & (F.abs(F.col("n_chars") - F.col("n_chars2")) <= edits)
+    same = placed.join(second, (F.col("fp") == F.col("fp2")) & (F.col("node") < F.col("node2")) & open_pair)
     sides = placed.groupBy("fp").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     apart = met.join(sides, "fp").join(sides.select(F.col("fp").alias("fp2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "fp2")
-    apart = apart.where("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("fp", "fp2")
-    across = apart.join(placed.select("fp", "key", "c"), "fp").join(second, "fp2").where("c <> c2")
-    links = first.unionByName(verified(same.select("key", "key2").unionByName(across.select("key", "key2"))))
-    return connected_components(scratch, links).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    apart = scratch.stage(apart.where("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("fp", "fp2"), "apart")
+    across = apart.join(placed.select("fp", "node", "n_chars", "c"), "fp").join(second, "fp2").where(open_pair)
+    links = first.unionByName(verified(same.select("node", "node2").unionByName(across.select("node", "node2"))))
+    return connected_components(scratch, links)
 
 
 def removals(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, gone): the line numbers that each document loses."""
-    lines = scratch.stage(with_simhash(lines_of(docs)).select("doc_id", "pos", "key", "fp"), "lines")
+    lines = with_simhash(lines_of(docs)).select("doc_id", "pos", "key", "fp", F.char_length("norm").alias("n_chars"))
+    lines = scratch.stage(lines, "lines")
     place = F.struct("doc_id", "pos")
-    distinct = lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min(place).alias("first"), F.count("*").alias("n"))
-    distinct = scratch.stage(distinct.select("key", "fp", "n", "first.doc_id", "first.pos"), "distinct")
+    distinct = lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n_chars").alias("n_chars"), F.min(place).alias("first"), F.count("*").alias("n"))
+    distinct = scratch.stage(distinct.select("key", "fp", "n_chars", "n", "first.doc_id", "first.pos"), "distinct")
     groups = scratch.stage(fuzzy_groups(scratch, docs, distinct, similarity), "groups")
-    grouped = distinct.join(groups, "key", "left").where("n > 1 or group is not null").select("key", F.coalesce("group", "key").alias("group"), place.alias("first"))
-    kept = grouped.groupBy("group").agg(F.min("first").alias("kept"))
-    decided = scratch.stage(grouped.join(kept, "group").select("key", "kept"), "decided")
+    kept = F.coalesce("component", _node())
+    decided = distinct.withColumn("node", _node()).join(groups, "node", "left").where("n > 1 or component is not null")
+    decided = scratch.stage(decided.select("key", F.struct(kept["doc_id"].alias("doc_id"), kept["pos"].alias("pos")).alias("kept")), "decided")
     gone = lines.join(decided, "key").where(place != F.col("kept"))
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 

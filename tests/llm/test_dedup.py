@@ -101,7 +101,10 @@ def brute_lines(texts):
         return regex.sub(r"[^\p{L}0]+", " ", re.sub("[0-9]+", "0", line.lower())).strip()
 
     def fingerprint(n):
-        h = np.array([xxhash.xxh64(w.encode(), seed=42).intdigest() for w in n.split(" ")], "<u8")
+        words = set(n.split(" "))
+        if len(words) < 4:
+            return xxhash.xxh64(n.encode(), seed=42).intdigest()
+        h = np.array([xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words], "<u8")
         ones = np.unpackbits(h.view("u1").reshape(len(h), 8), axis=1, bitorder="little").sum(0)
         return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
@@ -148,6 +151,52 @@ def test_lines(spark, texts):
     assert got[0].key == "x"
 
 
+def brute_line_fingerprint(norm):
+    words = set(norm.split(" "))
+    h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
+    if len(words) < 4:
+        return xxhash.xxh64(norm.encode(), seed=42).intdigest()
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_line_fingerprints_of_all_lengths(spark):
+    rng = random.Random(8)
+    norms = [" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in [1, 2, 3, 4, 5, 7, 31, 63, 64, 126, 127, 128, 129, 254, 255, 600, 3000]]
+    norms += ["the " * 500 + "end", " ".join(f"w{k}" for k in range(127)), " ".join(f"w{k}" for k in range(128))]
+    got = [r.fp % (1 << 64) for r in lines.with_simhash(spark.createDataFrame([(n,) for n in norms], "norm string").coalesce(1)).collect()]
+    assert got == [brute_line_fingerprint(n) for n in norms]
+
+
+def test_very_many_variants_of_one_line(spark):
+    """Two thousand long lines, each with other words at the end, and as many unlike them with the same words in other order."""
+    rng = random.Random(9)
+    base = [f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)]
+    texts = []
+    for k in range(2000):
+        w = list(base)
+        w[rng.randrange(100)] = "z" + "".join(rng.choice("abcdef") for _ in range(6))
+        texts.append(" ".join(w))
+    for _ in range(40):
+        rng.shuffle(base)
+        texts.append(" ".join(base))
+    _, expect, _ = brute_lines_of_few_edits(texts)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(expect))
+
+
+def brute_lines_of_few_edits(texts):
+    """As ``brute_lines`` for texts of one line of equal word counts: edit similarity by the words that differ where it is certain."""
+    fps = [brute_line_fingerprint(t) for t in texts]
+    words = [t.split(" ") for t in texts]
+    links = []
+    for a in range(len(texts)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3 and sum(x != y for x, y in zip(words[a], words[b])) <= 2:
+                links.append((a, b))
+    group = grouped(len(texts), links)
+    return len(links), [t if group[k] == k else "" for k, t in enumerate(texts)], group
+
+
 def test_first_meeting_is_met_once(spark):
     rng = random.Random(4)
     rows = []

@@ -36,6 +36,29 @@ def test_ids_are_those_of_plain_encoding(plain):
     assert [flat[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [plain(t) for t in texts]
 
 
+def test_a_memo_that_is_full_changes_nothing(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 3000)
+    monkeypatch.setattr(tokens, "PASSING_BYTES", 2000)
+    coder = tokens.ChunkTokenizer(tokens.default_vocabulary())
+    rng = random.Random(6)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcde,.") for _ in range(rng.choice([3, 5, 90]))) for _ in range(40)) for _ in range(4)]
+        flat, at = coder.encode(pa.array(texts))
+        assert [flat[at[k] : at[k + 1]].tolist() for k in range(4)] == [plain(t) for t in texts]
+        assert coder._kept_bytes <= 3000 and coder._passing_bytes <= 2000
+    assert max(map(len, coder._kept)) <= tokens.LONGEST_CHUNK
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    texts = [t or "" for t in TEXTS]
+    flat, at = tokens.ChunkTokenizer(path).encode(pa.array(texts))
+    assert [flat[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces_and_places(spark, docs, plain):
     got = packing.pack_documents(docs, capacity=256, keep_ids=True).collect()
     expect = []
@@ -73,8 +96,9 @@ def test_token_files(spark, docs, plain):
         at += r.n_tokens
     ids = [r.doc_id for r in by_start[1:]]
     assert ids == sorted(ids)
-    whole = np.array([*plain(TEXTS[8]), 2], "<u4")
-    assert {r.ids_crc32 for r in got if r.doc_id in (8, 9)} == {zlib.crc32(whole.tobytes())}
+    crc = lambda text: zlib.crc32(np.array([*plain(text), 2], "<u4").tobytes())
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc(r.text) for r in docs.collect())
+    assert all(r.ids_crc32 == crc(TEXTS[r.doc_id]) for r in got if r.doc_id not in (None, 3))
 
 
 @pytest.mark.parametrize("seed", range(6))
