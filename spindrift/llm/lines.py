@@ -39,19 +39,14 @@ def normalised(text: Column) -> Column:
 
 
 def _lanes(words: str) -> str:
-    """Counts of set bits of at most ``_CHUNK`` hashes, eight lanes of eight bits in each of eight longs."""
-    zero = ", ".join(f"'a{i}', 0L" for i in range(8))
-    step = ", ".join(f"'a{i}', a.a{i} + (shiftrightunsigned(h, {i}) & {_LANES}L)" for i in range(8))
-    return f"aggregate({words}, named_struct({zero}), (a, h) -> named_struct({step}))"
+    """Counts of set bits of at most ``_CHUNK`` hashes: eight longs, the i-th with bits i, i + 8, ... in its lanes of eight bits."""
+    return f"aggregate({words}, array_repeat(0L, 8), (a, h) -> transform(a, (v, i) -> v + (shiftrightunsigned(h, i) & {_LANES}L)))"
 
 
 def _long_majority(chunks: str, n: str) -> str:
     """The long whose bit k is set if that bit's count over all ``chunks`` (of ``_lanes``) is over half of ``n``."""
-    bits = []
-    for k in range(64):
-        total = f"aggregate({chunks}, 0L, (t, x) -> t + (shiftrightunsigned(x.a{k % 8}, {k - k % 8}) & 255L))"
-        bits.append(f"if(2 * {total} > {n}, shiftleft(1L, {k}), 0L)")
-    return " | ".join(bits)
+    total = f"aggregate({chunks}, 0L, (t, x) -> t + (shiftrightunsigned(x[k % 8], k - k % 8) & 255L))"
+    return f"aggregate(sequence(0, 63), 0L, (bits, k) -> bits | if(2 * {total} > {n}, shiftleft(1L, k), 0L))"
 
 
 def _planes(hashed: DataFrame, between: dict[int, tuple[str, str]]) -> tuple[DataFrame, list[str]]:
