@@ -35,7 +35,10 @@ _CHUNK = 126  # words whose counts fit the eight-bit lanes of a signed long, and
 def normalised(text: Column) -> Column:
     """``text`` in lower case, numbers as 0, everything but letters, zeros and line feeds as single spaces."""
     zeros = F.regexp_replace(F.lower(text), "[0-9]+", "0")
-    return F.regexp_replace(F.regexp_replace(zeros, r"[^a-z0 \n\p{L}]+", " "), "  +", " ")
+    single = F.regexp_replace(zeros, r"[^a-z0 \n\p{L}]+", " ")
+    for _ in range(2):  # most runs of spaces are short, and plain replacing is the quicker way
+        single = F.replace(single, F.lit("  "), F.lit(" "))
+    return F.regexp_replace(single, "  +", " ")
 
 
 def _lanes(words: str) -> str:
@@ -99,7 +102,8 @@ def with_simhash(lines: DataFrame, norm: str = "norm") -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, pos, key (128 bits of the normalised line) and norm of every line that holds a letter or digit."""
-    one = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("pos", "line"))
+    whole = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
+    one = whole.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return one.select("doc_id", "pos", F.trim("line").alias("norm")).where("norm <> ''").withColumn("key", F.unhex(F.md5(F.col("norm").cast("binary"))))
 
 
@@ -121,7 +125,8 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose ``norm`` and ``norm2`` have that edit similarity.
 
     Words that both begin or end with do not change the distance and are left out,
-    one word at least being kept of each; a small bound is tried before the full one.
+    one word at least being kept of each; smaller bounds are tried before the full one,
+    as the cost of a distance grows with its bound.
     """
     most = F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(F.char_length("norm"), F.char_length("norm2"))).cast("int")
     p = pairs.withColumns({"_most": most, "_a": F.split("norm", " "), "_b": F.split("norm2", " ")})
@@ -134,8 +139,9 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
     p = p.withColumn("_p", common(F.col("_a"), F.col("_b"), F.col("_m")))
     p = p.withColumn("_s", common(F.reverse("_a"), F.reverse("_b"), F.col("_m") - F.col("_p")))
     inner = lambda w: F.array_join(F.slice(w, F.col("_p") + 1, F.size(w) - F.col("_p") - F.col("_s")), " ")
-    p = p.withColumns({"_a": inner("_a"), "_b": inner("_b"), "_near": F.least("_most", F.lit(16))})
-    return p.where("CASE WHEN levenshtein(_a, _b, _near) >= 0 THEN true ELSE levenshtein(_a, _b, _most) >= 0 END")
+    p = p.withColumns({"_a": inner("_a"), "_b": inner("_b"), })
+    steps = " ".join(f"WHEN levenshtein(_a, _b, least(_most, {k})) >= 0 THEN true WHEN _most <= {k} THEN false" for k in (16, 64, 256, 1024))
+    return p.where(f"abs(char_length(norm) - char_length(norm2)) <= _most AND CASE {steps} ELSE levenshtein(_a, _b, _most) >= 0 END")
 
 
 def _first_meeting() -> Column:
@@ -180,16 +186,16 @@ def fuzzy_groups(scratch: Scratch, docs: DataFrame, distinct: DataFrame, similar
     # Rows repeated under one id may hold other texts there; the key tells.
     texts = scratch.stage(texts.where(F.unhex(F.md5(F.col("norm").cast("binary"))) == F.col("node.key")).dropDuplicates(["node"]), "candidates")
 
-    def verified(some: DataFrame) -> DataFrame:
+    def verified(some: DataFrame, ends: tuple[str, str]) -> DataFrame:
         both = some.join(texts, "node").join(texts.select(F.col("node").alias("node2"), F.col("norm").alias("norm2")), "node2")
-        return scratch.stage(_alike(both, similarity).select("node", "node2"), "links")
+        return scratch.stage(_alike(both, similarity).select(*ends), "links")
 
     hub = hubs.select("fp", "hub")
     own = members.select(F.col("node").alias("node2"), "fp").join(hubs.where("n > 1").select("fp", F.col("hub").alias("node")), "fp").where("node < node2").select("node", "node2")
     least = met.groupBy("fp2").agg(F.min("fp").alias("fp"))
     star = least.join(hub.withColumnRenamed("hub", "node"), "fp").join(hub.select(F.col("fp").alias("fp2"), F.col("hub").alias("node2")), "fp2").select("node", "node2")
-    first = verified(own.unionByName(star))
-    joined = connected_components(scratch, first)
+    first = verified(own.unionByName(star), ("node", "node2"))
+    joined = scratch.stage(connected_components(scratch, first), "joined")
     placed = scratch.stage(members.join(joined, "node", "left").select("node", "fp", "n_chars", F.coalesce("component", "node").alias("c")), "placed")
 
     second = placed.select(F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.col("n_chars").alias("n_chars2"), F.col("c").alias("c2"))
@@ -200,8 +206,10 @@ def fuzzy_groups(scratch: Scratch, docs: DataFrame, distinct: DataFrame, similar
     apart = met.join(sides, "fp").join(sides.select(F.col("fp").alias("fp2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "fp2")
     apart = scratch.stage(apart.where("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("fp", "fp2"), "apart")
     across = apart.join(placed.select("fp", "node", "n_chars", "c"), "fp").join(second, "fp2").where(open_pair)
-    links = first.unionByName(verified(same.select("node", "node2").unionByName(across.select("node", "node2"))))
-    return connected_components(scratch, links)
+    pair = ("node", "node2", "c", "c2")
+    more = connected_components(scratch, verified(same.select(*pair).unionByName(across.select(*pair)), ("c", "c2")))
+    more = scratch.stage(more.select(F.col("node").alias("c"), F.col("component").alias("whole")), "whole")
+    return placed.join(more, "c", "left").select("node", F.coalesce("whole", "c").alias("component"))
 
 
 def removals(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
