@@ -35,7 +35,7 @@ def coalitions(items: DataFrame, rounds: Column | int, seed: int = 42) -> DataFr
     b = F.explode(F.sequence(F.lit(0), F.lit(rounds) - 1 if isinstance(rounds, int) else rounds - 1))
     drawn = items.withColumn("b", b)
     k = F.col("b").cast("long") * F.col("n") + F.col("pos") + 1
-    return drawn.withColumn("inside", uniform(k, seed, 16) < 0.5).select("case_id", "b", "item", "pos", "inside")
+    return drawn.withColumn("inside", uniform(k, seed) < 0.5).select("case_id", "b", "item", "pos", "inside")
 
 
 def sampled_shapley(items: DataFrame, effect: DataFrame, rounds: Column | int, seed: int = 42) -> DataFrame:
@@ -62,19 +62,37 @@ def largest_change(items: DataFrame, before: str, after: str) -> DataFrame:
     return ranked(d, "case_id", "distance", "pos").select("case_id", "item", "distance", "rank")
 
 
-def bisection(items: DataFrame, effect: DataFrame, threshold: float, levels: int = 12) -> DataFrame:
-    """One culprit of every case by halving: a half whose summed effect is over ``threshold`` is kept, else the other.
+def bisection(items: DataFrame, effect: DataFrame, threshold: float, levels: int = 12, margin: float = 0.0) -> DataFrame:
+    """(case_id, item, effect): one culprit of every case by halving, where there is one.
 
-    All cases advance one level at a time, as a fixed chain of joins; a case of one item stays.
+    The probe of a set of items is the sum of their effects, known to ``margin`` either
+    way. The first half (rounded down) is kept if the lower bound of its probe is over
+    ``threshold``, else the other. The last item is probed alone, and is a culprit only
+    if its own lower bound is over ``threshold``. All cases advance one level at a time;
+    ``levels`` halvings suffice for 2^levels items.
     """
     state = items.join(effect, ["case_id", "item"]).select("case_id", "item", "pos", "effect")
     w = Window.partitionBy("case_id")
     for _ in range(levels):
-        half = F.row_number().over(w.orderBy("pos")) <= F.ceil(F.count("*").over(w) / 2)
+        half = F.row_number().over(w.orderBy("pos")) <= F.floor(F.count("*").over(w) / 2)
         marked = state.withColumns({"_h": half, "_n": F.count("*").over(w)})
-        hit = F.sum(F.when(F.col("_h"), F.col("effect")).otherwise(0.0)).over(w) > threshold
+        hit = F.sum(F.when(F.col("_h"), F.col("effect")).otherwise(0.0)).over(w) - F.lit(margin) > threshold
         state = marked.withColumn("_keep", (F.col("_n") == 1) | (F.col("_h") == hit)).where("_keep").select("case_id", "item", "pos", "effect")
-    return state.select("case_id", "item")
+    return state.where(F.col("effect") - F.lit(margin) > threshold).select("case_id", "item", "effect")
+
+
+def greedy_bisection(items: DataFrame, effect: DataFrame, threshold: float, levels: int = 12, margin: float = 0.0, culprits: int = 3) -> DataFrame:
+    """(case_id, found, item, effect): culprits one after the other, those found before being held fixed.
+
+    A set's effect over what is found already is the sum of its own items' effects, so
+    each search is a bisection of the rest; a case without a further culprit is done.
+    """
+    out, rest = None, items
+    for k in range(1, culprits + 1):
+        one = bisection(rest, effect, threshold, levels, margin).withColumn("found", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+        rest = rest.join(one.select("case_id", "item"), ["case_id", "item"], "left_anti").join(one.select("case_id"), "case_id", "left_semi")
+    return out.select("case_id", "found", "item", "effect")
 
 
 def hits(ranks: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
@@ -94,7 +112,7 @@ def random_hit(n: Column, k: int, m: Column | None = None) -> Column:
 
 def shuffled(items: DataFrame, seed: int = 42) -> DataFrame:
     """A reproducible random order: sorted by the item's draw, ties by position."""
-    drawn = items.withColumn("_u", uniform(F.col("pos") + 1, seed, 16))
+    drawn = items.withColumn("_u", uniform(F.col("pos") + 1, seed))
     order = Window.partitionBy("case_id").orderBy("_u", "pos")
     return drawn.withColumn("rank", F.row_number().over(order)).drop("_u")
 

@@ -18,7 +18,7 @@ def holds(value: Column, c: Column) -> Column:
     fits = F.abs(number - gold) <= F.coalesce(c["tolerance"], F.lit(TOLERANCE))
     by_kind = (
         F.when(c["kind"] == "enum", value == c["gold"])
-        .when(c["kind"] == "format", F.regexp_like(value, F.concat(F.lit("^(?:"), c["pattern"], F.lit(")$"))))
+        .when(c["kind"] == "format", F.regexp_like(value, F.concat(F.lit(r"\A(?:"), c["pattern"], F.lit(r")\z"))))
         .when(c["kind"] == "range", whole.between(c["lo"], c["hi"]))
         .when(c["kind"] == "contains", F.contains(F.lower(value), F.lower(c["gold"])))
         .when(c["kind"] == "numeric_equals", fits)

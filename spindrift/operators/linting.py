@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from .text import mentioned, near_names
 
-# Words that speak of yes and no.
-BOOLEAN_WORDS = ("true", "false", "boolean", "enable", "enabled", "disable", "disabled", "flag", "toggle", "yes")
-# Names that say nothing; and the weights of the axes.
-GENERIC_NAMES = ("tool", "do", "run", "test", "foo", "bar", "action", "execute", "function", "do_thing", "thing", "func")
+# What speaks of a choice of yes and no. True beside false within twenty characters does as well.
+YES_NO = r"(?i)\b(?:true\s*(?:/|or)\s*false|yes\s*(?:/|or)\s*no|boolean|true\b.{0,20}\bfalse)\b"
+# Names that say nothing.
+GENERIC_NAMES = (
+    "tool", "tool1", "tool2", "tool3", "test", "foo", "bar", "baz", "qux", "do_thing", "run_it", "my_tool", "some_tool", "func", "function", "method",
+    "handler", "process", "action", "cmd", "command", "op", "operation", "util", "utility", "helper", "misc", "other", "thing", "stuff", "new_tool", "example",
+)
+# The weights of the axes.
 WEIGHTS = {
     "schema_completeness": 0.25, "description_quality": 0.25, "discoverability": 0.15, "selection_accuracy": 0.15,
     "call_correctness": 0.10, "error_legibility": 0.05, "robustness": 0.03, "docs_manifest": 0.02,
@@ -68,10 +72,10 @@ def unmentioned_required(tools: DataFrame) -> DataFrame:
 
 
 def boolean_language(tools: DataFrame) -> DataFrame:
-    """Words of yes and no beside a parameter that is mentioned and not boolean."""
-    words = F.split(F.lower(F.coalesce("description", F.lit(""))), "[^a-z0-9]+")
-    e = tools.where(F.arrays_overlap(words, F.array(*map(F.lit, BOOLEAN_WORDS)))).withColumn("p", F.explode("props"))
-    hit = F.contains(F.lower("description"), F.lower("p.name")) & ~F.coalesce(F.col("p.type"), F.lit("")).isin("boolean", "")
+    """Sentences that speak of a choice of yes and no and name a parameter that is not boolean; one finding each."""
+    sentences = F.filter(F.split(F.coalesce("description", F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.regexp_like(s, F.lit(YES_NO)))
+    e = tools.withColumn("_sentence", F.explode(sentences)).withColumn("p", F.explode("props"))
+    hit = F.contains(F.lower("_sentence"), F.lower("p.name")) & ~F.coalesce(F.col("p.type"), F.lit("")).isin("boolean", "")
     return _finding(e.where(hit), "boolean_language", "blocking", F.col("p.name"))
 
 

@@ -28,7 +28,7 @@ def task_pairs(spark: SparkSession, sims: int, tasks: int, delta: float, trials:
     """
     g = spark.range(sims * tasks).select((F.col("id") / tasks).cast("long").alias("server"), (F.col("id") % tasks).alias("i"))
     # One row a draw: the expression of a draw is long, and forty-eight in one row would be too much to compile.
-    drawn = g.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("u", uniform(F.col("i") * 48 + F.col("j") + 1, F.col("server") + seed, 18))
+    drawn = g.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("u", uniform(F.col("i") * 48 + F.col("j") + 1, F.col("server") + seed))
     z = [(F.sum(F.when(F.floor(F.col("j") / 12) == k, F.col("u"))) - 6.0).alias(f"z{k}") for k in range(4)]
     g = drawn.groupBy("server", "i").agg(*z)
     sd = RESIDUAL_SD / math.sqrt(trials)

@@ -69,7 +69,7 @@ def difference_replicates(before: DataFrame, after: DataFrame, resamples: int =
     def side(values: DataFrame, offset: Column) -> DataFrame:
         drawn = values.select(key, "i", "n").join(sizes, key).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
         k = F.col("r").cast("long") * (F.col("nb") + F.col("na")) + offset + F.col("i") + 1
-        drawn = drawn.withColumn("at", pick(k, F.col("n"), seed, 26)).select(key, "r", "at")
+        drawn = drawn.withColumn("at", pick(k, F.col("n"), seed)).select(key, "r", "at")
         return drawn.join(values.select(key, F.col("i").alias("at"), "x"), [key, "at"])
 
     both = side(before, F.lit(0)).withColumn("arm", F.lit(0)).unionByName(side(after, F.col("nb")).withColumn("arm", F.lit(1)))

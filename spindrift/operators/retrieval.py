@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that carry no meaning for retrieval.
-STOP_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "was", "with")
-MARKS = ".,;:!?()[]{}\"'"
+# Words that carry no meaning for retrieval, and marks that are taken off the ends of words.
+STOP_WORDS = ("a", "an", "the", "to", "of", "for", "in", "on", "at", "by", "and", "or", "is", "are", "be", "with", "from", "as", "it", "its", "that", "this", "not", "no", "up", "out")
+MARKS = ".,;:!?'\"()"
 
 
 def terms(text: Column) -> Column:
-    """Lower-cased words without marks at their ends, stop words and empty words left out."""
-    bare = F.transform(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: F.regexp_replace(w, r"^[.,;:!?()\[\]{}\"']+|[.,;:!?()\[\]{}\"']+$", ""))
-    return F.filter(bare, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    """Lower-cased words without marks at their ends, stop words left out; a word of marks only is the empty term."""
+    words = F.filter(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, rf"^[{MARKS}]+|[{MARKS}]+$", ""))
+    return F.filter(bare, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:

@@ -163,7 +163,7 @@ DF1_SQL = f"""WITH {EVENT_TRIALS_SQL},
 t AS (SELECT server, arm, joint, row_number() OVER (PARTITION BY server, arm ORDER BY task, trial) - 1 AS i, count(*) OVER (PARTITION BY server, arm) AS n
   FROM trials WHERE server LIKE 'm%'),
 sizes AS (SELECT server, max(n) FILTER (arm = 'before') AS nb, max(n) FILTER (arm = 'after') AS na FROM t GROUP BY server),
-d AS (SELECT t.server, t.arm, r, least(floor({rng.uniform_sql("r * (nb + na) + CASE WHEN arm = 'after' THEN nb ELSE 0 END + i + 1", bits=26)} * n)::BIGINT, n - 1) AS at
+d AS (SELECT t.server, t.arm, r, least(floor({rng.uniform_sql("r * (nb + na) + CASE WHEN arm = 'after' THEN nb ELSE 0 END + i + 1")} * n)::BIGINT, n - 1) AS at
   FROM t JOIN sizes USING (server), range(200) AS g(r)),
 rep AS (SELECT d.server, d.r, avg(joint) FILTER (d.arm = 'after') - avg(joint) FILTER (d.arm = 'before') AS m
   FROM d JOIN t ON t.server = d.server AND t.arm = d.arm AND t.i = d.at GROUP BY d.server, d.r),

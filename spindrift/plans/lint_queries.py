@@ -43,18 +43,18 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     choices = F.when(F.col("size") % 5 == 0, F.array(F.lit("low"), F.lit("high"))).otherwise(F.array().cast("array<string>"))
     prop = F.struct(F.col("param").alias("name"), kind.alias("type"), (F.col("size") > 20).alias("described"), (F.col("size") % 7 == 0).alias("has_default"), choices.alias("choices"))
     g = one.groupBy("server", "tool").agg(F.array_sort(F.collect_list(prop)).alias("props"), F.array_sort(F.collect_list(F.when(F.col("size") % 2 == 0, F.col("param")))).alias("required"), F.min("param").alias("first"), F.min("size").alias("size"))
-    text = F.concat(F.lit("Sets "), F.col("first"), F.when(F.col("size") % 4 == 0, " to true or 'middling'").when(F.col("size") % 4 == 1, " from `other_input`").otherwise(""), F.lit(". Returns some_value."))
+    text = F.concat(F.lit("Sets "), F.col("first"), F.when(F.col("size") % 4 == 0, " to true or false, or 'middling'").when(F.col("size") % 4 == 1, " from `other_input`").otherwise(""), F.lit(". Returns some_value."))
     return g.select("server", "tool", F.when(F.col("size") % 6 == 5, "").otherwise(text).alias("description"), "props", "required")
 
 
 TOOLS_SQL = """one AS (SELECT p_brand AS server, replace(p_name, ' ', '_') AS tool, lower(p_type) AS param, min(p_size) AS size FROM part GROUP BY ALL),
 g AS (SELECT server, tool, min(param) AS first, min(size) AS size FROM one GROUP BY server, tool),
-t AS (SELECT server, tool, CASE WHEN size % 6 = 5 THEN '' ELSE 'Sets ' || first || CASE WHEN size % 4 = 0 THEN ' to true or ''middling''' WHEN size % 4 = 1 THEN ' from `other_input`' ELSE '' END || '. Returns some_value.' END AS description FROM g),
+t AS (SELECT server, tool, CASE WHEN size % 6 = 5 THEN '' ELSE 'Sets ' || first || CASE WHEN size % 4 = 0 THEN ' to true or false, or ''middling''' WHEN size % 4 = 1 THEN ' from `other_input`' ELSE '' END || '. Returns some_value.' END AS description FROM g),
 props AS (SELECT o.*, t.description, CASE size % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'boolean' ELSE '' END AS kind, size % 2 = 0 AS required FROM one o JOIN t USING (server, tool))"""
 LINT_SQL = f"""{TOOLS_SQL},
 f AS (SELECT server, tool, 'undeclared_mention' AS "check", 'advisory' AS severity, 'other_input' AS detail FROM t WHERE contains(description, '`other_input`')
 UNION ALL SELECT server, tool, 'unmentioned_required', 'advisory', param FROM props WHERE required AND NOT contains(description, param)
-UNION ALL SELECT server, tool, 'boolean_language', 'blocking', param FROM props WHERE contains(description, 'true') AND contains(description, param) AND kind = 'string'
+UNION ALL SELECT server, tool, 'boolean_language', 'blocking', param FROM props WHERE contains(description, 'true or false') AND contains(description, param) AND kind = 'string'
 UNION ALL SELECT server, tool, 'foreign_value', 'blocking', param || '=' || 'middling' FROM props WHERE contains(description, '''middling''') AND contains(description, param) AND size % 5 = 0
 UNION ALL SELECT server, tool, 'foreign_value', 'blocking', param || '=' || 'other_input' FROM props WHERE contains(description, '`other_input`') AND contains(description, param) AND size % 5 = 0
 UNION ALL SELECT a.server, a.tool, 'name_collision', 'advisory', b.tool FROM t a JOIN t b ON a.server = b.server AND a.tool < b.tool WHERE 1 - levenshtein(a.tool, b.tool)::DOUBLE / greatest(length(a.tool), length(b.tool)) >= 0.8)"""

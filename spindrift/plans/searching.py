@@ -10,7 +10,8 @@ from ..sources.tables import table
 from .registry import query, rounded
 
 STOP = "[" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + "]"
-TERMS = "list_filter(list_transform(regexp_split_to_array(lower({t}), '[ \\t\\n\\r]+'), lambda w: regexp_replace(w, '^[.,;:!?()\\[\\]{{}}\"'']+|[.,;:!?()\\[\\]{{}}\"'']+$', '', 'g')), lambda w: w <> '' AND NOT list_contains(" + STOP + ", w))"
+MARKS = retrieval.MARKS.replace("'", "''")
+TERMS = "list_filter(list_transform(list_filter(regexp_split_to_array(lower({t}), '[ \\t\\n\\r]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[" + MARKS + "]+|[" + MARKS + "]+$', '', 'g')), lambda w: NOT list_contains(" + STOP + ", w))"
 INDEX_SQL = f"""
 idx AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({TERMS.format(t='text')}) AS term FROM documents) GROUP BY doc, term),
 qt AS (SELECT query, term, count(*) AS qf FROM (SELECT item_id AS query, unnest({TERMS.format(t='text')}) AS term FROM benchmark) GROUP BY query, term),

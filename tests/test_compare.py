@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import compare, paired, ranks, resample, rng, trials
+from spindrift.operators import attribution, compare, paired, ranks, resample, rng, trials
 
 SCHEMA = "server string, arm string, task string, selected string, cs double, trial int"
 
@@ -129,6 +129,29 @@ def test_regime_gate_at_the_ceiling(spark):
     assert got.a_accuracy == pytest.approx(0.85) and got.aborted and not got.in_regime
 
 
+def test_the_stream_does_not_wrap(spark):
+    """Draws beyond 2^22 and 2^26, and positions beyond the period."""
+    s, at, want = 42 & rng.MASK, 0, {}
+    for k in (5, (1 << 22) + 5, (1 << 22) + 70_001):
+        while at < k:
+            s, at = (rng.MULTIPLIER * s + rng.INCREMENT) & rng.MASK, at + 1
+        want[k] = s
+    got = {r.k: r.s for r in spark.createDataFrame([(k,) for k in want], "k long").select("k", rng.state(F.col("k")).alias("s")).collect()}
+    assert got == want and len(set(want.values())) == 3
+    far = spark.createDataFrame([(7,), (7 + (1 << 31),), (7 + (1 << 26),)], "k long").select(rng.state(F.col("k")).alias("s")).collect()
+    assert far[0].s == far[1].s != far[2].s
+
+
+def test_bisection_confirms_the_last_item(spark):
+    rows = [("one", f"t{k}", k, 0.3 if k == 4 else 0.0) for k in range(7)] + [("none", f"t{k}", k, 0.01) for k in range(5)] + [("two", f"t{k}", k, 0.2 if k in (1, 5) else -0.01) for k in range(6)]
+    items = spark.createDataFrame(rows, "case_id string, item string, pos long, effect double")
+    effect = items.select("case_id", "item", "effect")
+    assert {tuple(r) for r in attribution.bisection(items.drop("effect"), effect, 0.05, 3).select("case_id", "item").collect()} == {("one", "t4"), ("two", "t1")}
+    found = attribution.greedy_bisection(items.drop("effect"), effect, 0.05, 3)
+    assert {(r.case_id, r.found, r.item) for r in found.collect()} == {("one", 1, "t4"), ("two", 1, "t1"), ("two", 2, "t5")}
+    assert attribution.bisection(items.drop("effect"), effect, 0.05, 3, margin=0.2).select("item").collect() == [("t4",)]
+
+
 def test_correlation_states(spark):
     df = spark.createDataFrame([(k, float(k), 1.0, None if k > 1 else 2.0, float(k * k)) for k in range(6)], "k int, a double, flat double, few double, y double")
     got = {r.field: (r.status, r.spearman) for r in ranks.correlation_table(df, "k", "y", ["a", "flat", "few"]).collect()}

@@ -66,10 +66,21 @@ def test_silent_descriptions(spark, text):
     assert found(spark, tool("find", text, [("user", "string")], ["user"]), tool("other_tool", "Makes x.", [("x", "string")])) == set()
 
 
+@pytest.mark.parametrize(
+    ("text", "hit"),
+    [
+        ("Set count to true.", False), ("Set count. Other is true or false.", False), ("Enable the flag of count.", False), ("count: yes/no", True),
+        ("A boolean count.", True), ("If true, the count is kept as it was; false drops it.", False), ("True for count, else false.", True), ("Set mode to yes or no! Uses count.", False),
+    ],
+)
+def test_yes_and_no_in_the_sentence_of_the_parameter(spark, text, hit):
+    assert (("find", "boolean_language", "count") in found(spark, tool("find", text, [("count", "integer")]))) == hit
+
+
 def test_findings(spark):
     got = found(
         spark,
-        tool("find", "Takes `account_id`. Set count to true.", [("count", "integer"), ("mode", ["a", "b"])], ["ghost"]),
+        tool("find", "Takes `account_id`. Set count to true or false.", [("count", "integer"), ("mode", ["a", "b"])], ["ghost"]),
         tool("finds", "Uses mode 'c'.", [("mode", ["a", "b"])]),
     )
     assert got == {
