@@ -1,6 +1,6 @@
 """Exact long repeats by a sparse enhanced suffix array, spread over the cluster.
 
-A string of ``length`` bytes always holds the least hash of its ``GRAM``-byte
+A string of ``passage`` bytes always holds the least hash of its ``GRAM``-byte
 windows at the same place, so it is enough to look at those anchors: their
 suffixes form a sparse suffix array. Anchors with equal surroundings of
 ``length`` bytes to either side are counted, not compared. The others are dealt
@@ -8,7 +8,9 @@ out by their gram; a task sorts the suffixes of a gram, takes the common prefixe
 of neighbours and scans them with a stack, which yields the intervals of the
 common-prefix tree. In each interval the left extensions are sorted in turn:
 where they differ lies the left end of a maximal repeat, and every run of them
-that is long enough is one repeat group with all its occurrences.
+that is long enough is one repeat group with all its occurrences. Strings of
+``length`` bytes are taken out; those of ``passage`` bytes and more, which are fewer
+than fifty words of prose take, are reported beside them.
 
 A gram with more than ``MOST`` different surroundings is never put in one task:
 its anchors are filed again under longer strings (one half of the offsets at a
@@ -30,6 +32,7 @@ from .scratch import Scratch, partitions
 from .tokens import sliced
 
 LENGTH = 400
+PASSAGE = 240
 GRAM = 48
 MOST = 4096
 SEGMENT = 1 << 19
@@ -150,8 +153,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
 
 
-def _anchor_table(rows: DataFrame, length: int) -> DataFrame:
-    """row, pos, gram and the hash of the surroundings of every anchor."""
+def _anchor_table(rows: DataFrame, length: int, passage: int) -> DataFrame:
+    """row, pos, gram and the hash of the surroundings of every anchor of a string of ``passage`` bytes."""
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,7 @@ def _anchor_table(rows: DataFrame, length: int) -> DataFrame:
             row, pos, gram, around, left, right = [], [], [], [], [], []
             for r, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
                 raw = t.encode()
-                places, hashes = anchors(np.frombuffer(raw, np.uint8), length)
+                places, hashes = anchors(np.frombuffer(raw, np.uint8), passage)
                 n = len(raw)
                 row += [r] * len(places)
                 pos.append(places)
@@ -209,14 +212,16 @@ _SPAN_TYPES = [pa.binary(), pa.int64(), pa.int64()]
 def _halves(strings: DataFrame, length: int) -> DataFrame:
     """Each anchor under two longer strings: the bytes common to all windows of one half of its offsets."""
     schema = WITH_STRINGS + ", around binary, first long, last long"
+    reach = length - GRAM  # of a window before its anchor; the strings themselves reach further
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
                 left, right = r["left"], r["right"]
-                mid = (r["lo"] + r["hi"]) // 2
-                for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
+                top = min(r["hi"], reach)
+                mid = (r["lo"] + top) // 2
+                for lo, hi in ((r["lo"], mid), (mid + 1, top)):
                     a, z = max(lo, length - len(right)), min(hi, len(left))  # bytes that a window takes on the left
                     if a > z:
                         continue
@@ -264,9 +269,13 @@ def _in_groups(strings: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, SPANS)
 
 
-def repeated_spans(scratch: Scratch, rows: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """(row, first, last): byte ranges covered by strings of ``length`` bytes that start elsewhere too."""
-    table = scratch.stage(_anchor_table(rows, length), "anchors")
+def repeated_spans(scratch: Scratch, rows: DataFrame, length: int = LENGTH, most: int = MOST, passage: int = PASSAGE) -> DataFrame:
+    """(row, first, last): byte ranges that start elsewhere too, of ``passage`` bytes and more.
+
+    The ranges of ``length`` bytes and more cover just the bytes of strings of
+    ``length`` bytes that are repeated, all ranges those of ``passage`` bytes.
+    """
+    table = scratch.stage(_anchor_table(rows, length, passage), "anchors")
     place = F.struct("row", "pos")
     kinds = scratch.stage(table.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(place).alias("one")), "kinds")
     grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
@@ -282,32 +291,40 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, length: int = LENGTH, most
     large = grams.where(F.col("kinds") > most).select("gram")
     parts = [whole]
     if large.isEmpty():
-        parts.append(scratch.stage(_in_groups(strings, length), "repeats"))
+        parts.append(scratch.stage(_in_groups(strings, passage), "repeats"))
     else:
         sized = strings.join(chosen.groupBy("gram").agg(F.first("kinds").alias("kinds")).withColumn("gram", _eight_bytes("gram")), "gram")
-        parts.append(scratch.stage(_in_groups(sized.where(F.col("kinds") <= most).drop("kinds"), length), "repeats"))
-        open_rows = sized.where(F.col("kinds") > most).drop("kinds")
-        while True:
-            halves = scratch.stage(_halves(open_rows, length), "halves")
-            counted = halves.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-            counted = scratch.stage(counted, "counted")
-            sizes = counted.groupBy("gram").agg(F.count("*").alias("kinds"))
-            equal = halves.where("single").join(counted.where("n > 1").select("gram", "around"), ["gram", "around"]).select("row", "first", "last")
-            parts.append(scratch.stage(equal, "equal"))
-            lone = counted.join(sizes.where("kinds > 1"), "gram").select("gram", "around", "n", "kinds", "one.row", "one.pos")
-            rest = halves.join(lone, ["gram", "around", "row", "pos"]).withColumn("single", F.col("single") & (F.col("n") == 1)).where("lo < hi")
-            rest = scratch.stage(rest.dropDuplicates(["gram", "around"]).select(*_STRING_NAMES, "kinds"), "rest")
-            parts.append(scratch.stage(_in_groups(rest.where(F.col("kinds") <= most).drop("kinds"), length), "repeats"))
-            open_rows = rest.where(F.col("kinds") > most).drop("kinds")
-            scratch.drop(halves)
-            if open_rows.isEmpty():
-                break
+        parts.append(scratch.stage(_in_groups(sized.where(F.col("kinds") <= most).drop("kinds"), passage), "repeats"))
+        # Small groups give ranges in full length; of equal strings of one offset only that length is known, so both are looked for.
+        for size in sorted({passage, length}):
+            parts += _in_large_groups(scratch, sized.where(F.col("kinds") > most).drop("kinds"), size, most)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _in_large_groups(scratch: Scratch, open_rows: DataFrame, length: int, most: int) -> list[DataFrame]:
+    """Ranges of ``length`` bytes and more among anchors of very many different surroundings."""
+    place = F.struct("row", "pos")
+    parts = []
+    while True:
+        halves = scratch.stage(_halves(open_rows, length), "halves")
+        counted = halves.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+        counted = scratch.stage(counted, "counted")
+        sizes = counted.groupBy("gram").agg(F.count("*").alias("kinds"))
+        equal = halves.where("single").join(counted.where("n > 1").select("gram", "around"), ["gram", "around"]).select("row", "first", "last")
+        parts.append(scratch.stage(equal, "equal"))
+        lone = counted.join(sizes.where("kinds > 1"), "gram").select("gram", "around", "n", "kinds", "one.row", "one.pos")
+        rest = halves.join(lone, ["gram", "around", "row", "pos"]).withColumn("single", F.col("single") & (F.col("n") == 1)).where("lo < hi")
+        rest = scratch.stage(rest.dropDuplicates(["gram", "around"]).select(*_STRING_NAMES, "kinds"), "rest")
+        parts.append(scratch.stage(_in_groups(rest.where(F.col("kinds") <= most).drop("kinds"), length), "repeats"))
+        open_rows = rest.where(F.col("kinds") > most).drop("kinds")
+        scratch.drop(halves)
+        if open_rows.isEmpty():
+            return parts
+
+
 def _eight_bytes(col: str) -> Column:
     """The bytes of a long, highest first, as ``int.to_bytes(8, 'big')`` gives them."""
     return F.unhex(F.lpad(F.hex(col), 16, "0"))
@@ -323,22 +340,25 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[new], last[np.append(new[1:], True)]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, keep_text: bool = False, passage: int = PASSAGE) -> DataFrame:
     """Take every byte out that lies in a string of ``length`` bytes which also starts elsewhere.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Texts are
     UTF-8 bytes (null: empty), matches stay inside a text, and strings are judged
     on the input. Rows repeated under one id are copies of each other. Texts below
     ``length`` bytes stay whole. An empty table gives no rows. Result: doc_id,
-    n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the kept bytes.
+    n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the kept bytes;
+    n_passages and longest_passage are the maximal runs of bytes that lie in strings
+    of ``passage`` bytes (at most ``length``) which also start elsewhere, and the
+    bytes of the longest run (0 without one).
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = _rows(docs)
-    spans = repeated_spans(scratch, rows, length, most)
-    by_row = spans.distinct().groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+    spans = repeated_spans(scratch, rows, length, most, passage)
+    by_row = spans.where(F.col("last") - F.col("first") >= passage).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, longest_passage long" + (", kept binary" if keep_text else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
+    types = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2 + [pa.binary()] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -346,14 +366,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, keep
             lists = b.column("spans")
             for k, (doc_id, t) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())):
                 raw = t.encode()
-                kept, removed, n = raw, 0, 0
+                kept, removed, n, runs, longest = raw, 0, 0, 0, 0
                 if lists[k].is_valid:
                     own = lists[k].values.flatten()
-                    first, last = merged(own[0].to_numpy(zero_copy_only=False), own[1].to_numpy(zero_copy_only=False))
+                    first, last = (x.to_numpy(zero_copy_only=False) for x in own[:2])
+                    a, z = merged(first, last)
+                    runs, longest = len(a), int((z - a).max(initial=0))
+                    long = last - first >= length
+                    first, last = merged(first[long], last[long])
                     n, removed = len(first), int((last - first).sum())
                     edges = [0, *np.ravel(np.column_stack([first, last])).tolist(), len(raw)]
                     kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
-                out.append((doc_id, len(raw), removed, n, hashlib.sha256(kept).hexdigest()) + ((kept,) if keep_text else ()))
+                out.append((doc_id, len(raw), removed, n, hashlib.sha256(kept).hexdigest(), runs, longest) + ((kept,) if keep_text else ()))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 

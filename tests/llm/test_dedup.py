@@ -230,7 +230,9 @@ def brute_repeats(texts, length):
                 covered[k + length] -= 1
         c = np.cumsum(covered)[: len(t)] > 0
         kept = np.frombuffer(t, "u1")[~c].tobytes()
-        out.append((len(t), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        edge = np.diff(np.concatenate([[0], c.astype(int), [0]]))
+        runs = np.flatnonzero(edge < 0) - np.flatnonzero(edge > 0)
+        out.append((len(t), int(c.sum()), len(runs), hashlib.sha256(kept).hexdigest(), int(runs.max(initial=0))))
     return out
 
 
@@ -248,8 +250,10 @@ def test_repeats(spark, most):
         docs.append("".join(rng.choice("hijk") for _ in range(rng.randrange(300))) + "".join(t) + "".join(rng.choice("lmno") for _ in range(rng.randrange(300))))
     docs += [None, "", "a" * 399, "a" * 1000, "b" * 400, "b" * 400, "xyz " * 300]
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(docs)], "doc_id long, text string, row int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df, most=most).collect()}
-    assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in docs], 400)))
+    got = {r.doc_id: r for r in repeats.remove_repeats(df, most=most).collect()}
+    raw = [(t or "").encode() for t in docs]
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == {k: x[:4] for k, x in enumerate(brute_repeats(raw, 400))}
+    assert {k: (r.n_passages, r.longest_passage) for k, r in got.items()} == {k: (x[2], x[4]) for k, x in enumerate(brute_repeats(raw, 240))}
 
 
 def test_repeats_in_rows_repeated_under_one_id(spark):
