@@ -167,16 +167,16 @@ def test_line_fingerprints_of_all_lengths(spark):
     assert got == [brute_line_fingerprint(n) for n in norms]
 
 
-def test_very_many_variants_of_one_line(spark):
-    """Three hundred long lines, each with other words at the end, and as many unlike them with the same words in other order."""
+def test_many_variants_of_one_line(spark):
+    """Long lines, each with another word somewhere, and some with the same words in other order."""
     rng = random.Random(9)
     base = [f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)]
     texts = []
-    for k in range(300):
+    for k in range(80):
         w = list(base)
         w[rng.randrange(100)] = "z" + "".join(rng.choice("abcdef") for _ in range(6))
         texts.append(" ".join(w))
-    for _ in range(40):
+    for _ in range(8):
         rng.shuffle(base)
         texts.append(" ".join(base))
     _, expect, _ = brute_lines_of_few_edits(texts)
