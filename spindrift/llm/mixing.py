@@ -125,12 +125,14 @@ term AS (
 step AS (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM term),
 draw AS (
-  SELECT doc_id, coalesce(source, '') AS source,
+  SELECT doc_id, source AS own_source, coalesce(source, '') AS source, coalesce(text, '') AS text,
          ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents),
 n AS (
-  SELECT d.doc_id, d.source, count(*) AS n FROM draw d JOIN step s ON s.source = d.source AND s.f <= d.u
+  SELECT d.doc_id, d.source, count(*) AS n FROM (SELECT DISTINCT doc_id, source, u FROM draw) d JOIN step s ON s.source = d.source AND s.f <= d.u
   GROUP BY d.doc_id, d.source)
-SELECT doc_id, source, copy::INT AS copy, md5('42:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
-FROM (SELECT doc_id, source, unnest(generate_series(0, n - 1)) AS copy FROM n)
+SELECT doc_id, own_source AS source, copy::INT AS copy, md5('42:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key,
+       length(text) AS n_chars, md5(text) AS text_md5
+FROM (SELECT d.doc_id, d.own_source, d.text, unnest(generate_series(0, n.n - 1)) AS copy
+      FROM draw d JOIN n ON n.doc_id IS NOT DISTINCT FROM d.doc_id AND n.source = d.source)
 """

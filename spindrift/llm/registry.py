@@ -25,11 +25,12 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source at equal weight, one epoch; the rows without their texts."""
+    """Every source at equal weight, one epoch; length and hash are taken of the text that the shuffle delivers."""
     from .mixing import mix_sources
 
-    docs = table(spark, sf_dir, "documents")
-    return mix_sources(docs).select("doc_id", "source", "copy", "shuffle_key")
+    text = F.coalesce("text", F.lit(""))
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "copy", "shuffle_key", F.char_length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
