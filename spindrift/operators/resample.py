@@ -1,8 +1,7 @@
 """Bootstrap replicates and intervals on the reproducible stream.
 
 The draw of replicate r and position j is draw number r * n + j + 1, so replicates
-are made by any task in any order. Values are looked up by an equi-join on
-(group, index), never by a cross join.
+are made by any task in any order (see ``replicates``); draws are not shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rng import pick, uniform
+from .replicates import replicate_sums
 
 # Two-sided 97.5 % points of Student's t for 1 to 29 degrees of freedom, then the normal one.
 T_975 = (
@@ -31,23 +30,17 @@ def bounds(resamples: int, ci: float = 0.95) -> tuple[int, int]:
     return int((1 - ci) / 2 * resamples), min(int((1 + ci) / 2 * resamples) - 1, resamples - 1)
 
 
-def _draws(values: DataFrame, key: str, resamples: int) -> DataFrame:
-    return values.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("k", F.col("r").cast("long") * F.col("n") + F.col("i") + 1)
-
-
 def replicate_means(values: DataFrame, resamples: int = 2000, seed: int = 42, key: str = "server") -> DataFrame:
     """(key, r, m): means of ``resamples`` draws with replacement of ``values`` (key, i, n, x)."""
-    drawn = _draws(values.select(key, "i", "n"), key, resamples).withColumn("at", pick(F.col("k"), F.col("n"), seed))
-    looked_up = drawn.select(key, "r", "at").join(values.select(key, F.col("i").alias("at"), "x"), [key, "at"])
-    return looked_up.groupBy(key, "r").agg(F.avg("x").alias("m"))
+    sums = replicate_sums(values, resamples, seed, (key,), F.col("n"), F.lit(0))
+    return sums.select(key, "r", (F.col("s") / F.col("n")).alias("m"))
 
 
 def flipped_means(values: DataFrame, resamples: int = 2000, seed: int = 42, key: str = "server") -> DataFrame:
     """(key, r, m): wild replicates, every deviation from the mean with a random sign."""
     point = values.groupBy(key).agg(F.avg("x").alias("point"))
-    drawn = _draws(values.join(point, key), key, resamples)
-    sign = F.when(uniform(F.col("k"), seed) >= 0.5, 1.0).otherwise(-1.0)
-    return drawn.groupBy(key, "r").agg((F.max("point") + F.sum(sign * (F.col("x") - F.col("point"))) / F.max("n")).alias("m"))
+    sums = replicate_sums(values.join(point, key), resamples, seed, (key,), F.col("n"), F.lit(0), F.col("point"))
+    return sums.join(point, key).select(key, "r", (F.col("point") + F.col("s") / F.col("n")).alias("m"))
 
 
 def order_statistics(replicates: DataFrame, resamples: int, ci: float = 0.95, key: str = "server") -> DataFrame:
@@ -66,12 +59,9 @@ def difference_replicates(before: DataFrame, after: DataFrame, resamples: int =
     """(key, r, m): means of resampled ``after`` less those of resampled ``before``; before draws first, one stream."""
     sizes = before.select(key, F.col("n").alias("nb")).distinct().join(after.select(key, F.col("n").alias("na")).distinct(), key)
 
-    def side(values: DataFrame, offset: Column) -> DataFrame:
-        drawn = values.select(key, "i", "n").join(sizes, key).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        k = F.col("r").cast("long") * (F.col("nb") + F.col("na")) + offset + F.col("i") + 1
-        drawn = drawn.withColumn("at", pick(k, F.col("n"), seed)).select(key, "r", "at")
-        return drawn.join(values.select(key, F.col("i").alias("at"), "x"), [key, "at"])
+    def side(values: DataFrame, arm: int) -> DataFrame:
+        both, offset = F.col("nb") + F.col("na"), F.col("nb") if arm else F.lit(0)
+        sums = replicate_sums(values.join(sizes, key), resamples, seed, (key,), both, offset)
+        return sums.select(key, "r", (F.col("s") / F.col("n") * (1 if arm else -1)).alias("m"))
 
-    both = side(before, F.lit(0)).withColumn("arm", F.lit(0)).unionByName(side(after, F.col("nb")).withColumn("arm", F.lit(1)))
-    mean = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("x")))
-    return both.groupBy(key, "r").agg((mean(1) - mean(0)).alias("m"))
+    return side(before, 0).unionByName(side(after, 1)).groupBy(key, "r").agg(F.sum("m").alias("m"))

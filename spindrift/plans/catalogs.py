@@ -48,7 +48,7 @@ def fn18_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A document is a tool: its name the source and the first word, its description the first line.
-DENSITY_SQL = """d AS (SELECT source, split_part(text, ' ', 1) AS name, split_part(text, chr(10), 1) AS description, length(text) % 5 AS n_params, length(text) % 5 // 2 AS n_described FROM documents WHERE lang = 'en'),
+DENSITY_SQL = """d AS (SELECT source, split_part(text, ' ', 1) AS name, split_part(text, chr(10), 1) AS description, length(text) % 5 AS n_params, length(text) % 5 // 2 AS n_described FROM documents),
 tk AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(lower(regexp_replace(description, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+')), lambda w: length(w) > 1) AS a,
   list_filter(list_distinct(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+')), lambda w: length(w) > 1) AS b FROM d),
 g AS (SELECT source, count(*) AS n_tools, avg(length(description)) AS mean_length, avg((trim(description) <> '')::INT) AS described_share,
@@ -57,7 +57,7 @@ m AS (SELECT *, 0.30 * least(1.0, mean_length / 200.0) + 0.25 * described_share
 
 
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     n = F.length("text") % 5
     tools = d.select("source", F.split("text", " ", 2)[0].alias("name"), F.split("text", "\n", 2)[0].alias("description"), n.alias("n_params"), F.floor(n / 2).alias("n_described"))
     return T.doc_density(tools, "source")

@@ -26,9 +26,9 @@ w AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM df, n),
 d AS (SELECT doc, term, (1 + ln(tf)) * idf AS w FROM idx JOIN w USING (term)), q AS (SELECT query, term, (1 + ln(qf)) * idf AS v FROM qt JOIN w USING (term)),
 dn AS (SELECT doc, sqrt(sum(w * w)) AS dn FROM d GROUP BY doc), qn AS (SELECT query, sqrt(sum(v * v)) AS qn FROM q GROUP BY query),
 scores AS (SELECT query, doc, any_value(dot) / any_value(dn) / any_value(qn) AS score FROM (SELECT query, doc, sum(v * w) AS dot FROM q JOIN d USING (term) GROUP BY query, doc) JOIN dn USING (doc) JOIN qn USING (query) GROUP BY query, doc)"""
-#: The right document of a passage: the least that holds its first sixty characters.
+#: The right document of a passage of three words or more: the least that holds the whole passage.
 GOLD_SQL = """
-gold AS (SELECT item_id AS query, min(doc_id) AS gold FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY item_id),
+gold AS (SELECT item_id AS query, min(doc_id) AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(list_filter(regexp_split_to_array(b.text, '[^\\p{L}]+'), lambda w: w <> '')) >= 3 GROUP BY item_id),
 own AS (SELECT g.query, g.gold, s.score AS own FROM gold g LEFT JOIN scores s ON s.query = g.query AND s.doc = g.gold),
 rk AS (SELECT o.query, o.gold, any_value(own) AS own, count(*) FILTER (score > own + 1e-12) AS better, count(*) FILTER (score >= own - 1e-12 AND score <= own + 1e-12) AS eq FROM own o LEFT JOIN scores s ON s.query = o.query GROUP BY o.query, o.gold),
 res AS (SELECT query, gold, CASE WHEN own IS NULL THEN n + 1.0 ELSE better + (eq + 1) / 2.0 END AS rank, own, better FROM rk, n)
@@ -43,20 +43,21 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, doc): passages and documents meet on the passage's longest words' terms, then the text decides.
+    """(query, doc): the least document that holds the whole passage; none for passages of fewer than three words.
 
-    A passage that stands in a document shares all its inner words, so the rarest inner word is an exact meeting point.
+    All words but a passage's first and last are whole words of a document that holds it, so
+    passages and documents meet on the rarest of them, and then the text decides.
     """
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    head = bench.select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("head"))
-    words = head.withColumn("inner", F.filter(F.split("head", r"[^\p{L}]+"), lambda w: w != "")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(1))))
+    words = bench.select(F.col("item_id").alias("query"), F.col("text").alias("passage"), F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != "").alias("inner"))
+    words = words.where(F.size("inner") >= 3).withColumn("inner", F.array_distinct(F.slice("inner", 2, F.size("inner") - 2)))
     places = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word"))
     common = places.groupBy("word").agg(F.count("*").alias("df"))
-    each = words.select("query", "head", F.explode("inner").alias("word")).join(common, "word", "left")
-    rarest = each.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), "word"))).where("_r = 1")
-    met = rarest.select("query", "head", "word").join(places, "word").select("query", "head", "doc")
+    each = words.select("query", "passage", F.explode("inner").alias("word")).join(common, "word")
+    rarest = each.groupBy("query").agg(F.min_by(F.struct("word", "passage"), F.struct("df", "word")).alias("at"))
+    met = rarest.select("query", "at.passage", "at.word").join(places, "word").select("query", "passage", "doc")
     text = docs.select(F.col("doc_id").alias("doc"), "text")
-    return met.join(text, "doc").where(F.contains("text", "head")).groupBy("query").agg(F.min("doc").alias("doc"))
+    return met.join(text, "doc").where(F.contains("text", "passage")).groupBy("query").agg(F.min("doc").alias("doc"))
 
 
 @query("rt1_bm25", f"WITH {BM25_SQL} SELECT query, doc, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS r FROM scores) WHERE r <= 10")
