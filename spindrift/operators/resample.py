@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import trials
+from .ranks import average_rank, correlation
 from .replicates import replicate_sums
+from .rng import pick
 
 # Two-sided 97.5 % points of Student's t for 1 to 29 degrees of freedom, then the normal one.
 T_975 = (
@@ -65,3 +68,22 @@ def difference_replicates(before: DataFrame, after: DataFrame, resamples: int =
         return sums.select(key, "r", (F.col("s") / F.col("n") * (1 if arm else -1)).alias("m"))
 
     return side(before, 0).unionByName(side(after, 1)).groupBy(key, "r").agg(F.sum("m").alias("m"))
+
+
+def spearman_interval(pairs: DataFrame, key: str, order: str, resamples: int = 2000, seed: int = 42, ci: float = 0.95) -> DataFrame:
+    """(key, ci_lo, ci_hi, skipped): percentile interval of Spearman's rho of (x, y), pairs drawn together.
+
+    Replicates with a constant side have no rho and are counted as skipped; fewer than
+    two others give no interval. Pairs are numbered by ``order``; rows with a null in
+    either are left out. Percentiles are interpolated.
+    """
+    known = pairs.where("x is not null and y is not null")
+    values = trials.indexed(known.withColumn("_v", F.struct("x", "y")), "_v", order, key)
+    drawn = values.select(key, "i", "n").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn = drawn.select(key, "r", pick(F.col("r").cast("long") * F.col("n") + F.col("i") + 1, F.col("n"), seed).alias("i"))
+    ranked = drawn.join(values.select(key, "i", F.col("x").alias("_v")), [key, "i"]).select(key, "r", "_v.x", "_v.y")
+    ranked = ranked.withColumns({"x": average_rank("x", key, "r"), "y": average_rank("y", key, "r")})
+    rho = ranked.groupBy(key, "r").agg(F.when((F.min("x") < F.max("x")) & (F.min("y") < F.max("y")), correlation("x", "y")).alias("rho"))
+    low, high = (1 - ci) / 2, (1 + ci) / 2
+    bound = lambda p: F.when(F.count("rho") >= 2, F.round(F.percentile("rho", F.lit(p)), 4))
+    return rho.groupBy(key).agg(bound(low).alias("ci_lo"), bound(high).alias("ci_hi"), F.count_if(F.col("rho").isNull()).alias("skipped"))
