@@ -171,3 +171,19 @@ def test_mixing_a_tiny_source_beside_a_large_one(spark):
         u = int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:13], 16) / 2**52
         assert n[k] == first + int((steps <= u).sum())
     assert all(r["max(copy)"] == r["count(1)"] - 1 for r in got)
+
+
+def test_mixing_query_equals_its_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, f"text {k} é\n" * (k % 7 + 1), f"s{k % 3}") for k in range(200)]
+    rows += [(None, "no id", "s1"), (300, None, "s1"), (301, "no source", None), (302, "", "s0"), (5, rows[5][1], "s2"), (5, "another text", "s2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op3_mixing(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(mixing.MIX_SQL)
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    at = [want.columns.index(c) for c in order]
+    assert sorted(repr(tuple(r[c] for c in order)) for r in got.collect()) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
