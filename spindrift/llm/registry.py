@@ -78,14 +78,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def _oracles() -> dict[str, str]:
+    from .collocations import COLLOCATIONS_SQL
     from .mixing import MIX_SQL
     from .warc import WARC_SQL
 
-    return {"op3_mixing": MIX_SQL, "op4_warc": WARC_SQL}
+    return {"op3_mixing": MIX_SQL, "op4_warc": WARC_SQL, "op11_collocations": COLLOCATIONS_SQL}
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op7_nn_descent, op8_line_dedup, op9_token_files, op10_toxicity)
-}
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_suffix_array_dedup, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op7_nn_descent, op8_line_dedup, op9_token_files, op10_toxicity,
+        op11_collocations,
+    )
+}
 ORACLE_SQL: dict[str, str] = _oracles()
