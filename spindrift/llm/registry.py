@@ -84,19 +84,33 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _oracles() -> dict[str, str]:
     from .collocations import COLLOCATIONS_SQL
+    from .exact import EXACT_SQL
     from .mixing import MIX_SQL
+    from .ranked import SEARCH_SQL
     from .warc import WARC_SQL
 
-    return {"op3_mixing": MIX_SQL, "op4_warc": WARC_SQL, "op11_collocations": COLLOCATIONS_SQL}
+    return {"op3_mixing": MIX_SQL, "op4_warc": WARC_SQL, "op11_collocations": COLLOCATIONS_SQL, "op12_ranked_search": SEARCH_SQL, "op13_exact_dedup": EXACT_SQL}
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_suffix_array_dedup, op3_mixing, op4_warc, op5_media_columns, op6_simhash, op7_nn_descent, op8_line_dedup, op9_token_files, op10_toxicity,
-        op11_collocations,
+        op11_collocations, op12_ranked_search, op13_exact_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = _oracles()
