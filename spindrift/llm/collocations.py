@@ -35,6 +35,7 @@ TOP = 2000
 SHARD_BYTES, HELD_BYTES = 8 << 20, 16 << 20
 #: Parts of a language that are ranked apart before the language is, and of a word that joins to many phrases.
 PARTS, SALTS = 256, 8
+OUT_ROWS = 50_000
 _WORD, _SPACE, _BREAK = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = _SPACE
@@ -88,6 +89,19 @@ class SuffixAutomaton:
             text = _joined(words.take(pa.array(self.word[d])), text.take(pa.array(self.link[d])), " ")
             yield text, self.count[d]
 
+    def lefts(self, words: pa.Array, d: int) -> pa.Array:
+        """For each string of ``d + 1`` words, as one text, its count and the words that its extensions to the left begin with.
+
+        ``:12 the of:3``: the string occurs 12 times, once after "the" and three times after "of"; no word holds a colon.
+        """
+        count = self.count[d + 1]
+        number = _joined(pa.scalar(":", pa.large_string()), pa.array(count).cast(pa.large_string()), "")
+        items = _joined(words.take(pa.array(self.word[d + 1])), pc.if_else(pa.array(count > 1), number, pa.scalar("", pa.large_string())), "")
+        own = _joined(pa.scalar(":", pa.large_string()), pa.array(self.count[d]).cast(pa.large_string()), "")
+        ends = np.searchsorted(self.link[d + 1], np.arange(len(own) + 1))  # links are sorted, as the strings were found by sorting
+        after = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), items), pa.scalar(" ", pa.large_string()))
+        return pc.if_else(pa.array(np.diff(ends) > 0), _joined(own, after, " "), own)
+
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, code of each word, its place in its piece) of the texts in a row, A-Z lower-cased."""
@@ -120,8 +134,12 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, codes, order - np.maximum.accumulate(np.where(head, order, 0))
 
 
-def phrase_counts(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(lang, phrase, n) of all strings of one to ``depth`` words; the empty phrase counts all words."""
+def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(lang, phrase, n) of all strings of one to ``depth`` words that occur ``least`` times; the empty phrase counts all words.
+
+    The longest strings travel with their suffix link, as its extensions to the left, and
+    are added up only where the suffix link itself occurs ``least`` times.
+    """
 
     def count(lang: str, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         words, codes, place = words_of(pa.concat_arrays(texts))
@@ -129,11 +147,15 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_
             return
         shard = SuffixAutomaton(codes, place, len(words), depth)
         head = pa.scalar(lang + "\t", pa.large_string())
-        yield pa.record_batch([pa.array([lang + "\t"]), pa.array([len(codes)], pa.int64())], names=["key", "n"])
-        for text, n in shard.phrases(words):
-            for k in range(0, len(n), 50_000):
-                keys = _joined(head, text[k : k + 50_000], "").cast(pa.string())
-                yield pa.record_batch([keys, pa.array(n[k : k + 50_000].astype(np.int64))], names=["key", "n"])
+        yield pa.record_batch([pa.array([lang + "\t"]), pa.array([len(codes)], pa.int64()), pa.array([f":{len(codes)}"])], names=["key", "n", "lefts"])
+        for d, (text, n) in enumerate(shard.phrases(words)):
+            if d == depth - 1:
+                break
+            lefts = shard.lefts(words, d) if d == depth - 2 else _joined(pa.scalar(":", pa.large_string()), pa.array(n).cast(pa.large_string()), "")
+            for k in range(0, len(n), OUT_ROWS):
+                part = slice(k, k + OUT_ROWS)
+                keys = _joined(head, text[part], "").cast(pa.string())
+                yield pa.record_batch([keys, pa.array(n[part].astype(np.int64)), lefts[part].cast(pa.string())], names=["key", "n", "lefts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
@@ -152,11 +174,17 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_
             yield from count(one, texts)
 
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = text.mapInArrow(run, "key string, n long")
-    # Shards have added up their own copies: dealt out first, so that no second table of all phrases is held before the shuffle.
-    whole = counted.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = text.mapInArrow(run, "key string, n long, lefts string")
+    # A key has one row for each shard at most, and what follows needs no other partitioning.
+    often = counted.repartition("key").withColumn("f", F.sum("n").over(Window.partitionBy("key")))
+    often = often.where((F.col("f") >= least) | F.col("key").endswith("\t"))
+    item = F.explode(F.split("lefts", " ")).alias("item")
+    left, n = F.substring_index("item", ":", 1), F.when(F.col("item").contains(":"), F.substring_index("item", ":", -1).cast("long")).otherwise(1)
+    whole = often.select("key", item).select("key", left.alias("left"), n.alias("n")).groupBy("key", "left").agg(F.sum("n").alias("n"))
+    whole = whole.where((F.col("n") >= least) | F.col("key").endswith("\t"))
     cut = F.length("key") - F.locate("\t", F.reverse("key"))
-    return whole.select(F.substring("key", 1, cut).alias("lang"), F.substring_index("key", "\t", -1).alias("phrase"), "n")
+    suffix = F.substring_index("key", "\t", -1)
+    return whole.select(F.substring("key", 1, cut).alias("lang"), F.when(F.col("left") == "", suffix).otherwise(F.concat_ws(" ", "left", suffix)).alias("phrase"), "n")
 
 
 def _salted(phrases: DataFrame, parts: DataFrame, by: str, name: str) -> DataFrame:
@@ -184,7 +212,7 @@ def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, subsum
     one longer text. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "collocations")
-    counts = phrase_counts(docs, depth, shard_bytes).where((F.col("n") >= least) | (F.col("phrase") == ""))
+    counts = phrase_counts(docs, depth, least, shard_bytes)
     counts = scratch.stage(counts.withColumn("size", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))), "frequent")
     totals = counts.where("size = 0").select("lang", F.col("n").alias("all"))
     found = counts.where("size >= 2").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
