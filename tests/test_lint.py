@@ -125,15 +125,16 @@ def test_replay_miss_is_an_error(spark):
 
 
 def test_log_stream_keeps_the_last_record(spark, tmp_path):
-    folder = tmp_path / "log"
-    folder.mkdir()
-    write = lambda n, rows: (folder / f"{n}.json").write_text("\n".join(json.dumps(r) for r in rows))
-    write(0, [{"name": "a", "seq": 1, "tier": "x"}, {"name": "b", "seq": 2, "error": "boom"}])
-    run = lambda: logs.keep_compacted(logs.read_log(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    run()
-    write(1, [{"name": "a", "seq": 3, "tier": "y"}])
-    run()
-    last = spark.read.parquet(str(tmp_path / "out" / "v1"))
+    log, target, checkpoint = (str(tmp_path / x) for x in ("log", "out", "check"))
+    records_of = lambda rows: spark.read.schema(records.STUDY).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+
+    def run(number, rows):
+        logs.append_once(records_of(rows), log, number)
+        logs.keep_latest(logs.read_log(spark, log), "name", "seq", target, checkpoint)
+        return logs.current(spark, target, "name")
+
+    run(0, [{"name": "a", "seq": 1, "tier": "x"}, {"name": "b", "seq": 2, "error": "boom"}])
+    last = run(1, [{"name": "a", "seq": 3, "tier": "y"}])
     assert {(r.name, r.tier) for r in last.collect()} == {("a", "y"), ("b", None)}
     assert [r.name for r in records.finished(last).collect()] == ["a"]
 
