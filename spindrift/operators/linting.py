@@ -11,10 +11,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import mentioned, near_names
-
-# What speaks of a choice of yes and no. True beside false within twenty characters does as well.
-YES_NO = r"(?i)\b(?:true\s*(?:/|or)\s*false|yes\s*(?:/|or)\s*no|boolean|true\b.{0,20}\bfalse)\b"
+from .text import either_prefix, mentioned, near_names, shortened, squeezed
+
+# Patterns. What speaks of a choice of yes and no; sections and sentences on what comes back; examples;
+# values listed with commas, three at least; quoted values; what follows a "not"; words.
+YES_NO = r"(?i)\btrue\s*(?:/|or)\s*false\b|\byes\s*(?:/|or)\s*no\b|\bboolean\b|\btrue\b.{0,20}\bfalse\b"
+RETURNS_SECTION, EXAMPLES_SECTION = r"(?is)\n\s*(?:returns?|output)\s*:.*$", r"(?is)\n\s*examples?\s*:.*$"
+RETURNS = r"(?i)\breturns?\b|\breturning\b"
+EXAMPLE = r"(?i)\(\s*e\.g\.,?[^)]*\)"
+LISTED = r"(?i)(?::\s*)?\b([a-z][a-z0-9_]*(?:\s*,\s*[a-z][a-z0-9_]*){2,})\b"
+QUOTED = "['\"`]([a-zA-Z0-9_\\-]+)['\"`]"
+AFTER_NOT = r"(?i)\bnot\b(.{0,40})"
+WORD = r"[a-zA-Z][a-zA-Z0-9_]*"
+# A name counts as renamed if a word is as near; names and words that are shorter are too common.
+RENAMED_EDITS, RENAMED_LENGTH = 2, 4
 # Names that say nothing.
 GENERIC_NAMES = (
     "tool", "tool1", "tool2", "tool3", "test", "foo", "bar", "baz", "qux", "do_thing", "run_it", "my_tool", "some_tool", "func", "function", "method",
@@ -35,18 +45,27 @@ def _finding(df: DataFrame, check: str, severity: str, detail: Column) -> DataFr
     return df.select("server", "tool", F.lit(check).alias("check"), F.lit(severity).alias("severity"), detail.alias("detail"))
 
 
-def input_text(description: Column) -> Column:
-    """The part of a description that speaks of inputs: no Returns, Output or Examples section, no sentence on what is returned."""
-    cut = F.regexp_replace(F.coalesce(description, F.lit("")), r"(?is)(?:^|\n)\s*(?:returns?|outputs?|examples?)\s*:.*$", "")
-    kept = F.filter(F.split(cut, r"(?<=[.!?])\s+"), lambda s: ~F.regexp_like(s, F.lit(r"(?i)\breturn(?:s|ing|ed)?\b")))
-    return F.regexp_replace(F.array_join(kept, " "), r"(?i)\(\s*e\.g\.[^)]*\)", " ")
+def input_text(description: Column, names: Column | None = None) -> Column:
+    """The part of a description that speaks of inputs.
+
+    Sections on what comes back and on examples are cut off, sentences on what is returned left out, and so are
+    brackets with examples or with the values of one of the properties in ``names`` (``name: ... (a, b)``).
+    """
+    cut = F.coalesce(description, F.lit(""))
+    for section in (RETURNS_SECTION, EXAMPLES_SECTION):
+        cut = F.regexp_replace(cut, section, "")
+    kept = F.array_join(F.filter(F.split(cut, r"(?<=[.!?])\s+"), lambda s: ~F.regexp_like(s, F.lit(RETURNS))), " ")
+    kept = F.regexp_replace(kept, EXAMPLE, " ")
+    if names is None:
+        return kept
+    values = lambda name: F.concat(F.lit(r"(?i)(\b\Q"), name, F.lit(r"\E\s*:[^().]*)\([^)]*\)"))
+    return F.aggregate(names, kept, lambda text, name: F.regexp_replace(text, values(name), F.lit("$1")))
 
 
 def excused(text: Column) -> Column:
     """Identifiers shortly after a 'not', or in a list of three or more."""
-    after_not = F.array_join(F.regexp_extract_all(text, F.lit(r"(?i)\bnot\b(.{0,40})"), 1), " ")
-    listed = F.array_join(F.regexp_extract_all(text, F.lit(r"((?:`?[A-Za-z_][A-Za-z0-9_]*`?\s*,\s*){2,}(?:and\s+|or\s+)?`?[A-Za-z_][A-Za-z0-9_]*`?)"), 1), " ")
-    return F.array_union(mentioned(after_not), mentioned(listed))
+    each = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), mentioned)
+    return F.array_distinct(F.flatten(F.concat(each(AFTER_NOT), each(LISTED))))
 
 
 def undeclared_mentions(tools: DataFrame) -> DataFrame:
@@ -54,7 +73,7 @@ def undeclared_mentions(tools: DataFrame) -> DataFrame:
 
     Siblings come by an anti join on (server, name); no list of a whole catalog is carried along.
     """
-    text = input_text(F.col("description"))
+    text = input_text(F.col("description"), F.col("props.name"))
     own = F.array_union(lowered(F.col("props.name")), F.array(F.lower("tool")))
     named = tools.select("server", "tool", F.explode(F.array_except(F.array_except(mentioned(text), excused(text)), own)).alias("word"))
     siblings = tools.select("server", F.lower("tool").alias("word")).distinct()
@@ -63,12 +82,12 @@ def undeclared_mentions(tools: DataFrame) -> DataFrame:
 
 def undeclared_required(tools: DataFrame) -> DataFrame:
     lost = F.array_except("required", F.col("props.name"))
-    return _finding(tools.withColumn("w", F.explode(lost)), "undeclared_required", "blocking", F.col("w"))
+    return _finding(tools.withColumn("w", F.explode(lost)), "undeclared_required", "info", F.col("w"))
 
 
 def unmentioned_required(tools: DataFrame) -> DataFrame:
     e = tools.withColumn("w", F.explode("required"))
-    return _finding(e.where(~F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lower("w"))), "unmentioned_required", "advisory", F.col("w"))
+    return _finding(e.where(~F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lower("w"))), "unmentioned_required", "info", F.col("w"))
 
 
 def boolean_language(tools: DataFrame) -> DataFrame:
@@ -80,14 +99,29 @@ def boolean_language(tools: DataFrame) -> DataFrame:
 
 
 def foreign_values(tools: DataFrame) -> DataFrame:
-    """Quoted values that a mentioned parameter's choices lack."""
-    quoted = F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("['\"`]([a-zA-Z0-9_-]+)['\"`]"), 1)
+    """Quoted values that a mentioned parameter's choices lack; one finding each time that they are quoted."""
+    quoted = F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit(QUOTED), 1)
     e = tools.withColumn("names", lowered(F.col("props.name"))).withColumn("p", F.explode("props")).where(F.size("p.choices") > 0)
-    e = e.where(F.contains(F.lower("description"), F.lower("p.name"))).withColumn("q", F.explode(F.array_distinct(quoted)))
+    e = e.where(F.contains(F.lower("description"), F.lower("p.name"))).withColumn("q", F.explode(quoted))
     known = F.array_union(lowered(F.col("p.choices")), F.col("names"))
     return _finding(e.where(~F.array_contains(known, F.lower("q"))), "foreign_value", "blocking", F.concat_ws("=", "p.name", "q"))
 
 
+def possibly_renamed(tools: DataFrame) -> DataFrame:
+    """Parameters that the description does not name, while it has a word that is nearly the name: one begins with the other, they are
+    two edits apart at most, and the word is not just the name without a common ending. Of several words the nearest, then the least.
+    """
+    text = F.coalesce("description", F.lit(""))
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), 0))
+    pairs = F.transform(words, lambda w: F.struct(squeezed(w).alias("plain"), w.alias("word")))
+    long = F.filter(pairs, lambda w: F.length(w["plain"]) >= RENAMED_LENGTH)
+    e = tools.withColumn("_words", long).withColumn("p", F.explode("props.name")).where(~F.contains(F.lower(text), F.lower("p")))
+    e = e.withColumn("_p", squeezed(F.col("p"))).where(F.length("_p") >= RENAMED_LENGTH)
+    near = F.filter("_words", lambda w: either_prefix(F.col("_p"), w["plain"]) & ~shortened(F.col("_p"), w["plain"]) & (F.levenshtein(w["plain"], F.col("_p")) <= RENAMED_EDITS))
+    best = F.array_min(F.transform(near, lambda w: F.struct(F.levenshtein(w["plain"], F.col("_p")).alias("edits"), w["word"].alias("word"))))
+    return _finding(e.withColumn("_best", best).where("_best is not null"), "possibly_renamed", "advisory", F.concat_ws("=", "p", "_best.word"))
+
+
 def name_collisions(tools: DataFrame) -> DataFrame:
     """Different tools of a server whose names are near copies."""
     n = near_names(tools.withColumn("_l", F.lower("tool")), "server", "_l")
@@ -95,11 +129,52 @@ def name_collisions(tools: DataFrame) -> DataFrame:
 
 
 def lint(tools: DataFrame) -> DataFrame:
-    """All findings."""
-    checks = (undeclared_mentions, undeclared_required, unmentioned_required, boolean_language, foreign_values, name_collisions)
+    """All findings; a finding that is made twice stands twice."""
+    checks = (undeclared_mentions, undeclared_required, possibly_renamed, unmentioned_required, boolean_language, foreign_values, name_collisions)
     return reduce(DataFrame.unionByName, [check(tools) for check in checks])
 
 
+def finding_rates(tools: DataFrame) -> DataFrame:
+    """One row: tools and catalogs with findings that block or advise, counted and in percent. Near copies of names flag their catalog only."""
+    f = lint(tools).where(F.col("severity") != "info").groupBy("server").agg(F.count_distinct(F.when(F.col("check") != "name_collision", F.col("tool"))).alias("n_flagged"))
+    g = tools.groupBy("server").agg(F.count("*").alias("n_tools")).join(f, "server", "left")
+    flagged, sets = F.coalesce(F.sum("n_flagged"), F.lit(0)), F.count("n_flagged")
+    return g.agg(
+        F.count("*").alias("n_tool_sets"), F.sum("n_tools").alias("n_tools"), flagged.alias("n_flagged_tools"), (100 * flagged / F.sum("n_tools")).alias("pct_flagged_tools"),
+        sets.alias("n_flagged_sets"), (100 * sets / F.count("*")).alias("pct_flagged_sets"),
+    )
+
+
+def new_findings(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
+    """(server, tool, delta, rank): how many findings, of any severity, each changed tool has more than before, most first.
+
+    Both catalogs are whole, as tools are held against their siblings. Findings on a pair of tools are nobody's. ``changed`` holds (server, tool, pos); ties
+    are ranked by ``pos``.
+    """
+    count = lambda tools, name: lint(tools).where(F.col("check") != "name_collision").groupBy("server", "tool").agg(F.count("*").alias(name))
+    both = changed.join(count(before, "_b"), ["server", "tool"], "left").join(count(after, "_a"), ["server", "tool"], "left")
+    delta = both.withColumn("delta", F.coalesce("_a", F.lit(0)) - F.coalesce("_b", F.lit(0)))
+    order = F.struct((-F.col("delta")).alias("by"), "pos", "tool", "delta")
+    ranked = delta.groupBy("server").agg(F.array_sort(F.collect_list(order)).alias("r"))  # the changed tools of one catalog
+    return ranked.select("server", F.posexplode("r").alias("at", "r")).select("server", "r.tool", "r.delta", (F.col("at") + 1).alias("rank"))
+
+
+def renamed_recall(tools: DataFrame) -> DataFrame:
+    """(shape, planted, forward, inverse, either, both): renamed parameters found by their old name in the text, by a near word, by one of the two, by both.
+
+    The defect is planted in every tool that can take it; ``shape`` says whether the old name is one word or several.
+    """
+    bad = DEFECTS["renamed"](tools)
+    was = tools.select("server", "tool", F.col("props.name").alias("_was"))
+    lost = F.element_at(F.array_except("_was", "props.name"), 1)
+    hit = bad.join(was, ["server", "tool"]).where(F.col("_was") != F.col("props.name")).select("server", "tool", lost.alias("_lost"))
+    one = lambda check, name: check(bad).select("server", "tool", F.lit(1).alias(name)).distinct()
+    seen = hit.join(one(undeclared_mentions, "f"), ["server", "tool"], "left").join(one(possibly_renamed, "i"), ["server", "tool"], "left")
+    f, i = F.col("f").isNotNull(), F.col("i").isNotNull()
+    shape = F.when(F.regexp_like("_lost", F.lit("[_ ]|[a-z0-9][A-Z]")), "several words").otherwise("one word")
+    return seen.groupBy(shape.alias("shape")).agg(F.count("*").alias("planted"), F.count_if(f).alias("forward"), F.count_if(i).alias("inverse"), F.count_if(f | i).alias("either"), F.count_if(f & i).alias("both"))
+
+
 def schema_completeness(tools: DataFrame) -> DataFrame:
     """(server, score): points for a description, a type, and being required or having a default, in percent; 0 without parameters."""
     e = tools.withColumn("p", F.explode_outer("props"))

@@ -66,22 +66,36 @@ def decomposed(trials: DataFrame, *keys: str) -> DataFrame:
     return trials.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(right).alias("n_right_tool"), (F.count_if(~right) / F.count("*")).alias("wrong_tool_rate"), F.avg(F.when(right, F.col("cs"))).alias("argument_score"))
 
 
-def paired_arms(runs: DataFrame, key: str = "server", a: str = "a", b: str = "b", noise: str = "a_noise") -> DataFrame:
-    """For each key: what arm b gains over a in points, the noise floor of a second run of a, and McNemar's b and c.
+def paired_arms(runs: DataFrame, key: str = "server", a: str = "a", b: str = "b", noise: str = "a_noise", strict: bool = False) -> DataFrame:
+    """For each key: what arm b gains over a in points, the noise floor of a second run of a, and McNemar's test of selection and of correctness.
 
-    Runs of both arms pair by task and trial; a key without all three arms is left out.
+    Runs of both arms pair by task and trial. ``problem`` says what speaks against comparing them: an arm is missing, the arms
+    a and b have other tool names (``gold``), or the three arms differ in their number of runs; null if nothing does. With ``strict``
+    such a key fails the job. Figures that lack an arm are null.
     """
     p = percentages(runs, key, "arm")
     side = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
     axes = {"selection": "selection_accuracy", "correctness": "call_correctness"}
-    wide = p.groupBy(key).agg(*[side(arm, c).alias(f"_{n}_{k}") for n, c in axes.items() for k, arm in enumerate((a, b, noise))])
-    wide = wide.where(" and ".join(f"_selection_{k} is not null" for k in range(3)))
+    arms = (a, b, noise)
+    wide = p.groupBy(key).agg(*[side(arm, c).alias(f"_{n}_{k}") for n, c in axes.items() for k, arm in enumerate(arms)])
     deltas = [F.bround(F.col(f"_{n}_1") - F.col(f"_{n}_0"), 1).alias(f"{n}_delta") for n in axes]
     floors = [F.bround(F.abs(F.col(f"_{n}_2") - F.col(f"_{n}_0")), 1).alias(f"{n}_floor") for n in axes]
-    hit = F.coalesce(F.col("selected") == F.col("gold"), F.lit(False))
-    of = lambda arm: runs.where(F.col("arm") == arm).select(key, "task", "trial", hit.alias(f"_{arm}"))
-    test = mcnemar(of(a).join(of(b), [key, "task", "trial"]), f"_{a}", f"_{b}", key)
-    return wide.select(key, *deltas, *floors).join(test, key, "left")
+
+    of_arm = lambda x: F.col("arm") == x
+    sizes = runs.groupBy(key).agg(*[F.count_if(of_arm(x)).alias(f"_n{k}") for k, x in enumerate(arms)], *[F.array_sort(F.collect_set(F.when(of_arm(x), F.col("gold")))).alias(f"_names{k}") for k, x in enumerate((a, b))])
+    counts = [F.col(f"_n{k}") for k in range(3)]
+    problem = F.when(F.least(*counts) == 0, "arm missing").when(F.col("_names0") != F.col("_names1"), "names differ").when(F.least(*counts) != F.greatest(*counts), "counts differ")
+    if strict:
+        problem = F.when(problem.isNotNull(), F.raise_error(F.concat(F.col(key).cast("string"), F.lit(": "), problem)).cast("string"))
+    out = wide.select(key, *deltas, *floors).join(sizes.select(key, problem.alias("problem")), key)
+
+    hits = {"selection": F.coalesce(F.col("selected") == F.col("gold"), F.lit(False)), "correctness": F.coalesce("success", F.lit(False))}
+    of = lambda arm: runs.where(of_arm(arm)).select(key, "task", "trial", *[h.alias(f"_{n}_{arm}") for n, h in hits.items()])
+    pairs = of(a).join(of(b), [key, "task", "trial"])
+    for n in axes:
+        test = mcnemar(pairs, f"_{n}_{a}", f"_{n}_{b}", key)
+        out = out.join(test.select(key, *[F.col(c).alias(f"{n}_{c}") for c in test.columns if c != key]), key, "left")
+    return out
 
 
 def effect_errors(effects: DataFrame) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 # Samples and wrong values of each JSON type.
 SAMPLES = {"string": '"example"', "integer": "0", "number": "0", "boolean": "true", "array": "[]", "object": "{}"}
 WRONG_VALUES = {"string": "99999", "integer": '"not_a_number"', "number": '"not_a_number"', "boolean": "[1, 2, 3]", "array": '"not_an_array"', "object": "42"}
+# Labels and arguments of the malformed calls; what an unknown type gets, in an error probe and in a robustness probe.
+MISSING_REQUIRED, WRONG_TYPE, UNKNOWN_PARAM, NULL_VALUE, EXTRA_FIELDS, ALL_NULLS = "missing_required", "wrong_type_", "unknown_param", "null_value", "extra_fields", "all_nulls"
+BAD_FIELD, UNKNOWN_FIELD, NULL_NAME, ALL_NULLS_NAME = '{"__bad_field__": true}', '{"__unknown_field__": "unexpected_value"}', "__null__", "__all_nulls__"
+WRONG_FOR_ERRORS, WRONG_FOR_ROBUSTNESS = "null", "99999"
 # JSON types of annotations; any other is a string.
 ANNOTATIONS = {"str": "string", "int": "integer", "float": "number", "bool": "boolean", "list": "array", "dict": "object"}
 # Words of a name that say nothing of its domain.
@@ -46,11 +50,11 @@ def tasks(tools: DataFrame) -> DataFrame:
     return tools.select("server", "tool", task.alias("task"), args.alias("args"))
 
 
-def _wrong(tools: DataFrame) -> tuple[Column, Column]:
-    """Name of the first required parameter, and a value of a type that it does not have."""
+def _wrong(tools: DataFrame, unknown: str) -> tuple[Column, Column]:
+    """Name of the first required parameter, and a value of a type that it does not have; ``unknown`` for a type that is none."""
     first = F.get("required", F.lit(0))
     prop = F.get(F.filter("props", lambda p: p["name"] == first), F.lit(0))
-    return first, _lookup(WRONG_VALUES, F.coalesce(_type(prop), F.lit("string")), "null")
+    return first, _lookup(WRONG_VALUES, F.coalesce(_type(prop), F.lit("string")), unknown)
 
 
 def _call(label: Column, args: Column) -> Column:
@@ -63,20 +67,20 @@ def _one(name: Column, value: Column) -> Column:
 
 def error_probes(tools: DataFrame) -> DataFrame:
     """(server, tool, label, args): no arguments and one of a wrong type; an unknown field where nothing is required."""
-    first, value = _wrong(tools)
-    needed = F.array(_call(F.lit("missing_required"), F.lit("{}")), _call(F.concat(F.lit("wrong_type_"), first), _one(first, value)))
-    free = F.array(_call(F.lit("unknown_param"), F.lit('{"__bad_field__": true}')))
+    first, value = _wrong(tools, WRONG_FOR_ERRORS)
+    needed = F.array(_call(F.lit(MISSING_REQUIRED), F.lit("{}")), _call(F.concat(F.lit(WRONG_TYPE), first), _one(first, value)))
+    free = F.array(_call(F.lit(UNKNOWN_PARAM), F.lit(BAD_FIELD)))
     return tools.select("server", "tool", F.explode(F.when(F.size("required") > 0, needed).otherwise(free)).alias("p")).select("server", "tool", "p.*")
 
 
 def robustness_probes(tools: DataFrame) -> DataFrame:
     """(server, tool, label, args): a null, an unknown field, and a wrong type or all nulls."""
-    first, value = _wrong(tools)
-    target = F.coalesce(first, F.get("props.name", F.lit(0)), F.lit("__null__"))
+    first, value = _wrong(tools, WRONG_FOR_ROBUSTNESS)
+    target = F.coalesce(first, F.get("props.name", F.lit(0)), F.lit(NULL_NAME))
     nulls = F.array_join(F.transform("props", lambda p: F.concat(F.lit('"'), p["name"], F.lit('": null'))), ", ")
-    nulls = F.when(F.size("props") > 0, F.concat(F.lit("{"), nulls, F.lit("}"))).otherwise('{"__all_nulls__": null}')
-    third = F.when(first.isNull(), _call(F.lit("all_nulls"), nulls)).otherwise(_call(F.concat(F.lit("wrong_type_"), first), _one(first, value)))
-    calls = F.array(_call(F.lit("null_value"), _one(target, F.lit("null"))), _call(F.lit("extra_fields"), F.lit('{"__unknown_field__": "unexpected_value"}')), third)
+    nulls = F.when(F.size("props") > 0, F.concat(F.lit("{"), nulls, F.lit("}"))).otherwise(_one(F.lit(ALL_NULLS_NAME), F.lit("null")))
+    third = F.when(first.isNull(), _call(F.lit(ALL_NULLS), nulls)).otherwise(_call(F.concat(F.lit(WRONG_TYPE), first), _one(first, value)))
+    calls = F.array(_call(F.lit(NULL_VALUE), _one(target, F.lit("null"))), _call(F.lit(EXTRA_FIELDS), F.lit(UNKNOWN_FIELD)), third)
     return tools.select("server", "tool", F.explode(calls).alias("p")).select("server", "tool", "p.*")
 
 

@@ -29,11 +29,14 @@ def token_set(text: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop) if stop else F.length(w) > 1)
 
 
+# What is an identifier in a text.
+TICKED, JOINED = r"`([a-zA-Z_][a-zA-Z0-9_]*)`", r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"
+
+
 def mentioned(text: Column) -> Column:
-    """Identifiers named in a text: in backticks, or of several words joined by underscores; lower case, sorted."""
-    ticked = F.regexp_extract_all(text, F.lit("`([A-Za-z_][A-Za-z0-9_]*)`"), 1)
-    joined = F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+)"), 1)
-    return F.array_sort(F.array_distinct(F.transform(F.concat(ticked, joined), lambda w: F.lower(w))))
+    """Identifiers named in a text: in backticks, or lower-case words joined by underscores; lower case, sorted."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(TICKED), 1), F.regexp_extract_all(text, F.lit(JOINED), 1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.lower(w))))
 
 
 def either_prefix(a: Column, b: Column) -> Column:
@@ -41,9 +44,8 @@ def either_prefix(a: Column, b: Column) -> Column:
 
 
 def shortened(param: Column, word: Column) -> Column:
-    """Whether ``param`` is ``word`` with a common ending."""
-    rest = F.substr(param, F.length(word) + 1)
-    return F.startswith(param, word) & F.ltrim(rest, F.lit("_")).isin(*SHORT_ENDINGS)
+    """Whether ``param`` is ``word`` with a common ending; both squeezed."""
+    return F.startswith(param, word) & F.substr(param, F.length(word) + 1).isin(*SHORT_ENDINGS)
 
 
 def leading_token(name: Column) -> Column:

@@ -36,7 +36,7 @@ def fn2_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_name", T.snake(c).alias("snake"), T.squeezed(c).alias("squeezed"), T.leading_token(c).alias("leading")).distinct()
 
 
-@query("fn5_mentions", """SELECT page_id, list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(html, '`([A-Za-z_][A-Za-z0-9_]*)`', 1), regexp_extract_all(html, '([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+)', 1)), lambda w: lower(w)))) AS mentions FROM pages""")
+@query("fn5_mentions", """SELECT page_id, list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(html, '`([A-Za-z_][A-Za-z0-9_]*)`', 1), regexp_extract_all(html, '\\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\\b', 1)), lambda w: lower(w)))) AS mentions FROM pages""")
 def fn5_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.mentioned(F.col("html")).alias("mentions"))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import linting, outcomes, paired, probes, ranks, resample, rng, trials
+from ..operators import outcomes, paired, probes, ranks, resample, rng, trials
 from ..sources.tables import EVENT_TRIALS_SQL, event_trials, table
 from .comparison import DELTAS_SQL, PAIRS_SQL, T_SQL, replicates_sql
-from .lint_queries import LINT_SQL, TOOLS_SQL, tools
+from .lint_queries import TOOLS_SQL, tools
 from .registry import query, rounded
 
 KNOWN = ("click", "view", "purchase", "signup")
@@ -130,17 +130,26 @@ def ag28_regime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count("*").alias("n_families"), F.count_if(inside & ~aborted).alias("n_in"), F.count_if(~inside & ~aborted).alias("n_out"), F.count_if(aborted).alias("n_aborted"), F.bool_or(inside & ~aborted).alias("in_regime"))
 
 
-HT4_SQL = f"""WITH {RUNS_SQL}, p AS (SELECT server, arm, round_even(100.0 * avg((selected = gold)::INT), 1) AS s, round_even(100.0 * avg(success::INT), 1) AS c FROM runs GROUP BY server, arm),
-w AS (SELECT server, max(s) FILTER (arm = 'a') AS sa, max(s) FILTER (arm = 'b') AS sb, max(s) FILTER (arm = 'a_noise') AS sn, max(c) FILTER (arm = 'a') AS ca, max(c) FILTER (arm = 'b') AS cb, max(c) FILTER (arm = 'a_noise') AS cn FROM p GROUP BY server),
-m AS (SELECT x.server, count(*) FILTER (x.selected = x.gold AND y.selected <> y.gold) AS b, count(*) FILTER (x.selected <> x.gold AND y.selected = y.gold) AS c FROM runs x JOIN runs y ON x.server = y.server AND x.task = y.task AND x.trial = y.trial AND x.arm = 'a' AND y.arm = 'b' GROUP BY x.server),
-t AS (SELECT *, round(CASE WHEN b + c = 0 THEN 0.0 WHEN b + c < 10 THEN (b - c)::DOUBLE ELSE (abs(b - c) - 1)::DOUBLE ** 2 / (b + c) END, 4) AS statistic FROM m)
-SELECT server, round_even(sb - sa, 1) AS selection_delta, round_even(cb - ca, 1) AS correctness_delta, round_even(abs(sn - sa), 1) AS selection_floor, round_even(abs(cn - ca), 1) AS correctness_floor, b, c, statistic,
-  CASE WHEN b IS NULL THEN NULL WHEN b + c < 10 THEN 'too_few' WHEN statistic > 3.841 THEN CASE WHEN b > c THEN 'a_better' ELSE 'b_better' END ELSE 'no_difference' END AS verdict
-FROM w LEFT JOIN t USING (server) WHERE sa IS NOT NULL AND sb IS NOT NULL AND sn IS NOT NULL"""
+def _mcnemar_sql(name: str, x: str, y: str) -> str:
+    """Tables ``m_name`` and ``t_name``: McNemar's counts and verdict of two conditions on the rows x and y."""
+    return f"""m_{name} AS (SELECT x.server, count(*) FILTER ({x} AND NOT {y}) AS b, count(*) FILTER (NOT {x} AND {y}) AS c FROM runs x JOIN runs y ON x.server = y.server AND x.task = y.task AND x.trial = y.trial AND x.arm = 'a' AND y.arm = 'b' GROUP BY x.server),
+s_{name} AS (SELECT *, round(CASE WHEN b + c = 0 THEN 0.0 WHEN b + c < 10 THEN (b - c)::DOUBLE ELSE (abs(b - c) - 1)::DOUBLE ** 2 / (b + c) END, 4) AS statistic FROM m_{name}),
+t_{name} AS (SELECT *, CASE WHEN b + c < 10 THEN 'too_few' WHEN statistic > 3.841 THEN CASE WHEN b > c THEN 'a_better' ELSE 'b_better' END ELSE 'no_difference' END AS verdict FROM s_{name})"""
+
+
+HT4_SQL = f"""WITH {RUNS_SQL}, p AS (SELECT server, arm, round_even(100.0 * avg((selected = gold)::INT), 1) AS s, round_even(100.0 * avg(success::INT), 1) AS c, count(*) AS n, list_sort(list(DISTINCT gold)) AS names FROM runs GROUP BY server, arm),
+w AS (SELECT server, max(s) FILTER (arm = 'a') AS sa, max(s) FILTER (arm = 'b') AS sb, max(s) FILTER (arm = 'a_noise') AS sn, max(c) FILTER (arm = 'a') AS ca, max(c) FILTER (arm = 'b') AS cb, max(c) FILTER (arm = 'a_noise') AS cn,
+  count(*) AS arms, min(n) AS least, max(n) AS most, max(names) FILTER (arm = 'a') AS na, max(names) FILTER (arm = 'b') AS nb FROM p GROUP BY server),
+{_mcnemar_sql("s", "x.selected = x.gold", "y.selected = y.gold")}, {_mcnemar_sql("c", "x.success", "y.success")}
+SELECT server, round_even(sb - sa, 1) AS selection_delta, round_even(cb - ca, 1) AS correctness_delta, round_even(abs(sn - sa), 1) AS selection_floor, round_even(abs(cn - ca), 1) AS correctness_floor,
+  s.b AS selection_b, s.c AS selection_c, s.statistic AS selection_statistic, s.verdict AS selection_verdict, c.b AS correctness_b, c.c AS correctness_c, c.statistic AS correctness_statistic, c.verdict AS correctness_verdict,
+  CASE WHEN arms < 3 THEN 'arm missing' WHEN na <> nb THEN 'names differ' WHEN least <> most THEN 'counts differ' END AS problem
+FROM w LEFT JOIN t_s s USING (server) LEFT JOIN t_c c USING (server)"""
 
 
 @query("ht4_paired_arms", HT4_SQL)
 def ht4_paired_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of every server, and what speaks against comparing its arms."""
     return outcomes.paired_arms(runs(spark, sf_dir))
 
 
@@ -212,19 +221,6 @@ def prj28_effect_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.effect_errors(e).select("o_orderkey", "errors")
 
 
-@query("ag45_finding_rates", f"""WITH {LINT_SQL}, flagged AS (SELECT DISTINCT server, tool FROM f WHERE "check" <> 'name_collision'), n AS (SELECT server, count(*) AS n_tools FROM t GROUP BY server),
-c AS (SELECT server, count(*) AS n_flagged FROM flagged GROUP BY server), any_f AS (SELECT DISTINCT server FROM f)
-SELECT count(*) AS n_tool_sets, sum(n_tools)::BIGINT AS n_tools, coalesce(sum(n_flagged), 0)::BIGINT AS n_flagged_tools, round(100 * coalesce(sum(n_flagged), 0) / sum(n_tools), 6) AS pct_flagged_tools,
-  count(a.server) AS n_flagged_sets, round(100.0 * count(a.server) / count(*), 6) AS pct_flagged_sets FROM n LEFT JOIN c USING (server) LEFT JOIN any_f a USING (server)""")
-def ag45_finding_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tools and catalogs with findings; near copies of names flag the catalog only."""
-    t = tools(spark, sf_dir)
-    f = linting.lint(t).groupBy("server").agg(F.count_distinct(F.when(F.col("check") != "name_collision", F.col("tool"))).alias("n_flagged"))
-    g = t.groupBy("server").agg(F.count("*").alias("n_tools")).join(f, "server", "left")
-    flagged = F.coalesce(F.sum("n_flagged"), F.lit(0))
-    return rounded(g.agg(F.count("*").alias("n_tool_sets"), F.sum("n_tools").alias("n_tools"), flagged.alias("n_flagged_tools"), (100 * flagged / F.sum("n_tools")).alias("pct_flagged_tools"), F.count("n_flagged").alias("n_flagged_sets"), (100 * F.count("n_flagged") / F.count("*")).alias("pct_flagged_sets")))
-
-
 VALUE_SQL = "CASE WHEN size % 5 = 0 THEN '\"low\"' WHEN kind = 'boolean' THEN 'true' ELSE '\"example\"' END"
 
 

@@ -60,7 +60,7 @@ def found(spark, *tools):
 
 @pytest.mark.parametrize(
     "text",
-    ["There is no risk for user.", "Uses user.\nReturns:\n  user_record", "Uses user.\nExamples: a_b", "Takes user and returns a status_code.", "Not the internal `account_id`, but user.", "user one of: a_b, c_d, e_f", "user (e.g., a_b)", "Takes user after other_tool."],
+    ["There is no risk for user.", "Uses user.\nReturns:\n  user_record", "Uses user.\nExamples: a_b", "Takes user and returns a status_code.", "Not the internal `account_id`, but user.", "user one of: a_b, c_d, e_f", "user (e.g., a_b)", "Takes user after other_tool.", "user: who (past_hour, past_day)", "Not for `a_b`, user.", "User: MRR_rate."],
 )
 def test_silent_descriptions(spark, text):
     assert found(spark, tool("find", text, [("user", "string")], ["user"]), tool("other_tool", "Makes x.", [("x", "string")])) == set()
@@ -93,6 +93,47 @@ def test_findings(spark):
     }
 
 
+@pytest.mark.parametrize(
+    ("text", "prop", "word"),
+    [
+        ("Pages the qury.", "query", None), ("The querys text.", "query", None), ("Takes customerId here.", "customer_id_v2", "customerId"), ("The customer to find.", "customer_id", None),
+        ("Sets the limits.", "limitss", "limits"), ("Sets lim.", "limit", None), ("The names.", "name", None), ("The page.", "name", None), ("Uses modes and mode_s.", "modesx", "mode_s"), ("Sets limit_v.", "limit_v2", "limit_v"),
+    ],
+)
+def test_parameters_that_may_have_been_renamed(spark, text, prop, word):
+    got = {(c, d) for _, c, d in found(spark, tool("find", text, [(prop, "string")])) if c == "possibly_renamed"}
+    assert got == ({("possibly_renamed", f"{prop}={word}")} if word else set())
+
+
+def test_severities(spark):
+    df = spark.createDataFrame([tool("find", "Takes `account_id`. Set count to true or false. Limits.", [("count", "integer"), ("limitss", "string")], ["ghost"])], TOOLS)
+    assert {r.check: r.severity for r in linting.lint(df).collect()} == {"undeclared_mention": "advisory", "boolean_language": "blocking", "undeclared_required": "info", "unmentioned_required": "info", "possibly_renamed": "advisory"}
+
+
+def test_rates_leave_information_out(spark):
+    quiet, loud, blank = tool("find", "Nothing.", (), ["ghost"]), tool("make", "Takes `account_id`."), tool("name", "Text.")
+    rows = [quiet, loud, blank, ("other", *quiet[1:])]
+    (got,) = linting.finding_rates(spark.createDataFrame(rows, TOOLS)).collect()
+    assert got.asDict() == {"n_tool_sets": 2, "n_tools": 4, "n_flagged_tools": 1, "pct_flagged_tools": 25.0, "n_flagged_sets": 1, "pct_flagged_sets": 50.0}
+
+
+def test_new_findings_rank_the_tool_that_got_worse(spark):
+    before = [tool("set_flag", "Set the mode.", [("mode", "string")]), tool("get_flag", "Get the mode.", [("mode", "string")])]
+    after = [tool("set_flag", "Set the mode to true/false as needed.", [("mode", "integer")]), tool("get_flag", "Get the mode.", [("mode", "string")])]
+    frame = lambda rows: spark.createDataFrame(rows, TOOLS)
+    changed = spark.createDataFrame([("s", "get_flag", 0), ("s", "set_flag", 1)], "server string, tool string, pos int")
+    got = linting.new_findings(frame(before), frame(after), changed).orderBy("rank").collect()
+    assert [(r.tool, r.delta) for r in got] == [("set_flag", 1), ("get_flag", 0)]
+    twice = [tool("set_flag", "Set the mode to 'x' or 'x'.", [("mode", ["a"])]), before[1]]
+    assert [(r.tool, r.delta) for r in linting.new_findings(frame(twice), frame(before), changed).orderBy("rank").collect()] == [("get_flag", 0), ("set_flag", -2)]
+
+
+def test_renamed_recall_by_shape(spark):
+    rows = [tool("a", "Uses `user_name`.", [("user_name", "string")]), tool("b", "Uses limit.", [("limit", "string")]), tool("c", "No name.", [("zzz", "string")])]
+    got = {r["shape"]: tuple(r)[1:] for r in linting.renamed_recall(spark.createDataFrame(rows, TOOLS)).collect()}
+    assert got == {"several words": (1, 1, 1, 1, 1), "one word": (1, 0, 1, 1, 0)}
+
+
 @pytest.mark.parametrize(("defect", "check"), [("renamed", "unmentioned_required"), ("flipped", "boolean_language"), ("foreign", "foreign_value"), ("ghost", "undeclared_required"), ("forgotten", "unmentioned_required")])
 def test_planted_defects_are_found(spark, defect, check):
     clean = spark.createDataFrame([tool("find", "Looks up user.", [("user", "string")], ["user"])], TOOLS)

@@ -36,9 +36,17 @@ def test_paired_arms(spark):
     for arm, right in (("a", 12), ("b", 2), ("a_noise", 13)):
         rows += [("s", arm, f"t{k % 4}", k, "x", "x" if k < right else "y", True) for k in range(20)]
     rows += [("lone", "a", "t", 0, "x", "x", True)]
-    (got,) = outcomes.paired_arms(spark.createDataFrame(rows, RUN)).collect()
-    assert (got["selection_delta"], got["selection_floor"], got["correctness_delta"]) == (-50.0, 5.0, 0.0)
-    assert (got["b"], got["c"], got["statistic"], got["verdict"]) == (10, 0, 8.1, "a_better")
+    got = {r.server: r for r in outcomes.paired_arms(spark.createDataFrame(rows, RUN)).collect()}
+    s = got["s"]
+    assert (s.selection_delta, s.selection_floor, s.correctness_delta, s.problem) == (-50.0, 5.0, 0.0, None)
+    assert (s.selection_b, s.selection_c, s.selection_statistic, s.selection_verdict) == (10, 0, 8.1, "a_better")
+    assert (s.correctness_b, s.correctness_c, s.correctness_statistic, s.correctness_verdict) == (0, 0, 0.0, "too_few")
+    assert got["lone"].problem == "arm missing" and got["lone"].selection_delta is None
+    with pytest.raises(Exception, match="lone: arm missing"):
+        outcomes.paired_arms(spark.createDataFrame(rows, RUN), strict=True).collect()
+    uneven = [("c", arm, "t", k, "x", "x", True) for arm, n in (("a", 2), ("b", 2), ("a_noise", 1)) for k in range(n)]
+    names = [("n", arm, "t", 0, "y" if arm == "b" else "x", "x", True) for arm in ("a", "b", "a_noise")]
+    assert {r.server: r.problem for r in outcomes.paired_arms(spark.createDataFrame(uneven + names, RUN)).collect()} == {"c": "counts differ", "n": "names differ"}
 
 
 def test_effect_errors(spark):
@@ -80,6 +88,9 @@ def test_probes_and_samples(spark):
     robust = {(r["tool"], r["label"]): r["args"] for r in probes.robustness_probes(df).collect()}
     assert robust[("add", "null_value")] == '{"a": null}' and robust[("none", "null_value")] == '{"__null__": null}' and robust[("none", "all_nulls")] == '{"__all_nulls__": null}'
     assert len(robust) == 6
+    odd = df.where("tool = 'add'").withColumn("required", F.array(F.lit("c")))  # a type that is none
+    assert {r["label"]: r["args"] for r in probes.error_probes(odd).collect()}["wrong_type_c"] == '{"c": null}'
+    assert {r["label"]: r["args"] for r in probes.robustness_probes(odd).collect()}["wrong_type_c"] == '{"c": 99999}'
     kept = df.where("tool = 'add'").select(probes.guarded_required(F.col("required"), F.col("props")).alias("g")).first()["g"]
     assert kept == ["a"]
 
