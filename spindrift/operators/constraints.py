@@ -40,3 +40,14 @@ def renamed(calls: DataFrame, renames: DataFrame) -> DataFrame:
     m = renames.agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_m"))
     moved = F.transform("constraints", lambda c: c.withField("param", F.coalesce(F.try_element_at("_m", c["param"]), c["param"])))
     return calls.crossJoin(F.broadcast(m)).withColumn("constraints", moved).drop("_m")
+
+
+def corrected(calls: DataFrame, renames: DataFrame, *keys: str) -> DataFrame:
+    """(keys, score): the share of constraints that hold under the new names; 0 for calls that could not be read, chose another tool or failed.
+
+    ``calls`` holds parse_failed, selected, target, success, args and constraints besides the keys; a null of the first four counts as the failure.
+    """
+    fine = ~F.coalesce("parse_failed", F.lit(True)) & F.coalesce(F.col("selected") == F.col("target"), F.lit(False)) & F.coalesce("success", F.lit(False))
+    marked = calls.withColumn("_fine", fine)
+    share = satisfaction(renamed(marked, renames), *keys, "_fine")
+    return share.select(*keys, F.when(F.col("_fine"), F.col("share")).otherwise(0.0).alias("score"))

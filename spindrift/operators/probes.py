@@ -42,6 +42,14 @@ def sample_value(prop: Column) -> Column:
     return F.when(F.size(prop["choices"]) > 0, chosen).otherwise(_lookup(SAMPLES, _type(prop), "null"))
 
 
+def listing_line() -> Column:
+    """A tool as one line: name, first line of its description, parameters with their types."""
+    text = F.when(F.coalesce("description", F.lit("")) == "", "(no description)").otherwise(F.substring_index("description", "\n", 1))
+    param = lambda p: F.when(F.coalesce(p["type"], F.lit("")) == "", p["name"]).otherwise(F.concat(p["name"], F.lit(":"), p["type"]))
+    params = F.when(F.size("props") > 0, F.array_join(F.transform("props", param), ", ")).otherwise("(no params)")
+    return F.concat("tool", F.lit(" — "), text, F.lit(" | "), params)
+
+
 def tasks(tools: DataFrame) -> DataFrame:
     """(server, tool, task, args): the text of a tool's task and its sample arguments, in the order of ``props``."""
     text = F.coalesce("description", F.lit(""))

@@ -186,3 +186,24 @@ def rescaled(value: str, *keys: str) -> Column:
     w = Window.partitionBy(*keys)
     lo, hi = F.min(value).over(w), F.max(value).over(w)
     return F.when(hi == lo, F.lit(50.0)).otherwise(100.0 * (F.col(value) - lo) / (hi - lo))
+
+
+def several_culprits_guard(items: DataFrame) -> DataFrame:
+    """One row: how far true items stand out by the size of their change, where a case may have several.
+
+    ``items`` holds case_id, pos, size and truth. A case's largest change is its first largest. A true item is ranked among
+    itself and the decoys of its case only (0: largest, 1: smallest, ties averaged; without a decoy not ranked); the mean rank is 0.5 where none is ranked. Cases
+    without a true item count as cases.
+    """
+    true = F.coalesce("truth", F.lit(False))
+    decoys = F.array_sort(F.collect_list(F.when(~true, F.col("size"))))  # a case's own items
+    case = items.groupBy("case_id").agg(
+        F.max_by(true, F.struct("size", (-F.col("pos")).alias("p"))).alias("top"), F.max(F.when(~true, F.col("size"))).alias("decoy"), F.min(F.when(true, F.col("size"))).alias("least"), decoys.alias("decoys"),
+    )
+    shares = case.agg(F.count("*").alias("n_cases"), F.coalesce(F.avg(F.col("top").cast("double")), F.lit(0.0)).alias("true_is_largest"), F.coalesce(F.avg(F.coalesce(F.col("decoy") > F.col("least"), F.lit(False)).cast("double")), F.lit(0.0)).alias("decoy_over_least_true"))
+    one = items.where(true).join(case.select("case_id", "decoys"), "case_id")
+    larger = F.size(F.filter("decoys", lambda d: d > F.col("size")))
+    ties = F.size(F.filter("decoys", lambda d: d == F.col("size")))
+    rank = F.when(F.size("decoys") > 0, (larger + ties / 2) / F.size("decoys"))
+    each = one.agg(F.count("*").alias("n_true"), F.count_distinct("pos").alias("n_positions"), F.coalesce(F.avg(rank), F.lit(0.5)).alias("mean_fractional_rank"))
+    return shares.crossJoin(each)  # one row each

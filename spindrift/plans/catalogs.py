@@ -87,12 +87,6 @@ def jn4_undeclared_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_brand", T.undeclared_required(F.col("required"), F.col("props")).alias("undeclared"))
 
 
-@query("prj21_tool_listing", """SELECT p_brand || ' - ' || min(p_name) || ' | ' || string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS line FROM part GROUP BY p_brand""")
-def prj21_tool_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = F.array_join(F.array_sort(F.collect_set("p_type")), ",")
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.first("p_brand"), F.lit(" - "), F.min("p_name"), F.lit(" | "), types).alias("line")).select("line")
-
-
 #: Answers of a judge, made from the texts of conversations.
 ANSWERS_SQL = """a AS (SELECT conv_id, turn, CASE (length(text) + turn) % 5 WHEN 0 THEN 'Verdict: YES, score ' || length(text) % 11 WHEN 1 THEN 'no. ' || left(text, 20) WHEN 2 THEN '**Yes** 7.5' WHEN 3 THEN 'verdict - no (score: ' || length(text) % 7 || ')' ELSE left(text, 30) END AS answer FROM conversations),
 v AS (SELECT *, coalesce(nullif(upper(regexp_extract(answer, '(?i)verdict[^A-Za-z]{0,5}(yes|no)', 1)), ''), nullif(upper(regexp_extract(answer, '(?i)^[^A-Za-z]*(yes|no)(?:[^A-Za-z]|$)', 1)), '')) AS vote,

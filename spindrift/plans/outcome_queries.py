@@ -169,15 +169,16 @@ def ag42_pooled_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn12_before_after", f"""WITH {EVENT_TRIALS_SQL}, {PAIRS_SQL}, one AS (SELECT server, round(before_mean, 9) AS before_mean, round(after_mean, 9) AS after_mean FROM pairs), two AS (FROM one UNION ALL SELECT 'pooled', before_mean, after_mean FROM one),
 k AS (SELECT *, rank() OVER (PARTITION BY server ORDER BY before_mean) + (count(*) OVER (PARTITION BY server, before_mean) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY server ORDER BY after_mean) + (count(*) OVER (PARTITION BY server, after_mean) - 1) / 2.0 AS ry FROM two)
-SELECT server, count(*) AS n, round(coalesce(corr(rx, ry), 0), 6) AS spearman, round(coalesce(corr(before_mean, after_mean), 0), 6) AS pearson FROM k GROUP BY server HAVING count(*) >= 3""")
+SELECT server, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(coalesce(corr(rx, ry), 0), 6) END AS spearman, CASE WHEN count(*) >= 3 THEN round(coalesce(corr(before_mean, after_mean), 0), 6) END AS pearson FROM k GROUP BY server""")
 def jn12_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the task means of the arms go together, of each pair of three shared tasks or more and of all pairs pooled."""
+    """How the task means of the arms go together, of each pair and of all pairs pooled; pairs of fewer than three shared tasks have their number only."""
     pairs = trials.matched(trials.paired(event_trials(spark, sf_dir)))
     pairs = pairs.select("server", F.round("before_mean", 9).alias("x"), F.round("after_mean", 9).alias("y"))  # ties do not hang on the order of sums
     pairs = pairs.unionByName(pairs.withColumn("server", F.lit("pooled")))
     a = ranks.spearman(pairs, "server").withColumnRenamed("r", "spearman")
     b = ranks.pearson(pairs, "server").select("server", F.col("r").alias("pearson"))
-    return rounded(a.join(b, "server").where("n >= 3"))
+    enough = lambda c: F.when(F.col("n") >= 3, F.col(c)).alias(c)
+    return rounded(a.join(b, "server").select("server", "n", enough("spearman"), enough("pearson")))
 
 
 SPEARMAN_REPLICATES = 300
