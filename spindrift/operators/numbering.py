@@ -1,7 +1,7 @@
 """Row numbers of an ordered table without putting it, or a large group of it, in one task.
 
-Rows are dealt out by ranges of the order and written with the number of their range; the rows of a
-range are numbered by themselves, and counts of the ranges before are added. So the largest
+Rows are dealt out by ranges of the order, sorted and written with their place in their range; what
+the ranges before hold of a group is added up from a table of counts. So the largest
 thing in a task is a range, whatever the size of a group.
 """
 
@@ -13,26 +13,25 @@ from pyspark.sql import functions as F
 from ..sources.shared import Steps
 
 
-def numbered(df: DataFrame, order: list[str | Column], steps: Steps, keys: list[str] | None = None, name: str = "number") -> DataFrame:
-    """Adds ``name``: 1, 2, ... in the order of ``order``, within each value of ``keys`` (nulls are one value).
+def numbered(df: DataFrame, order: list[str | Column], steps: Steps, keys: list[str] | None = None, name: str = "number", total: str | None = None) -> DataFrame:
+    """Adds ``name``: 1, 2, ... in the order of ``order``, within each value of ``keys`` (nulls are one value), and ``total``, their number.
 
     Rows that are equal in all of ``keys`` and ``order`` are numbered in any order. An empty table stays empty.
     """
     keys = keys or []
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    ranges = steps.keep(df.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    here = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by[len(keys) :]))
-    marked = ranges.withColumn("_here", here)
-    other = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")
-    on = F.col("_range") == F.col("_r")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = marked.join(other, on)
-    return joined.select(*df.columns, (F.col("_before") + F.col("_here")).alias(name))
+    # An id holds the number of its range above 33 bits and the place in the range below them.
+    ranges = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    group = F.struct(F.lit(0).alias("any"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)])  # a struct is equal to itself even where its fields are null
+    ranges = steps.keep(ranges, "ranges").withColumns({"_range": F.shiftright("_id", 33), "_group": group})
+    counts = ranges.groupBy("_range", "_group").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    sums = {"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy("_group"))}
+    counts = steps.keep(counts.withColumns(sums).drop("_n"), "counts")  # as a table its size is known, so that Spark can tell whether to broadcast it
+    joined = ranges.join(counts, ["_range", "_group"])
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return joined.select(*df.columns, number.alias(name), *([F.col("_all").alias(total)] if total else []))
 
 
 def zipped(left: DataFrame, right: DataFrame, order: list[str], steps: Steps) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import Steps
+from .numbering import numbered
+
 
 def selection_correct(selected: str = "selected", task: str = "task") -> Column:
     """Whether the right tool was selected; no selection is wrong."""
@@ -84,6 +87,11 @@ def cuped(pairs: DataFrame) -> DataFrame:
 
 
 def indexed(values: DataFrame, value: str, order: str, key: str = "server") -> DataFrame:
-    """(key, i, n, x): values numbered from 0 in the order of ``order``; the position feeds the random stream."""
-    numbered = values.select(key, F.col(value).alias("x"), (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("long").alias("i"))
-    return numbered.join(numbered.groupBy(key).agg(F.count("*").alias("n")), key)
+    """(key, i, n, x): values numbered from 0 in the order of ``order``; the position feeds the random stream.
+
+    Groups are numbered over ranges of the order, so that a large one is not sorted in one task.
+    """
+    steps = Steps(values.sparkSession, "indexed")
+    rows = values.select(key, F.col(value).alias("x"), F.col(order).alias("_order"))
+    numbers = numbered(rows, ["_order", "x"], steps, [key], "_i", "n")
+    return numbers.select(key, "x", (F.col("_i") - 1).cast("long").alias("i"), "n")

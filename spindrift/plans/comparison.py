@@ -71,19 +71,19 @@ def df2_server_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.server_diff(event_trials(spark, sf_dir)))
 
 
-@query("df2_server_diff_tight", server_diff_sql(EVENT_TRIALS_SQL, 0.01, 500))
+@query("df2_server_diff_tight", server_diff_sql(EVENT_TRIALS_SQL, 0.01, 2000))
 def df2_server_diff_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.server_diff(event_trials(spark, sf_dir), threshold=0.01, resamples=500))
+    return rounded(compare.server_diff(event_trials(spark, sf_dir), threshold=0.01, resamples=2000))
 
 
-@query("df2_server_diff_lines", server_diff_sql(LINE_TRIALS_SQL, 0.05, 500))
+@query("df2_server_diff_lines", server_diff_sql(LINE_TRIALS_SQL, 0.05, 2000))
 def df2_server_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.server_diff(line_trials(spark, sf_dir), resamples=500))
+    return rounded(compare.server_diff(line_trials(spark, sf_dir), resamples=2000))
 
 
-@query("df2_unadjusted", server_diff_sql(EVENT_TRIALS_SQL, 0.05, 300).replace("CASE WHEN m.v = 0 THEN 0.0 ELSE m.c / m.v END", "0.0").replace("CASE WHEN any_value(v) = 0 OR any_value(raw) <= 0 THEN 0.0 ELSE 100 * (1 - var_pop(adjusted) / any_value(raw)) END", "0.0"))
+@query("df2_unadjusted", server_diff_sql(EVENT_TRIALS_SQL, 0.05, 2000).replace("CASE WHEN m.v = 0 THEN 0.0 ELSE m.c / m.v END", "0.0").replace("CASE WHEN any_value(v) = 0 OR any_value(raw) <= 0 THEN 0.0 ELSE 100 * (1 - var_pop(adjusted) / any_value(raw)) END", "0.0"))
 def df2_unadjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.server_diff(event_trials(spark, sf_dir), use_cuped=False, resamples=300))
+    return rounded(compare.server_diff(event_trials(spark, sf_dir), use_cuped=False, resamples=2000))
 
 
 @query("prj_outcomes", f"WITH {EVENT_TRIALS_SQL} SELECT server, trial, correct, round(argument_score, 6) AS argument_score, round(joint, 6) AS joint FROM trials WHERE server = 'all'")
@@ -129,31 +129,31 @@ def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 DELTAS_SQL = "vals AS (SELECT server, delta AS x, row_number() OVER (PARTITION BY server ORDER BY task) - 1 AS i, count(*) OVER (PARTITION BY server) AS n FROM pairs)"
 
 
-@query("bs2_cluster_bootstrap", f"WITH {EVENT_TRIALS_SQL}, {PAIRS_SQL}, {DELTAS_SQL}, {replicates_sql('vals', 500)} SELECT server, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi FROM ci")
+@query("bs2_cluster_bootstrap", f"WITH {EVENT_TRIALS_SQL}, {PAIRS_SQL}, {DELTAS_SQL}, {replicates_sql('vals', 2000)} SELECT server, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi FROM ci")
 def bs2_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = resample.replicate_means(_deltas(spark, sf_dir), 500)
-    return rounded(resample.order_statistics(means, 500).select("server", F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi")))
+    means = resample.replicate_means(_deltas(spark, sf_dir), 2000)
+    return rounded(resample.order_statistics(means, 2000).select("server", F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi")))
 
 
 @query("bs3_wild_bootstrap", f"""WITH {EVENT_TRIALS_SQL}, {PAIRS_SQL}, {DELTAS_SQL},
 point AS (SELECT server, avg(x) AS point FROM vals GROUP BY server),
 rep AS (SELECT server, r, any_value(point) + sum(CASE WHEN {rng.uniform_sql('r * n + i + 1')} >= 0.5 THEN 1.0 ELSE -1.0 END * (x - point)) / any_value(n) AS m
-  FROM vals JOIN point USING (server), range(500) AS g(r) GROUP BY server, r),
+  FROM vals JOIN point USING (server), range(2000) AS g(r) GROUP BY server, r),
 placed AS (SELECT server, m, row_number() OVER (PARTITION BY server ORDER BY m) AS p FROM rep)
-SELECT server, round(max(m) FILTER (p = 13), 6) AS ci_lo, round(max(m) FILTER (p = 487), 6) AS ci_hi FROM placed GROUP BY server""")
+SELECT server, round(max(m) FILTER (p = 51), 6) AS ci_lo, round(max(m) FILTER (p = 1950), 6) AS ci_hi FROM placed GROUP BY server""")
 def bs3_wild_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = resample.flipped_means(_deltas(spark, sf_dir), 500)
-    return rounded(resample.order_statistics(means, 500).select("server", F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi")))
+    means = resample.flipped_means(_deltas(spark, sf_dir), 2000)
+    return rounded(resample.order_statistics(means, 2000).select("server", F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi")))
 
 
-@query("bs4_t_adjusted", f"""WITH {EVENT_TRIALS_SQL}, {PAIRS_SQL}, {DELTAS_SQL}, {replicates_sql('vals', 500)},
+@query("bs4_t_adjusted", f"""WITH {EVENT_TRIALS_SQL}, {PAIRS_SQL}, {DELTAS_SQL}, {replicates_sql('vals', 2000)},
 p AS (SELECT server, avg(x) AS point, count(*) AS n FROM vals GROUP BY server)
 SELECT server, round(point, 6) AS point, round(se, 6) AS se,
   round(point - CASE WHEN n > 30 THEN 1.959964 ELSE ({T_SQL})[greatest(n - 1, 1)::INT] END * se, 6) AS ci_lo,
   round(point + CASE WHEN n > 30 THEN 1.959964 ELSE ({T_SQL})[greatest(n - 1, 1)::INT] END * se, 6) AS ci_hi FROM p JOIN ci USING (server)""")
 def bs4_t_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _deltas(spark, sf_dir)
-    se = resample.spread(resample.replicate_means(values, 500))
+    se = resample.spread(resample.replicate_means(values, 2000))
     point = values.groupBy("server").agg(F.avg("x").alias("point"), F.count("*").alias("n"))
     margin = resample.t_critical(F.col("n") - 1) * F.col("se")
     return rounded(point.join(se, "server").select("server", "point", "se", (F.col("point") - margin).alias("ci_lo"), (F.col("point") + margin).alias("ci_hi")))

@@ -153,7 +153,7 @@ def ht4_paired_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.paired_arms(runs(spark, sf_dir))
 
 
-@query("ag42_pooled_effect", f"""WITH {EVENT_TRIALS_SQL}, {PAIRS_SQL}, pooled AS (SELECT 'pooled' AS server, server AS of, server || ':' || task AS task, delta FROM pairs), {DELTAS_SQL.replace("FROM pairs", "FROM pooled")}, {replicates_sql('vals', 500)},
+@query("ag42_pooled_effect", f"""WITH {EVENT_TRIALS_SQL}, {PAIRS_SQL}, pooled AS (SELECT 'pooled' AS server, server AS of, server || ':' || task AS task, delta FROM pairs), {DELTAS_SQL.replace("FROM pairs", "FROM pooled")}, {replicates_sql('vals', 2000)},
 p AS (SELECT count(*) AS m_tasks, count(DISTINCT of) AS n_tool_sets, avg(delta) AS mean_delta FROM pooled)
 SELECT n_tool_sets, m_tasks, round(mean_delta, 6) AS mean_delta, round(mean_delta - CASE WHEN m_tasks > 30 THEN 1.959964 ELSE ({T_SQL})[greatest(m_tasks - 1, 1)::INT] END * se, 6) AS ci_lo,
   round(mean_delta + CASE WHEN m_tasks > 30 THEN 1.959964 ELSE ({T_SQL})[greatest(m_tasks - 1, 1)::INT] END * se, 6) AS ci_hi FROM p, ci WHERE m_tasks >= 2""")
@@ -161,7 +161,7 @@ def ag42_pooled_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean difference over all matched tasks of all servers, its interval by Student's t times the spread of replicates."""
     pairs = trials.matched(trials.paired(event_trials(spark, sf_dir)))
     pooled = pairs.select(F.lit("pooled").alias("server"), F.col("server").alias("of"), F.concat_ws(":", "server", "task").alias("task"), "delta")
-    se = resample.spread(resample.replicate_means(trials.indexed(pooled, "delta", "task"), 500))
+    se = resample.spread(resample.replicate_means(trials.indexed(pooled, "delta", "task"), 2000))
     p = pooled.groupBy("server").agg(F.count_distinct("of").alias("n_tool_sets"), F.count("*").alias("m_tasks"), F.avg("delta").alias("mean_delta")).where("m_tasks >= 2")
     margin = resample.t_critical(F.col("m_tasks") - 1) * F.col("se")
     return rounded(p.join(se, "server").select("n_tool_sets", "m_tasks", "mean_delta", (F.col("mean_delta") - margin).alias("ci_lo"), (F.col("mean_delta") + margin).alias("ci_hi")))
@@ -181,7 +181,7 @@ def jn12_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.join(b, "server").select("server", "n", enough("spearman"), enough("pearson")))
 
 
-SPEARMAN_REPLICATES = 300
+SPEARMAN_REPLICATES = 2000
 BRANDS_SQL = "v AS (SELECT sum(p_size) AS x, min(p_partkey) % 7 AS y, row_number() OVER (ORDER BY p_brand) - 1 AS i, count(*) OVER () AS n FROM part GROUP BY p_brand)"
 
 
