@@ -256,3 +256,41 @@ def forget_required(tools: DataFrame) -> DataFrame:
 
 
 DEFECTS = {"renamed": rename_property, "flipped": flip_type, "foreign": drop_choice, "ghost": add_ghost, "forgotten": forget_required}
+
+
+# What is added to a harmless tool's text so that its change is as long as a defect's, and on top of that in three sizes.
+FILLER = " This value is supplied by the caller."
+SUFFIXES = {
+    "small": " Note.",
+    "medium": " This tool is part of the standard workflow for this service.",
+    "large": (
+        " This tool is part of the standard workflow for this service and is commonly used together with related operations exposed by this server; consult the documentation for "
+        "the full set of supported parameters and their expected formats before calling it in an automated pipeline."
+    ),
+}
+
+
+def eligible_culprits(tools: DataFrame) -> DataFrame:
+    """Tools with a property of type string."""
+    return tools.where(F.exists("props", lambda p: p["type"] == "string"))
+
+
+def camouflaged_defect(tools: DataFrame, suffix: str = "") -> DataFrame:
+    """The first string property becomes a number that the text sets to true or false; ``suffix`` follows. Tools without one stay as they are."""
+    text = F.concat(F.coalesce("description", F.lit("")), F.lit(" Set "), F.col("_name"), F.lit(" to true/false as needed." + suffix))
+    return _changed(tools, _first_where(lambda p: p["type"] == "string"), lambda p: p.withField("type", F.lit("integer")), text)
+
+
+def decoy(tools: DataFrame, size: str) -> DataFrame:
+    """Text that changes nothing, in one of three sizes."""
+    return tools.withColumn("description", F.concat(F.coalesce("description", F.lit("")), F.lit(FILLER + SUFFIXES[size])))
+
+
+def first_hints(hints: DataFrame, most: int = 10) -> DataFrame:
+    """(server, place, dim, hint): the first ``most`` hints of a report, in the order of its dimensions and of their hints.
+
+    ``hints`` holds server, dim_at, hint_at, dim, hint and implemented (null: yes); hints of dimensions that are not implemented are left out.
+    """
+    kept = hints.where(F.coalesce("implemented", F.lit(True)))
+    listed = kept.groupBy("server").agg(F.slice(F.array_sort(F.collect_list(F.struct("dim_at", "hint_at", "dim", "hint"))), 1, most).alias("h"))  # five hints a dimension at most
+    return listed.select("server", F.posexplode("h").alias("at", "h")).select("server", (F.col("at") + 1).alias("place"), "h.dim", "h.hint")

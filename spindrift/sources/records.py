@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPLAY = "task_tool_name string, selected_tool string, constraint_satisfaction double"
 STUDY = "name string, tier string, task_success_rate double, dimension_scores map<string,double>, run_results array<struct<task_tool_name:string,selected_tool:string,success:boolean,error:string,parse_failed:boolean,constraint_satisfaction:double>>, error string, seq long"
 
 
-def read_replay(spark: SparkSession, path: str) -> DataFrame:
-    """Trials of a JSON array; no selection stays null, no score is 0."""
-    raw = spark.read.schema(REPLAY).option("multiLine", True).json(path)
+def read_replay(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Trials of JSON arrays, a file each (or of JSON lines); no selection stays null, no score is 0."""
+    raw = spark.read.schema(REPLAY).option("multiLine", whole_files).json(path)
     return raw.select(F.col("task_tool_name").alias("task"), F.col("selected_tool").alias("selected"), F.coalesce("constraint_satisfaction", F.lit(0.0)).alias("cs"))
 
 
@@ -47,6 +47,45 @@ def pools(log: DataFrame, least: int = 2) -> DataFrame:
     return r.groupBy("name", F.col("r.task_tool_name").alias("task")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def pools_by_set(log: DataFrame, least: int = 4) -> DataFrame:
+    """(name, n, joint): the trial pools of the error-free runs that have ``least`` trials or more, with their joint rate."""
+    r = log.where("error is null").select("name", F.explode("run_results").alias("r"))
+    right = F.coalesce(F.col("r.selected_tool") == F.col("r.task_tool_name"), F.lit(False))
+    joint = F.when(right, F.coalesce("r.constraint_satisfaction", F.lit(0.0))).otherwise(0.0)
+    return r.groupBy("name").agg(F.count("*").alias("n"), F.avg(joint).alias("joint")).where(F.col("n") >= least)
+
+
+# Fields of a study record that are not a dimension's score.
+TOP_LEVEL_FIELDS = ("overall_score", "task_success_rate", "baseline_desc_length", "baseline_single_prompt")
+
+
+def field(log: DataFrame, name: str) -> Column:
+    """A number of a study record: a column of its own, or a dimension's score; null where the record lacks it."""
+    if name in TOP_LEVEL_FIELDS:
+        return F.col(name).cast("double") if name in log.columns else F.lit(None).cast("double")
+    return F.try_element_at("dimension_scores", F.lit(name)).cast("double")
+
+
+def distinct_catalogs(corpus: DataFrame, least: int = 1, tiers: list[str] | None = None) -> DataFrame:
+    """Catalogs (position, tier, names) of ``least`` tools or more, in one of ``tiers``: the first of those with the same names in a tier.
+
+    The first comes by a grouped minimum, so no group of like catalogs is sorted.
+    """
+    kept = corpus if tiers is None else corpus.where(F.col("tier").isin(tiers))
+    kept = kept.where(F.size("names") >= least).withColumn("_names", F.array_sort("names"))
+    first = kept.groupBy("tier", "_names").agg(F.min_by(F.struct(*corpus.columns), "position").alias("r"))
+    return first.select("r.*")
+
+
+def descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """(tool, description) of a JSON object of descriptions; a missing file has none, values that are no text count as their JSON."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "tool string, description string")
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("tool", "description"))
+
+
 def cost(calls: DataFrame, rates: DataFrame, fallback: tuple[float, float]) -> DataFrame:
     """Cost of tokens at rates per million; models without a rate take the fallback."""
     r = calls.join(rates, "model", "left")

@@ -191,3 +191,43 @@ def test_attribution_finds_the_planted_item(spark):
 @pytest.mark.parametrize(("n", "expected"), [(2, 1), (3, 2), (4, 2), (10, 5), (40, 20)])
 def test_budget(spark, n, expected):
     assert spark.range(1).select(attribution.budget(F.lit(n))).first()[0] == expected
+
+
+def test_benchmark_defects_and_decoys(spark):
+    rows = [tool("a", "Text.", [("n", "integer"), ("mode", "string"), ("name", "string")]), tool("b", None, [("n", "integer")])]
+    df = spark.createDataFrame(rows, TOOLS)
+    assert [r.tool for r in linting.eligible_culprits(df).collect()] == ["a"]
+    bad = {r.tool: r for r in linting.camouflaged_defect(df, " Note.").collect()}
+    assert bad["a"].description == "Text. Set mode to true/false as needed. Note." and [p.type for p in bad["a"].props] == ["integer", "integer", "string"]
+    assert bad["b"].description is None
+    assert ("a", "boolean_language", "mode") in {(r.tool, r.check, r.detail) for r in linting.lint(linting.camouflaged_defect(df)).collect()}
+    harmless = linting.decoy(df, "small")
+    assert {r.tool: r.description for r in harmless.collect()} == {"a": "Text. This value is supplied by the caller. Note.", "b": " This value is supplied by the caller. Note."}
+
+
+def test_first_hints(spark):
+    rows = [("s", 1, k, "late", f"h{k}", None) for k in range(9)] + [("s", 0, 1, "first", "x", True), ("s", 0, 0, "off", "y", False), ("s", 0, 0, "first", "w", True)]
+    got = linting.first_hints(spark.createDataFrame(rows, "server string, dim_at int, hint_at int, dim string, hint string, implemented boolean")).orderBy("place").collect()
+    assert [(r.place, r.dim, r.hint) for r in got][:3] == [(1, "first", "w"), (2, "first", "x"), (3, "late", "h0")] and len(got) == 10
+
+
+def test_fields_pools_and_corpora(spark, tmp_path):
+    rows = [
+        {"name": "a", "task_success_rate": 0.5, "dimension_scores": {"robustness": 70.0, "discoverability": None}, "run_results": [{"task_tool_name": "t", "selected_tool": "t", "constraint_satisfaction": 0.5}, {"task_tool_name": "t", "selected_tool": "u"}, {"task_tool_name": "u", "selected_tool": "u"}, {"task_tool_name": "t"}]},
+        {"name": "b", "error": "boom", "run_results": [{"task_tool_name": "t", "selected_tool": "t", "constraint_satisfaction": 1.0}] * 5},
+    ]
+    (tmp_path / "log.json").write_text("\n".join(json.dumps(r) for r in rows))
+    log = records.read_study(spark, str(tmp_path / "log.json"))
+    got = log.orderBy("name").select(*[records.field(log, f).alias(f) for f in ("task_success_rate", "robustness", "discoverability", "overall_score", "other")]).collect()
+    assert [tuple(r) for r in got] == [(0.5, 70.0, None, None, None), (None,) * 5]
+    assert [tuple(r) for r in records.pools(log).collect()] == [("a", "t", 3)]
+    assert [tuple(r) for r in records.pools_by_set(log).collect()] == [("a", 4, 0.125)]
+    corpus = spark.createDataFrame([(2, "x", ["b", "a"]), (1, "x", ["a", "b"]), (3, "y", ["a", "b"]), (0, "x", ["a"]), (4, "z", ["a", "b"])], "position int, tier string, names array<string>")
+    assert sorted(r.position for r in records.distinct_catalogs(corpus, 2).collect()) == [1, 3, 4]
+    assert sorted(r.position for r in records.distinct_catalogs(corpus, tiers=["x"]).collect()) == [0, 1]
+
+
+def test_description_files(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"a": "text é", "b": 3}, indent=2))
+    assert {tuple(r) for r in records.descriptions(spark, str(tmp_path / "d.json")).collect()} == {("a", "text é"), ("b", "3")}
+    assert records.descriptions(spark, str(tmp_path / "none.json")).count() == 0
