@@ -4,7 +4,8 @@ Distinct vectors are the nodes. Trees of hyperplanes, fitted on a bounded sample
 deal all nodes into small groups for a first graph of ``K`` neighbours a node.
 Each round of NN-descent joins every node's neighbours and reverse neighbours with
 their vectors and compares them with each other, so neighbours of neighbours meet;
-a node keeps its best. Vectors travel as bytes there (one byte a component).
+a node keeps its best. Vectors travel as bytes there (one byte a component). Rounds
+go on until one changes hardly an edge, so larger tables get more of them.
 
 A query starts at its own node and expands the nodes of its beam whose neighbours
 it has not seen, a round at a time. New nodes are compared where their vectors
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, partitions
 
 K = 20  # neighbours of a node in the graph
-ROUNDS = 3  # of NN-descent
+ROUNDS = 15  # of NN-descent at most
+SETTLED = 0.01  # share of edges that a round changes, at or below which the graph is done
 BEAM = 250  # nodes that a query keeps and expands
 SEARCH_ROUNDS = 12
 TREES = 3
@@ -36,10 +38,14 @@ ASKED = 1 << 20  # comparisons in a group of a block's queries, about
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec): rows whose vector is not null, empty, zero, or broken by nulls or non-finite numbers."""
+    """(id, vec): rows whose vector is not null, empty, zero, or broken by nulls or non-finite numbers; zeros fill shorter ones up."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & v.isNotNull() & fine)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & v.isNotNull() & fine)
+    least, most = rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if least == most:
+        return rows
+    return rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("vec"))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -301,7 +307,8 @@ def nearest(vectors: DataFrame, queries: Column | None = None, top: int = 5, id_
 
     ``queries`` is a condition on the column ``id``; by default ids divisible by 50.
     Rows whose id or vector is null, whose vector is zero, empty, or holds a null or
-    a non-finite number take no part; all vectors need one length. Equal vectors are
+    a non-finite number take no part; a vector that is shorter than others counts as if
+    zeros followed. Equal vectors are
     one node of the graph and each a candidate, ties going to the smaller id. A query
     never finds its own id; of rows repeated under one id, one counts. Fewer than
     ``top`` candidates give fewer rows; an empty table gives none.
@@ -315,7 +322,10 @@ def nearest(vectors: DataFrame, queries: Column | None = None, top: int = 5, id_
     graph = first_graph(scratch, nodes)
     for r in range(rounds):
         before, graph = graph, descend(scratch, nodes, graph, r)
+        changed, edges = graph.join(before.select("node", "nbr"), ["node", "nbr"], "left_anti").count(), graph.count()
         scratch.drop(before)
+        if changed <= SETTLED * edges:
+            break
 
     # The top + 1 least ids of each node are enough: others of the node tie and are larger. Salted, as one vector may be very common.
     distinct = rows.groupBy("vec").agg(F.min("id").alias("node"))

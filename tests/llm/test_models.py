@@ -111,6 +111,26 @@ def test_few_and_equal_vectors(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_shorter_vectors_count_as_filled_up_with_zeros(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 6)) for r in got] == [(1, 1.0), (2, 0.707107), (3, 0.0)]
+
+
+def test_the_graph_is_refined_until_it_settles(spark, monkeypatch):
+    done = []
+    plain = neighbours.descend
+    monkeypatch.setattr(neighbours, "descend", lambda *a, **k: done.append(1) or plain(*a, **k))
+    monkeypatch.setattr(neighbours, "TREES", 1)
+    m = vectors(900, 5)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<float>")
+    neighbours.nearest(df)
+    settled = len(done)
+    assert 1 <= settled < neighbours.ROUNDS
+    neighbours.nearest(df, rounds=1)
+    assert len(done) == settled + 1
+
+
 def test_pipeline_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
