@@ -14,23 +14,27 @@ def _pieces(text: Column, pattern: str, change) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), change), "")
 
 
+def _once(value: Column, change) -> Column:
+    """``change`` of a value that is worked out once, however often ``change`` names it."""
+    return F.element_at(F.transform(F.array(value), change), 1)
+
+
 def small_escapes(json: Column) -> Column:
     r"""Control characters as ``\u001b`` (Spark writes ``\u001B``)."""
-    slow = _pieces(json, r"(?s)\\u[0-9A-Fa-f]{4}|\\.|[^\\]+", lambda p: F.when(p.startswith("\\u"), F.lower(p)).otherwise(p))
-    return F.when(F.contains(json, F.lit("\\u")), slow).otherwise(json)
+    slow = lambda j: _pieces(j, r"(?s)\\u[0-9A-Fa-f]{4}|\\.|[^\\]+", lambda p: F.when(p.startswith("\\u"), F.lower(p)).otherwise(p))
+    return _once(json, lambda j: F.when(F.contains(j, F.lit("\\u")), slow(j)).otherwise(j))
 
 
 def ascii_only(json: Column) -> Column:
     r"""Characters beyond the printable ones of ASCII as ``\u00e9``, beyond 16 bits as two such units."""
     units = lambda run: F.lower(F.regexp_replace(F.hex(F.encode(run, "UTF-16BE")), "(.{4})", r"\\u$1"))
-    slow = _pieces(json, r"[\x00-\x7E]+|[^\x00-\x7E]+", lambda run: F.when(F.ascii(run) < 127, run).otherwise(units(run)))
-    return F.when(F.regexp_like(json, F.lit(r"[^\x00-\x7E]")), slow).otherwise(json)
+    slow = lambda j: _pieces(j, r"[\x00-\x7E]+|[^\x00-\x7E]+", lambda run: F.when(F.ascii(run) < 127, run).otherwise(units(run)))
+    return _once(json, lambda j: F.when(F.regexp_like(j, F.lit(r"[^\x00-\x7E]")), slow(j)).otherwise(j))
 
 
 def quoted(text: Column) -> Column:
     """A string as JSON, ``null`` for null."""
-    listed = F.to_json(F.array(text))
-    return F.when(text.isNull(), F.lit("null")).otherwise(small_escapes(F.substring(listed, F.lit(2), F.length(listed) - 2)))
+    return small_escapes(F.btrim(F.to_json(F.array(text)), F.lit("[]")))  # the string itself is between quotes
 
 
 def canonical(json: Column, ascii: bool = True) -> Column:
@@ -50,11 +54,13 @@ def call_key(provider: Column, model: Column, seed: Column, messages: Column) ->
     return F.substring(F.sha2(ascii_only(F.concat(*parts)), 256), 1, 16)
 
 
-def json_block(open_: str, items: Column, close: str, depth: int) -> Column:
-    """Items between brackets, each on its own line, indented by two blanks a level; nothing between them: just brackets."""
+def json_list(items: Column, each, depth: int) -> Column:
+    """An array as JSON, ``each`` item on its own line, indented by two blanks a level; an empty one as just brackets."""
     pad, end = "\n" + "  " * (depth + 1), "\n" + "  " * depth
-    return F.when(F.size(items) == 0, F.lit(open_ + close)).otherwise(F.concat(F.lit(open_ + pad), F.array_join(items, "," + pad), F.lit(end + close)))
+    return F.when(F.size(items) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[" + pad), F.array_join(F.transform(items, each), "," + pad), F.lit(end + "]")))
 
 
 def json_object(fields: dict[str, Column], depth: int) -> Column:
-    return json_block("{", F.array(*[F.concat(F.lit(f'"{k}": '), v) for k, v in fields.items()]), "}", depth)
+    """An object with at least one field, in the given order and the same layout."""
+    pad, end = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    return F.concat(F.lit("{" + pad), F.array_join(F.array(*[F.concat(F.lit(f'"{k}": '), v) for k, v in fields.items()]), "," + pad), F.lit(end + "}"))

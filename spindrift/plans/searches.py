@@ -131,13 +131,13 @@ def src22_latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.latest_versions(p, "p_name", "version")
 
 
-@query("src27_stable_report", """WITH d AS (SELECT p_brand, p_type, round(avg(p_size), 1) AS score FROM part GROUP BY p_brand, p_type)
-SELECT row_number() OVER (ORDER BY p_brand) - 1 AS place, p_brand AS server, round(avg(score), 1) AS overall, count(*)::INTEGER AS n_dimensions FROM d GROUP BY p_brand""")
+@query("src27_stable_report", """WITH d AS (SELECT p_brand, p_type, sum(p_size)::DOUBLE AS score FROM part GROUP BY p_brand, p_type)
+SELECT row_number() OVER (ORDER BY p_brand) - 1 AS place, p_brand AS server, sum(score) AS overall, count(*)::INTEGER AS n_dimensions FROM d GROUP BY p_brand""")
 def src27_stable_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all brands in one JSON file, in order, and what reading it back gives."""
     steps = Steps(spark, "report")
-    d = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.round(F.avg("p_size"), 1).alias("score"))
-    b = d.groupBy("p_brand").agg(F.round(F.avg("score"), 1).alias("overall"), F.array_sort(F.collect_list(F.struct(F.col("p_type").alias("name"), "score", F.lit(0.5).alias("weight")))).alias("dimensions"))
+    d = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.sum("p_size").cast("double").alias("score"))
+    b = d.groupBy("p_brand").agg(F.sum("score").alias("overall"), F.array_sort(F.collect_list(F.struct(F.col("p_type").alias("name"), "score", F.lit(0.5).alias("weight")))).alias("dimensions"))
     line = F.concat(F.lit('{"server": '), F.to_json(F.struct("p_brand")), F.lit(', "report": '), reports.report_document(F.col("overall"), F.col("dimensions")), F.lit("}"))
     at = steps.place("report.json")
     reports.write_in_order(b.select("p_brand", line.alias("text")), ["p_brand"], "text", at, steps, head="[", between=",\n", tail="]\n")

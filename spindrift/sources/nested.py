@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.json_text import json_block, json_object, quoted
+from ..operators.json_text import json_list, json_object, quoted
 
 CONSTRAINT = "struct<param:string,kind:string,gold_value:string,pattern:string,min_val:bigint,max_val:bigint,tolerance:double>"
 TASK = f"tool_name string, description string, constraints array<{CONSTRAINT}>"
@@ -82,10 +82,10 @@ def mirror_document() -> Column:
 
     def tool(t: Column) -> Column:
         texts = {k: quoted(t[k]) for k in ("name", "docstring", "source_hash", "return_annotation")}
-        return json_object(texts | {"params": json_block("[", F.transform(t["params"], param), "]", 3)}, 2)
+        return json_object(texts | {"params": json_list(t["params"], param, 3)}, 2)
 
     fields = {k: quoted(F.col(k)) for k in ("server_id", "source_repo", "language")} | {"stars": F.col("stars").cast("string")}
-    fields |= {k: quoted(F.col(k)) for k in ("stratum", "notes")} | {"tools": json_block("[", F.transform("tools", tool), "]", 1)}
+    fields |= {k: quoted(F.col(k)) for k in ("stratum", "notes")} | {"tools": json_list(F.col("tools"), tool, 1)}
     return json_object(fields, 0)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.json_text import json_block, json_object, quoted
+from ..operators.json_text import json_list, json_object, quoted
 from .shared import Steps, hadoop_path
 
 SCHEMA_VERSION = "1.0"
@@ -54,5 +54,5 @@ def report_document(overall: Column, dimensions: Column, depth: int = 0) -> Colu
     """A scored report as JSON: schema_version, overall_score and dimensions (an array of name, score, weight), two blanks a level."""
     number = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
     one = lambda d: json_object({"name": quoted(d["name"]), "score": number(d["score"]), "weight": number(d["weight"])}, depth + 2)
-    fields = {"schema_version": F.lit(f'"{SCHEMA_VERSION}"'), "overall_score": number(overall), "dimensions": json_block("[", F.transform(dimensions, one), "]", depth + 1)}
+    fields = {"schema_version": F.lit(f'"{SCHEMA_VERSION}"'), "overall_score": number(overall), "dimensions": json_list(dimensions, one, depth + 1)}
     return json_object(fields, depth)
