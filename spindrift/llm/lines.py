@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 DISTANCE = 3
 SIMILARITY = 0.8
@@ -240,11 +240,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_removed")
-    gone = removals(scratch, docs, similarity).select(F.col("doc_id").alias("_id"), "gone")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").withColumn("_lines", F.split("text", "\n", -1))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get("_lines", k)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    n_removed = F.coalesce(F.size("gone").cast("long"), F.lit(0).cast("long"))
-    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_removed), "_text": text})
-    return out.withColumn("text", F.col("_text")).select(*docs.columns, "n_lines", "n_removed")
+    id_, gone_, lines_, text_ = unused(docs, "_id", "_gone", "_lines", "_text")
+    gone = removals(scratch, docs, similarity).select(F.col("doc_id").alias(id_), F.col("gone").alias(gone_))
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left").withColumn(lines_, F.split("text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col(gone_))
+    text = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines_, k)), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_)).cast("long")
+    n_removed = F.coalesce(F.size(gone_).cast("long"), F.lit(0).cast("long"))
+    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col(gone_).isNull(), F.lit(0).cast("long")).otherwise(n_removed), text_: text})
+    return out.withColumn("text", F.col(text_)).select(*docs.columns, "n_lines", "n_removed")

@@ -104,3 +104,15 @@ class Scratch:
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and whole ``text`` (null: empty), without any other column whose name may clash."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores in front until no column of ``df`` has them, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
