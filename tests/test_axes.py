@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import audit, axes, constraints, probes, ranks
+from spindrift.operators import audit, axes, constraints, linting, probes, ranks
 
 ANSWER = "server string, tool string, label string, answer string"
 
@@ -42,6 +42,14 @@ def test_judged_axes(spark):
         axes.together(charm=heuristic)
 
 
+def test_overall_of_an_exact_half(spark):
+    """The weighted sum is 48.45, which doubles miss by a hair."""
+    scores = dict(zip(linting.WEIGHTS, (98.3, 34.3, 47.2, 19.2, 7.4, 59.3, 47.5, 10.5)))
+    # Whatever the order of the sum; in this one it is 48.449999999999996.
+    rows = spark.createDataFrame([("s", d, x) for d, x in scores.items()], "server string, dim string, score double").coalesce(1)
+    assert [tuple(r) for r in linting.overall(rows).collect()] == [("s", 48.5)]
+
+
 def test_flagged_cases(spark):
     schema = "name string, tier string, task_success_rate double, baseline_desc_length double, baseline_single_prompt double, axis double"
     rows = [
