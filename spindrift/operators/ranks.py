@@ -9,6 +9,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Steps
+
+#: Rows that one task of a window over small groups holds.
+ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as its rows need, so that none of them grows with the table; groups must be small."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-df.count() // ROWS)), *keys)
+
+
+def value_places(df: DataFrame, value: str, keys: list[str], steps: Steps, weight: str | None = None) -> DataFrame:
+    """(keys, value, k, before, n): how often each value stands in its group, how many lesser ones do, and the group's size; nulls count nothing.
+
+    ``weight`` is a column of repeats. Distinct values are dealt out by ranges of their order, and what the ranges before hold of
+    a group is added from a table of sums, so that no task sees a whole group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = F.when(F.col(value).isNull(), 0).otherwise(F.col(weight) if weight else F.lit(1)).cast("long")
+    counts = df.groupBy(*keys, value).agg(F.sum(each).alias("k"))
+    ranges = steps.keep(counts.repartitionByRange(parts, *keys, value).withColumn("_range", F.spark_partition_id()), "values")
+    ranges = ranges.withColumn("_group", F.struct(F.lit(0).alias("any"), *[F.col(c).alias(f"key{i}") for i, c in enumerate(keys)]))  # equal to itself even where its fields are null
+    whole = Window.partitionBy("_group")
+    earlier = F.coalesce(F.sum("_sum").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a group
+    sums = ranges.groupBy("_range", "_group").agg(F.sum("k").alias("_sum"))
+    sums = steps.keep(sums.select("_range", "_group", earlier.alias("_earlier"), F.sum("_sum").over(whole).alias("n")), "sums")
+    within = F.sum("k").over(Window.partitionBy("_range", "_group").orderBy(value))
+    return ranges.join(sums, ["_range", "_group"]).select(*keys, value, "k", (F.col("_earlier") + within - F.col("k")).alias("before"), "n")
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """(keys, one column for each of ``shares``): percentiles interpolated between the two nearest values, as ``percentile`` does in one task a group."""
+    places = value_places(df, value, list(keys), Steps(df.sparkSession, "percentiles"))
+    found = {}
+    for name, share in shares.items():
+        at = (F.col("n") - 1) * share
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("before") <= place) & (place < F.col("before") + F.col("k"))
+            found[f"_{name}_{end}"] = F.max(F.when(here, F.col(value)))
+        found[f"_{name}_at"] = F.max(at)
+    g = places.groupBy(*keys).agg(*[c.alias(n) for n, c in found.items()])
+
+    def between(name: str) -> Column:
+        lo, hi, at = (F.col(f"_{name}_{x}") for x in ("lo", "hi", "at"))
+        return F.when(F.floor(at) == F.ceil(at), lo.cast("double")).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    return g.select(*keys, *[between(name).alias(name) for name in shares])
+
 
 def average_rank(value: str | Column, *keys: str, descending: bool = False) -> Column:
     """1-based rank within ``keys``; ties share the mean of their span."""
@@ -41,8 +90,24 @@ def pearson(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, *keys: str) -> DataFrame:
-    ranked = df.withColumns({"x": average_rank("x", *keys), "y": average_rank("y", *keys)})
-    return pearson(ranked, *keys)
+    """(keys, n, r): rank correlation of x and y, ties averaged; 0 where either is constant. Rows with a null in either are left out.
+
+    Equal pairs travel as one row with their number, and ranks come from ranges of the distinct values, so that a group may be of any size.
+    """
+    steps = Steps(df.sparkSession, "spearman")
+    pairs = df.where("x is not null and y is not null").groupBy(*keys, "x", "y").agg(F.count("*").alias("_c"))
+    pairs = steps.keep(pairs, "pairs")
+    for c in ("x", "y"):
+        # Ranks less their mean: sums of their squares stay exact for longer.
+        rank = (F.col("before") + (F.col("k") + 1) / 2.0 - (F.col("n") + 1) / 2.0).alias(f"_r{c}")
+        places = value_places(pairs, c, list(keys), steps, "_c").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(c).alias("_v"), rank)
+        same = F.col(c) == F.col("_v")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        pairs = pairs.join(places, same).drop("_v", *[f"_k{i}" for i in range(len(keys))])
+    product = lambda a, b: F.sum(F.col("_c") * F.col(a) * F.col(b))
+    r = F.try_divide(product("_rx", "_ry"), F.sqrt(product("_rx", "_rx")) * F.sqrt(product("_ry", "_ry")))
+    return pairs.groupBy(*keys).agg(F.sum("_c").alias("n"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))).alias("r"))
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -176,7 +241,7 @@ def nested_shares(df: DataFrame, outer: str, inner: str, value: str) -> DataFram
 
 def tercile(df: DataFrame, value: str) -> DataFrame:
     """Adds ``tier``: high from the 67th percentile, mid from the 33rd, else low; ties share a tier."""
-    cuts = df.agg(F.percentile(value, F.lit(0.33)).alias("_p33"), F.percentile(value, F.lit(0.67)).alias("_p67"))  # one row
+    cuts = percentiles(df, value, {"_p33": 0.33, "_p67": 0.67})  # one row
     tier = F.when(F.col(value) >= F.col("_p67"), "high").when(F.col(value) >= F.col("_p33"), "mid").otherwise("low")
     return df.crossJoin(F.broadcast(cuts)).withColumn("tier", tier).drop("_p33", "_p67")
 
