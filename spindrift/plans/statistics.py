@@ -31,7 +31,7 @@ def wn3_fractional_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(quantile_cont(l_extendedprice, 0.975), 6) AS p975 FROM lineitem GROUP BY l_returnflag""")
 def wn7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return rounded(li.groupBy("l_returnflag").agg(*[F.percentile("l_extendedprice", F.lit(p)).alias(n) for n, p in (("p5", 0.05), ("p50", 0.5), ("p975", 0.975))]))
+    return rounded(ranks.percentiles(li, "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p975": 0.975}, "l_returnflag"))
 
 
 @query("wn8_terciles", """WITH s AS (SELECT s_suppkey, s_acctbal FROM supplier), c AS (SELECT quantile_cont(s_acctbal, 0.33) AS a, quantile_cont(s_acctbal, 0.67) AS b FROM s)

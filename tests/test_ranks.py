@@ -35,3 +35,15 @@ def test_spearman_by_ranges(spark, rows):
     # No window, so no task, holds a whole group.
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert all("_range" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+
+
+def test_percentiles_by_ranges(spark, rows):
+    df = spark.createDataFrame(rows, "g int, h string, x double, y double")
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.975, "e": 1.0}
+    for keys in ((), ("g",), ("g", "h")):
+        got = ranks.percentiles(df, "x", shares, *keys)
+        own = df.groupBy(*keys).agg(*[F.percentile("x", F.lit(p)).alias(n) for n, p in shares.items()])
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, own.collect()))
+    assert ranks.tercile(df.where("false"), "y").count() == 0
+    plan = ranks.tercile(df, "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
