@@ -15,7 +15,7 @@ FIELDS = ["l_extendedprice", "l_discount", "l_tax"]
 @query("wn1_average_rank", """SELECT l_returnflag, l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY l_quantity)
   + (count(*) OVER (PARTITION BY l_returnflag, l_suppkey, l_quantity) - 1) / 2.0 AS avg_rank FROM lineitem""")
 def wn1_average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = ranks.dealt(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), "l_returnflag", "l_suppkey")
     return li.select("l_returnflag", "l_orderkey", "l_linenumber", ranks.average_rank("l_quantity", "l_returnflag", "l_suppkey").alias("avg_rank"))
 
 

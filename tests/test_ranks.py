@@ -47,3 +47,12 @@ def test_percentiles_by_ranges(spark, rows):
     assert ranks.tercile(df.where("false"), "y").count() == 0
     plan = ranks.tercile(df, "y")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_windows_over_small_groups_take_more_tasks_as_rows_grow(spark, monkeypatch):
+    from spindrift.plans import statistics as plans
+
+    monkeypatch.setattr(ranks, "ROWS", 500, raising=False)
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert plans.wn1_average_rank(spark, sf).rdd.getNumPartitions() >= n // 500
