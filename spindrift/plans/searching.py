@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
+from ..sources.shared import Steps
 from ..sources.tables import table
 from .registry import query, rounded
 
@@ -37,9 +38,11 @@ RANKS_SELECT = "SELECT query, gold, round(rank, 6) AS rank, round(CASE WHEN own
 SUMMARY_SELECT = "SELECT count(*) AS n, round(avg(CASE WHEN own IS NULL THEN 0 ELSE 1 / rank END), 6) AS mrr, round(avg((own IS NOT NULL AND better = 0)::INT), 6) AS first_share, round(avg(rank), 6) AS mean_rank FROM res"
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    return retrieval.postings(docs, "doc_id", "text"), retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), docs.agg(F.count("*").alias("n"))
+def _parts(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Index, terms of the passages and number of documents; terms that no passage has are in the index only if it must be ``whole``."""
+    docs, queries = table(spark, sf_dir, "documents"), retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    queries = Steps(spark, "passages").keep(queries, "terms")
+    return retrieval.postings(docs, "doc_id", "text", None if whole else queries), queries, docs.agg(F.count("*").alias("n"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +54,14 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     words = bench.select(F.col("item_id").alias("query"), F.col("text").alias("passage"), F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != "").alias("inner"))
     words = words.where(F.size("inner") >= 3).withColumn("inner", F.array_distinct(F.slice("inner", 2, F.size("inner") - 2)))
+    steps = Steps(spark, "gold")
+    each = steps.keep(words.select("query", "passage", F.explode("inner").alias("word")), "words")
     places = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word"))
-    common = places.groupBy("word").agg(F.count("*").alias("df"))
-    each = words.select("query", "passage", F.explode("inner").alias("word")).join(common, "word")
+    places = steps.keep(places.join(each.select("word").distinct(), "word", "left_semi"), "places")
+    each = each.join(places.groupBy("word").agg(F.count("*").alias("df")), "word")
     rarest = each.groupBy("query").agg(F.min_by(F.struct("word", "passage"), F.struct("df", "word")).alias("at"))
-    met = rarest.select("query", "at.passage", "at.word").join(places, "word").select("query", "passage", "doc")
+    rarest = steps.keep(rarest.select("query", "at.passage", "at.word"), "rarest")
+    met = steps.keep(rarest.join(places, "word").select("query", "passage", "doc"), "met")
     text = docs.select(F.col("doc_id").alias("doc"), "text")
     return met.join(text, "doc").where(F.contains("text", "passage")).groupBy("query").agg(F.min("doc").alias("doc"))
 
@@ -70,7 +76,7 @@ def rt1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rt2_tf_idf", f"WITH {TFIDF_SQL} SELECT query, doc, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS r FROM scores) WHERE r <= 10")
 def rt2_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = rounded(retrieval.tf_idf_cosine(*_parts(spark, sf_dir)))
+    scores = rounded(retrieval.tf_idf_cosine(*_parts(spark, sf_dir, whole=True)))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scores.withColumn("r", F.row_number().over(best)).where("r <= 10").drop("r")
 
@@ -89,7 +95,7 @@ def rt4_bm25_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rt4_tf_idf_summary", f"WITH {TFIDF_SQL}, {GOLD_SQL} {SUMMARY_SELECT}")
 def rt4_tf_idf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries, n = _parts(spark, sf_dir)
+    index, queries, n = _parts(spark, sf_dir, whole=True)
     return rounded(retrieval.summary(retrieval.gold_ranks(retrieval.tf_idf_cosine(index, queries, n), gold(spark, sf_dir), n)))
 
 
