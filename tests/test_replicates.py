@@ -64,3 +64,29 @@ def test_trial_diff_against_a_loop(spark):
         assert np.isclose(got[s]["ci_lo"], means[low]) and np.isclose(got[s]["ci_hi"], means[high])
         assert np.isclose(got[s]["delta"], np.mean(sides[1]) - np.mean(sides[0]))
     assert trials.with_outcomes(data).count() == len(rows)
+
+
+def test_states_of_a_block_find_its_draws():
+    """A block's range of states against all draws, with replicates that overlap, lie apart and run past the end of the period."""
+    rng = np.random.default_rng(2)
+    n, low = 300_000, 12_345
+    x = rng.random(100)
+    a, z = replicates.first_state(low, n), replicates.first_state(low + len(x), n)
+    for stride, offset, resamples in ((n, 0, 7), (n + 17, 5, 5), (n // 3, 0, 9), (3 * n, 2**31 - 4 * n, 4), (2**31 - n // 2, 1, 6)):
+        parts = [replicates.state_sums(x, n, low, stride, offset, resamples, p, q, 42) for p, q in ((a, a + 1000), (a + 1000, z))]
+        assert np.allclose(sum(parts), replicates.drawn_sums(x, n, low, stride, offset, 0, resamples, 42, None), rtol=1e-9)
+    # More draws than the period has: every state counts once a lap, and then the rest.
+    k = 2**31 + n
+    again = ((replicates.draw_of(np.arange(50), 7) - 1) % 2**31 < n).sum()
+    assert replicates.state_sums(np.ones(100), k, 0, k, 0, 1, 0, 50, 7)[0] == 50 + again
+
+
+def test_large_groups_cost_one_period(spark, monkeypatch):
+    """Groups whose blocks go through states give the sums of the draws; the work of all blocks is one period."""
+    x = [float(k % 7) for k in range(4000)]
+    values = spark.createDataFrame([("s", i, len(x), v) for i, v in enumerate(x[:3])], "server string, i long, n long, x double")
+    # Three of 4,000 values are there: the block's share of the period is small.
+    args = (values, 30, 42, ("server",), F.col("n"), F.lit(0))
+    one = {r.r: r.s for r in replicates.replicate_sums(*args, held=3, dear=0.0).collect()}
+    two = [replicates.drawn_sums(np.array(x[:3]), 4000, 0, 4000, 0, r, r + 1, 42, None)[0] for r in range(30)]
+    assert sorted(one) == list(range(30)) and np.allclose([one[r] for r in range(30)], two)
