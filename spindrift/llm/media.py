@@ -60,7 +60,7 @@ def features(pixels: np.ndarray) -> str:
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text, padded with spaces, as a WebP file."""
+    """(doc_id, n_bytes, media): each whole text, padded with spaces, as a WebP file with the transform, references, cache and codes that make it small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -68,7 +68,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
             for t in b.column("text").to_pylist():
                 raw = t.encode()
                 sizes.append(len(raw))
-                media.append(webp.encode(to_pixels(raw + b" " * (-len(raw) % ROW if raw else ROW))))
+                media.append(webp.encode_small(to_pixels(raw + b" " * (-len(raw) % ROW if raw else ROW))))
             yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")

@@ -4,7 +4,8 @@
 groups of codes, and the predictor, cross-colour, subtract-green and palette
 transforms. Where all codes in use have one length each and no reference can
 occur, whole blocks of pixels are read at once. ``encode`` writes such images by
-default, and on request images that use every feature of the format.
+default, and on request images that use every feature of the format; ``best`` says
+which features make an image small.
 
 Pixels are uint8 arrays (height, width, 4) in the order red, green, blue, alpha.
 """
@@ -13,7 +14,8 @@ from __future__ import annotations
 
 import heapq
 import struct
-from dataclasses import dataclass
+from array import array
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +37,8 @@ DISTANCES = (
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
 BLOCK_PIXELS = 1 << 20
+SEGMENT_BYTES = 1 << 14  # of the stream whose bits are looked at together
+LEAST_MATCH, MOST_MATCH = 3, 4096  # pixels of a back-reference
 
 
 def _up(n: int, bits: int) -> int:
@@ -62,21 +66,16 @@ class BitReader:
 _BIT_REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1)[:, 0]
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+_REVERSED_16 = (_BIT_REVERSED[np.arange(1 << 16) & 255].astype(np.int64) << 8) | _BIT_REVERSED[np.arange(1 << 16) >> 8]
 
 
-def canonical(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """(symbol, bits as they come in the stream, length) of a canonical prefix code."""
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, bits as they come in the stream, lengths) of a canonical prefix code, shortest codes first."""
     used = np.flatnonzero(lengths)
-    out, code, last = [], 0, 0
-    for s in used[np.argsort(lengths[used], kind="stable")].tolist():
-        n = int(lengths[s])
-        code <<= n - last
-        last = n
-        out.append((s, _reversed(code, n), n))
-        code += 1
-    return out
+    used = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[used]
+    room = 1 << (15 - n)
+    return used, _REVERSED_16[(np.cumsum(room) - room) << 1] & ((1 << n) - 1), n
 
 
 class PrefixCode:
@@ -89,29 +88,34 @@ class PrefixCode:
         if len(used) == 0:
             self.single = 0
         self.fixed = 0 if self.single is not None else int(lengths[used[0]]) if (lengths[used] == lengths[used[0]]).all() else None
-        if self.single is None and not np.isclose((0.5 ** lengths[used]).sum(), 1.0):
+        if self.single is None and int((1 << (15 - lengths[used])).sum()) != 1 << 15:
             raise ValueError("a prefix code is not complete")
-        self.most = int(lengths.max(initial=0))
-        self._table: list[tuple[int, int]] | None = None
+        self.most = 0 if self.single is not None else int(lengths.max(initial=0))
+        self._table: np.ndarray | None = None
 
     def symbols(self) -> np.ndarray:
         """Symbols by the value of their code's bits, first bit highest; only for codes of one length."""
         return np.array([self.single]) if self.single is not None else np.flatnonzero(self.lengths)
 
+    def table(self) -> np.ndarray:
+        """By the next ``most`` bits of the stream: 16 times the symbol and the length of its code."""
+        if self._table is None:
+            if self.single is not None:
+                self._table = np.array([self.single << 4])
+            else:
+                used, _, n = canonical(self.lengths)
+                in_order = np.repeat((used << 4) | n, 1 << (self.most - n))
+                self._table = in_order[_REVERSED_16[: 1 << self.most] >> (16 - self.most)]
+        return self._table
+
     def read(self, bits: BitReader) -> int:
         if self.single is not None:
             return self.single
-        if self._table is None:
-            table = [(0, 0)] * (1 << self.most)
-            for s, code, n in canonical(self.lengths):
-                for k in range(code, 1 << self.most, 1 << n):
-                    table[k] = (s, n)
-            self._table = table
-        s, n = self._table[bits.peek(self.most)]
-        bits.at += n
+        found = int(self.table()[bits.peek(self.most)])
+        bits.at += found & 15
         if bits.at > bits.end:
             raise ValueError("the bit stream ends early")
-        return s
+        return found >> 4
 
 
 #: By alphabet, the last codes read: (bits of their description, how many, code).
@@ -130,7 +134,7 @@ def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     n = bits.at - first
     bits.at = first
     known.insert(0, (bits.read(n), n, code))
-    del known[4:]
+    del known[6:]
     return code
 
 
@@ -147,20 +151,35 @@ def _parse_code(bits: BitReader, alphabet: int) -> PrefixCode:
         own[k] = bits.read(3)
     coder = PrefixCode(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, previous = 0, 8
-    while at < alphabet and left:
+    table, mask = coder.table().tolist(), (1 << coder.most) - 1
+    found, size, previous = [], 0, 8
+    ahead, have, first = 0, 0, bits.at
+    while size < alphabet and left:
         left -= 1
-        s = coder.read(bits)
+        if have < 16:  # a code and its extra bits take 14 at most
+            bits.at = first
+            ahead, have = bits.peek(512), 512
+        s = table[ahead & mask]
+        n, s = s & 15, s >> 4
         if s < 16:
-            lengths[at] = s
-            at += 1
+            found.append(s)
+            size += 1
             previous = s or previous
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            lengths[at : at + n] = previous if s == 16 else 0
-            at += n
-    if at > alphabet:
+            extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            many = least + ((ahead >> n) & ((1 << extra) - 1))
+            n += extra
+            found += [previous if s == 16 else 0] * many
+            size += many
+        ahead >>= n
+        have -= n
+        first += n
+    bits.at = first
+    if bits.at > bits.end:
+        raise ValueError("the bit stream ends early")
+    if size > alphabet:
         raise ValueError("code lengths run over")
+    lengths[:size] = found
     return PrefixCode(lengths)
 
 
@@ -210,6 +229,143 @@ def _read_block(bits: BitReader, codes: list[PrefixCode], n: int) -> np.ndarray:
     return out
 
 
+def _extra_bits(prefix: np.ndarray) -> np.ndarray:
+    return np.maximum(prefix - 2, 0) >> 1
+
+
+def _values(prefix: np.ndarray, extra: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Lengths or distances of prefixes with ``extra`` bits whose value is ``more``."""
+    return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + more) + 1
+
+
+def _read_tokens(bits: BitReader, codes: list[PrefixCode], cache_bits: int, width: int, n: int) -> np.ndarray:
+    """``n`` pixels (argb) of one group of codes: literals, back-references and cached colours.
+
+    At every bit of a segment of the stream it is worked out which token would begin there and where the next one
+    would; following these from the first bit gives the tokens.
+    """
+    green, red, blue, alpha, distance = (c.table() for c in codes)
+    masks = [(1 << c.most) - 1 for c in codes]
+    symbols, colours, lengths, distances, got, segment = [], [], [], [], 0, 8 * SEGMENT_BYTES
+    while got < n:
+        first = bits.at >> 3
+        own = np.frombuffer(bits.data, np.uint8, min(SEGMENT_BYTES + 16, len(bits.data) - first), first)
+        raw = np.zeros(len(own) + 20, np.int64)  # a token takes 73 bits at most
+        raw[: len(own)] = own
+        four = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        ahead = (four[:, None] >> np.arange(8)).reshape(-1)  # 25 bits of each are the stream's
+        end = min(segment, bits.end - 8 * first)
+        code = green[ahead[:end] & masks[GREEN]]
+        symbol, after = code >> 4, np.arange(end) + (code & 15)
+        then, colour = after, symbol << 8
+        for k, table, shift in ((RED, red, 16), (BLUE, blue, 0), (ALPHA, alpha, 24)):
+            if codes[k].single is None:
+                code = table[ahead[then] & masks[k]]
+                then = then + (code & 15)
+                colour = colour | (code >> 4) << shift
+            else:
+                colour = colour | codes[k].single << shift
+        back = np.flatnonzero(symbol >= 256)
+        if len(back):
+            then[back] = after[back]
+            back = back[symbol[back] < 280]
+            prefix, at = symbol[back] - 256, after[back]
+            extra = _extra_bits(prefix)
+            length = _values(prefix, extra, ahead[at] & ((1 << extra) - 1))
+            at = at + extra
+            code = distance[ahead[at] & masks[DISTANCE]]
+            prefix, at = code >> 4, at + (code & 15)
+            extra = _extra_bits(prefix)
+            far = _values(prefix, extra, ahead[at] & ((1 << extra) - 1))
+            then[back] = at + extra
+        p, follow, here = bits.at & 7, then.tolist(), []
+        while p < end:
+            here.append(p)
+            p = follow[p]
+        bits.at = 8 * first + p
+        if not here:
+            raise ValueError("the bit stream ends early")
+        at = np.array(here)
+        s = symbol[at]
+        ref = (s >= 256) & (s < 280)
+        which = np.searchsorted(back, at[ref]) if len(back) else at[:0]
+        size = np.ones(len(at), np.int64)
+        size[ref] = length[which] if len(which) else 0
+        reach = np.cumsum(size)
+        left = n - got
+        if reach[-1] >= left:  # what follows are the bits that fill the last byte
+            last = int(np.searchsorted(reach, left))
+            if reach[last] > left:
+                raise ValueError("a back-reference leaves the image")
+            at, s, which = at[: last + 1], s[: last + 1], which[: int(ref[: last + 1].sum())]
+            bits.at = 8 * first + follow[int(at[-1])]
+            got = n
+        else:
+            got += int(reach[-1])
+        symbols.append(s)
+        colours.append(colour[at])
+        if len(which):
+            lengths.append(length[which])
+            distances.append(far[which])
+        if bits.at > bits.end:
+            raise ValueError("the bit stream ends early")
+    s, colour = np.concatenate(symbols), np.concatenate(colours)
+    if lengths:
+        return _resolved(s, colour, np.concatenate(lengths), np.concatenate(distances), cache_bits, width)
+    if not cache_bits or s.max() < 256:
+        return colour.astype("<u4")
+    # A hit leaves the cache as it is, so a slot holds the last literal that fell there.
+    slot = np.where(s < 256, _slots(colour, cache_bits), s - 280)
+    order = np.argsort(slot, kind="stable")
+    literal = s[order] < 256
+    last = np.maximum.accumulate(np.where(literal, np.arange(len(order)), -1))
+    found = (last >= 0) & (slot[order[last]] == slot[order])
+    out = np.empty(len(s), "<u4")
+    out[order] = np.where(found, colour[order[last]], 0)
+    return out
+
+
+def _slots(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    return ((argb.astype(np.uint32) * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+
+
+def _resolved(s: np.ndarray, colour: np.ndarray, lengths: np.ndarray, distances: np.ndarray, cache_bits: int, width: int) -> np.ndarray:
+    """The pixels of tokens with back-references, one after the other; literals between two of them go together."""
+    if cache_bits:
+        slots, cache = _slots(colour, cache_bits).tolist(), [0] * (1 << cache_bits)
+    out = array("I")
+    references = np.flatnonzero((s >= 256) & (s < 280)).tolist()
+    colours, hits = colour.astype("<u4"), s >= 280
+    listed, at = (colours.tolist(), 0) if cache_bits else (None, 0)
+    symbols = s.tolist() if cache_bits else None
+    for k, length, d in zip([*references, len(s)], [*lengths.tolist(), 0], [*distances.tolist(), 0]):
+        if not cache_bits:
+            out.frombytes(colours[at:k].tobytes())
+        else:
+            for t in range(at, k):
+                if symbols[t] < 256:
+                    q = cache[slots[t]] = listed[t]
+                else:
+                    q = cache[symbols[t] - 280]
+                out.append(q)
+        at = k + 1
+        if not length:
+            break
+        d = d - 120 if d > 120 else max(1, DISTANCES[d - 1][0] + DISTANCES[d - 1][1] * width)
+        if d > len(out):
+            raise ValueError("a back-reference leaves the image")
+        some = out[len(out) - d : len(out) - d + length]
+        some = (some * (-(-length // len(some))))[:length]
+        out.extend(some)
+        if cache_bits:
+            for q in some[-(2 << cache_bits) :] if length <= d else some[: min(length, d)]:
+                cache[(CACHE_MULTIPLIER * q & 0xFFFFFFFF) >> (32 - cache_bits)] = q
+            if length > d:
+                for q in some[-d:]:
+                    cache[(CACHE_MULTIPLIER * q & 0xFFFFFFFF) >> (32 - cache_bits)] = q
+    return np.frombuffer(out, "<u4")
+
+
 def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -227,6 +383,9 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
     if n_groups == 1 and not cache_bits and all(one[k].fixed is not None and one[k].fixed <= 8 for k in (GREEN, RED, BLUE, ALPHA)) and one[GREEN].symbols().max() < 256:
         return _read_block(bits, one, n).reshape(height, width, 4)
 
+    if main and group_of is None and (one[GREEN].single is None or (one[GREEN].single < 256 and any(one[k].single is None for k in (RED, BLUE, ALPHA)))):
+        return _read_tokens(bits, one, cache_bits, width, n).view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
+
     pixels: list[int] = []  # argb
     cache = [0] * (1 << cache_bits) if cache_bits else None
     while len(pixels) < n:
@@ -402,39 +561,70 @@ def decode(data: bytes) -> np.ndarray:
 # ---- writing ----
 
 
+def _as_bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The lowest ``sizes`` bits of each value, least significant first."""
+    parts = []
+    for k in range(0, len(values), 1 << 16):  # bounded memory for very long texts
+        v, n = values[k : k + (1 << 16)], sizes[k : k + (1 << 16)]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        parts.append(((np.repeat(v, n) >> at) & 1).astype(np.uint8))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 class BitWriter:
     def __init__(self):
         self.parts: list[np.ndarray] = []
+        self.values: list[int] = []
+        self.sizes: list[int] = []
 
     def put(self, value: int, n: int) -> None:
-        if n:
-            self.parts.append(np.unpackbits(np.frombuffer(value.to_bytes(4, "little"), np.uint8), bitorder="little")[:n])
+        self.values.append(value)
+        self.sizes.append(n)
 
     def put_bits(self, bits: np.ndarray) -> None:
+        self._flush()
         self.parts.append(bits)
 
+    def _flush(self) -> None:
+        if self.values:
+            self.parts.append(_as_bits(np.array(self.values, np.int64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
+
+    def bits(self) -> np.ndarray:
+        """All bits so far, one in a byte."""
+        self._flush()
+        return np.concatenate(self.parts)
+
     def done(self) -> bytes:
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return np.packbits(self.bits(), bitorder="little").tobytes()
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a prefix code for ``counts``, at most ``most`` bits (counts are flattened until it fits)."""
-    counts = counts.astype(np.int64)
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) == 1:
+        lengths[used] = 1
+        return lengths
+    m = len(used)
+    own = counts[used].astype(np.int64)
     while True:
-        heap = [(int(c), k, (k,)) for k, c in enumerate(counts.tolist()) if c]
-        lengths = np.zeros(len(counts), np.int64)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-            return lengths
+        heap = [c << 16 | k for k, c in enumerate(own.tolist())]  # a node's number in the lowest bits
         heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for k in a[2] + b[2]:
-                lengths[k] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if lengths.max(initial=0) <= most:
+        above = [0] * (2 * m - 1)
+        for new in range(m, 2 * m - 1):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            heapq.heapreplace(heap, ((a >> 16) + (b >> 16)) << 16 | new)
+            above[a & 0xFFFF] = above[b & 0xFFFF] = new
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[:m]) <= most:
+            lengths[used] = depth[:m]
             return lengths
-        counts = np.where(counts > 0, (counts >> 1) + 1, 0)
+        own = (own >> 1) + 1
 
 
 @lru_cache(maxsize=64)
@@ -444,26 +634,23 @@ def _plain_code(symbols: int, size: int, lone: int | None) -> np.ndarray:
     lengths[lone if lone is not None else slice(0, symbols)] = 1 if lone is not None else 8
     out = BitWriter()
     _put_code(out, lengths)
-    return np.concatenate(out.parts)
+    return out.bits()
 
 
-def _put_code(out: BitWriter, lengths: np.ndarray) -> dict[int, tuple[int, int]]:
+def _put_code(out: BitWriter, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write a code and return (stream bits, length) by symbol."""
+    values, sizes = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
     if len(used) <= 1 and (len(used) == 0 or used[0] < 256):
         out.put(1, 1)
         out.put(0, 1)
         out.put(1, 1)
         out.put(int(used[0]) if len(used) else 0, 8)
-        return {int(s): (0, 0) for s in used}
+        return values, sizes
     out.put(0, 1)
     runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    k = 0
-    while k < len(lengths):
-        v, n = int(lengths[k]), 1
-        while k + n < len(lengths) and lengths[k + n] == v:
-            n += 1
-        k += n
+    edges = np.flatnonzero(np.diff(lengths, prepend=-1))
+    for v, n in zip(lengths[edges].tolist(), np.diff(edges, append=len(lengths)).tolist()):
         if v:
             runs.append((v, 0, 0))
             n -= 1
@@ -472,19 +659,22 @@ def _put_code(out: BitWriter, lengths: np.ndarray) -> dict[int, tuple[int, int]]
             runs.append((16, m - 3, 2) if v else (17, m - 3, 3) if m < 11 else (18, m - 11, 7))
             n -= m
         runs += [(v, 0, 0)] * n
-    own = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
+    described = np.array(runs)
+    own = code_lengths(np.bincount(described[:, 0], minlength=19), 7)
     out.put(15, 4)
-    for s in CODE_LENGTH_ORDER:
-        out.put(int(own[s]), 3)
+    for n in own[list(CODE_LENGTH_ORDER)].tolist():
+        out.put(n, 3)
     out.put(0, 1)
-    codes = {s: (c, n) for s, c, n in canonical(own)}
-    if len(codes) == 1:
-        codes = {s: (0, 0) for s in codes}
-    for s, extra, n in runs:
-        out.put(*codes[s])
-        out.put(extra, n)
-    by_symbol = {s: (c, n) for s, c, n in canonical(lengths)}
-    return {s: (0, 0) for s in by_symbol} if len(by_symbol) == 1 else by_symbol
+    own_values, own_sizes = np.zeros(19, np.int64), np.zeros(19, np.int64)
+    if np.count_nonzero(own) > 1:
+        symbols, code, n = canonical(own)
+        own_values[symbols], own_sizes[symbols] = code, n
+    described_values = np.column_stack([own_values[described[:, 0]], described[:, 1]])
+    out.put_bits(_as_bits(described_values.reshape(-1), np.column_stack([own_sizes[described[:, 0]], described[:, 2]]).reshape(-1)))
+    if len(used) > 1:
+        symbols, code, n = canonical(lengths)
+        values[symbols], sizes[symbols] = code, n
+    return values, sizes
 
 
 def _value_prefix(value: int) -> tuple[int, int, int]:
@@ -508,12 +698,131 @@ class Options:
     references: bool = False
     entropy: bool = False  # prefix codes by frequency
     groups: bool = False  # two groups of codes in turn, tile by tile
+    common: bool = False  # prefix codes of any text, not of the image's own frequencies
+    cross: tuple[int, int, int] | None = None  # green to red, green to blue and red to blue; None: any, tile by tile
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """The short codes of distances in an image that wide."""
+    return {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(DISTANCES)))}
+
+
+def _matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references: from left to right, each to the last place that goes on alike."""
+    n = len(argb)
+    if n <= LEAST_MATCH:
+        return []
+    wide = argb.astype(np.uint64)
+    key = wide[:-2] | wide[1:-1] << np.uint64(32)
+    key = (key ^ key >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93) + wide[2:] * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    places = order[same + 1]
+    before = order[same]
+    turn = np.argsort(places)
+    out, at = [], 0
+    for k, start in zip(places[turn].tolist(), before[turn].tolist()):
+        if k < at:
+            continue
+        length, most = 0, min(MOST_MATCH, n - k)
+        for size in (16, most):
+            other = argb[k : k + min(size, most)] != argb[start : start + min(size, most)]
+            length = int(other.argmax())
+            if other[length]:
+                break
+            length = len(other)
+        if length >= LEAST_MATCH:
+            out.append((k, length, k - start))
+            at = k + length
+    return out
+
+
+def _cached(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each pixel, and whether its colour is there: the last pixel of the slot was the same."""
+    slot = _slots(argb, cache_bits)
+    order = np.argsort(slot, kind="stable")
+    in_order, hit = argb[order], np.zeros(len(argb), bool)
+    hit[order[1:]] = in_order[1:] == in_order[:-1]  # equal colours have one slot
+    return slot, hit
+
+
+#: Frequencies of bytes of any text, as everyone knows them of letters; no byte is without a code.
+_COMMON = {" ": 900, "e": 500, "t": 375, "a": 325, "o": 310, "i": 285, "n": 285, "s": 260, "r": 250, "h": 250, "d": 175, "l": 165, "c": 125, "u": 120, "m": 100, "w": 90, "f": 90, "g": 85, "y": 80, "p": 75, "b": 60, "v": 40, "k": 35, ".": 50, ",": 50, "\n": 40}
+CACHE_BITS = 8  # of an image with common codes
+SAVED_BITS = 1 << 13  # what codes of its own must save to be worth their making
+
+
+@lru_cache(maxsize=16)
+def _common_code(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits that describe it, stream bits, length) by symbol of the common code of an alphabet of that size."""
+    counts = np.ones(size, np.int64)
+    if size >= 256:
+        counts[32:127] = 8
+        counts[[ord(c) for c in _COMMON]] = list(_COMMON.values())
+        counts[128:192] = 6
+        counts[256:264] = 16
+        counts[280:] = 8
+    out = BitWriter()
+    values, sizes = _put_code(out, code_lengths(counts, 15))
+    return out.bits(), values, sizes
 
 
-def _put_image(out: BitWriter, p: np.ndarray, o: Options, main: bool) -> None:
+def _symbols(argb: np.ndarray, matches: list[tuple[int, int, int]], cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, green symbols) of the pixels outside of ``matches``."""
+    green = (argb >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    if cache_bits:
+        slot, hit = _cached(argb, cache_bits)
+        green[hit] = 280 + slot[hit]
+    if not matches:
+        return np.arange(len(argb)), green
+    edge = np.zeros(len(argb) + 1, np.int64)
+    first, length, _ = np.array(matches).T
+    edge[first] += 1
+    edge[first + length] -= 1
+    places = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+    return places, green[places]
+
+
+def _information(counts: np.ndarray) -> float:
+    """Bits that symbols of these counts take, and about those of their code."""
+    c = counts[counts > 0].astype(np.float64)
+    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) + 5 * len(c) if len(c) > 1 else 0.0
+
+
+def _costs(argb: np.ndarray, matches: list[tuple[int, int, int]], cache_bits: int) -> tuple[float, float]:
+    """About the bits of an image with these features: with codes of its own, and (if there is one alpha) with common codes."""
+    places, symbols = _symbols(argb, matches, cache_bits)
+    literal = argb[places[symbols < 256]].astype(np.int64)
+    green = np.bincount(symbols, minlength=280 + (1 << cache_bits if cache_bits else 0))
+    bits, own_codes = 0.0, 0.0
+    if matches:
+        lengths, far = (np.array([_value_prefix(m[k] + more) for m in matches]) for k, more in ((1, 0), (2, 120)))
+        green[256:280] += np.bincount(lengths[:, 0], minlength=24)
+        bits = float(lengths[:, 2].sum() + far[:, 2].sum())
+        own_codes = _information(np.bincount(far[:, 0]))
+        bits_common = bits + 5.2 * len(matches)
+    else:
+        bits_common = 0.0
+    channels = np.bincount(np.concatenate([literal & 255, (literal >> 16 & 255) + 256]), minlength=512)
+    own_codes += _information(green) + _information(channels[:256]) + _information(channels[256:])
+    size = _common_code(256)[2]
+    bits_common += float(green @ _common_code(len(green))[2]) + float(channels[:256] @ size + channels[256:] @ size)
+    alpha = literal >> 24
+    if len(alpha) and (alpha != alpha[0]).any():
+        return bits + own_codes + _information(np.bincount(alpha)), np.inf
+    return bits + own_codes, bits_common + sum(len(_common_code(k)[0]) for k in (len(green), 256, 256, 40))
+
+
+def _argb(p: np.ndarray) -> np.ndarray:
+    return p.reshape(-1, 4)[:, [2, 1, 0, 3]].copy().view("<u4")[:, 0]
+
+
+def _put_image(out: BitWriter, p: np.ndarray, o: Options, main: bool, matches: list[tuple[int, int, int]] | None = None) -> None:
     height, width, _ = p.shape
     n = width * height
-    plain = not (o.entropy or o.references or o.cache_bits or o.groups) or not main
+    plain = not (o.entropy or o.common or o.references or o.cache_bits or o.groups) or not main
     cache_bits = 0 if plain else o.cache_bits
     out.put(1 if cache_bits else 0, 1)
     if cache_bits:
@@ -537,125 +846,214 @@ def _put_image(out: BitWriter, p: np.ndarray, o: Options, main: bool) -> None:
         if kept:  # the code of a byte is the byte, highest bit first
             out.put_bits(np.unpackbits(flat[:, kept].reshape(-1)))
         return
-    argb = (flat[:, [2, 1, 0, 3]].copy().view("<u4")[:, 0]).tolist()
-    cache: dict[int, int] = {}
-    seen: dict[tuple, int] = {}
-    todo: list[tuple] = []  # (at, green symbol, rest)
-    at = 0
-    while at < n:
-        length = 0
-        if o.references and at >= 3 and at + 3 <= n:
-            start = seen.get(tuple(argb[at : at + 3]))
-            if start is not None:
-                while at + length < n and length < 4096 and argb[start + length] == argb[at + length]:
-                    length += 1
-        slot = (CACHE_MULTIPLIER * argb[at] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-        if length >= 3:
-            d = at - start
-            near = next((k + 1 for k, (dx, dy) in enumerate(DISTANCES) if max(1, dx + dy * width) == d), d + 120)
-            todo.append((at, 256 + _value_prefix(length)[0], (_value_prefix(length), _value_prefix(near))))
-        elif cache_bits and cache.get(slot) == argb[at]:
-            length = 1
-            todo.append((at, 280 + slot, None))
-        else:
-            length = 1
-            todo.append((at, int(flat[at, 1]), flat[at]))
-        for k in range(at, at + length):
-            if k + 3 <= n:
-                seen[tuple(argb[k : k + 3])] = k
-            if cache_bits:
-                cache[(CACHE_MULTIPLIER * argb[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = argb[k]
-        at += length
-    group = (lambda k: int(which[(k // width) >> 2, (k % width) >> 2, 1])) if grouped else (lambda k: 0)
+    argb = _argb(p)
+    matches = [] if not o.references else _matches(argb) if matches is None else matches
+    places, symbols = _symbols(argb, matches, cache_bits)
+    rest = flat[places].astype(np.int64)
+    literal = symbols < 256
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    counts = [[np.zeros(s, np.int64) for s in sizes] for _ in range(2 if grouped else 1)]
-    for at, s, rest in todo:
-        c = counts[group(at)]
-        c[GREEN][s] += 1
-        if s < 256:
-            for k, channel in ((RED, 0), (BLUE, 2), (ALPHA, 3)):
-                c[k][rest[channel]] += 1
-        elif s < 280:
-            c[DISTANCE][rest[1][0]] += 1
-    codes = [[_put_code(out, code_lengths(x, 15) if x.any() else x) for x in c] for c in counts]
-    for at, s, rest in todo:
-        c = codes[group(at)]
-        out.put(*c[GREEN][s])
-        if s < 256:
-            for k, channel in ((RED, 0), (BLUE, 2), (ALPHA, 3)):
-                out.put(*c[k][int(rest[channel])])
-        elif s < 280:
-            out.put(rest[0][1], rest[0][2])
-            out.put(*c[DISTANCE][rest[1][0]])
-            out.put(rest[1][1], rest[1][2])
+    near = _near(width)
+    lengths = [_value_prefix(m) for _, m, _ in matches]
+    far = [_value_prefix(near.get(d, d + 120)) for _, _, d in matches]
+    if matches:
+        at = np.array([m[0] for m in matches])
+        length_code, far_code = np.array(lengths), np.array(far)
+        every, back = np.concatenate([places, at]), np.concatenate([symbols, 256 + length_code[:, 0]])
+    else:
+        every, back = places, symbols
+    group = which[(every // width) >> 2, (every % width) >> 2, 1].astype(np.int64) if grouped else np.zeros(len(every), np.int64)
+    m = len(places)
+    codes = []
+    for g in range(2 if grouped else 1):
+        if o.common:
+            known = [_common_code(x) for x in (sizes[GREEN], 256, 256)]
+            for k in known:
+                out.put_bits(k[0])
+            lone = np.zeros(256, np.int64)
+            lone[int(flat[0, 3])] = 1
+            codes.append([k[1:] for k in known] + [_put_code(out, lone)])
+            known = _common_code(40)
+            out.put_bits(known[0])
+            codes[0].append(known[1:])
+            continue
+        lit = literal & (group[:m] == g)
+        counts = [np.bincount(back[group == g], minlength=sizes[GREEN]), *(np.bincount(rest[lit, c], minlength=256) for c in (0, 2, 3))]
+        counts.append(np.bincount(far_code[group[m:] == g, 0], minlength=40) if matches else np.zeros(40, np.int64))
+        codes.append([_put_code(out, code_lengths(x, 15) if x.any() else x) for x in counts])
+    table = lambda k, part: np.stack([c[k][part] for c in codes])
+    values, bits = np.zeros((len(every), 4), np.int64), np.zeros((len(every), 4), np.int64)
+    values[:, 0], bits[:, 0] = table(GREEN, 0)[group, back], table(GREEN, 1)[group, back]
+    own = np.flatnonzero(literal)
+    for column, (k, channel) in enumerate(((RED, 0), (BLUE, 2), (ALPHA, 3)), 1):
+        values[own, column], bits[own, column] = table(k, 0)[group[own], rest[own, channel]], table(k, 1)[group[own], rest[own, channel]]
+    if matches:
+        values[m:, 1], bits[m:, 1] = length_code[:, 1], length_code[:, 2]
+        values[m:, 2], bits[m:, 2] = table(DISTANCE, 0)[group[m:], far_code[:, 0]], table(DISTANCE, 1)[group[m:], far_code[:, 0]]
+        values[m:, 3], bits[m:, 3] = far_code[:, 1], far_code[:, 2]
+        order = np.argsort(every)
+        values, bits = values[order], bits[order]
+    out.put_bits(_as_bits(values.reshape(-1), bits.reshape(-1)))
 
 
 def _predicted(p: np.ndarray, tiles: np.ndarray, size_bits: int) -> np.ndarray:
     q = p.astype(np.int64)
     height, width, _ = q.shape
     guess = np.zeros_like(q)
-    for y in range(height):
-        modes = _modes(tiles, size_bits, width, y)
-        for x in range(width):
-            if y == 0:
-                guess[y, x] = q[0, x - 1] if x else (0, 0, 0, 255)
-            elif x == 0:
-                guess[y, x] = q[y - 1, 0]
-            else:
-                right = q[y - 1, x + 1] if x + 1 < width else q[y, 0]
-                guess[y, x] = _predict(int(modes[x]), q[y, x - 1], q[y - 1, x], q[y - 1, x - 1], right)
+    guess[0, 0] = (0, 0, 0, 255)
+    guess[0, 1:] = q[0, :-1]
+    guess[1:, 0] = q[:-1, 0]
+    if height > 1 and width > 1:
+        modes = _spread(tiles[..., 1] & 15, size_bits, height, width)[1:, 1:]
+        left, top, top_left = q[1:, :-1], q[:-1, 1:], q[:-1, :-1]
+        top_right = np.concatenate([q[:-1, 2:], q[1:, :1]], axis=1)  # right of the last pixel above lies the first of this row
+        for mode in np.unique(modes).tolist():
+            at = modes == mode
+            guess[1:, 1:][at] = _predict(mode, left[at], top[at], top_left[at], top_right[at])
     return ((q - guess) & 255).astype(np.uint8)
 
 
-def encode(pixels: np.ndarray, options: Options = Options()) -> bytes:
-    """A lossless WebP file of ``pixels`` (height, width, 4), each side 1 to 16384."""
-    height, width, _ = pixels.shape
-    out = BitWriter()
-    out.put(0x2F, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(int((pixels[..., 3] != 255).any()), 1)
-    out.put(0, 3)
-    p = pixels
-    for kind in options.transforms:
-        out.put(1, 1)
-        out.put(kind, 2)
-        size_bits = options.tile_bits
-        shape = (_up(height, size_bits), _up(p.shape[1], size_bits), 4)
+#: Predictors that are undone row by row.
+_BY_ROWS = (1, 2, 3, 4, 8, 9)
+
+
+def _fitted(p: np.ndarray) -> tuple[tuple[int, int, int], float]:
+    """Multipliers of the cross-colour transform that leave the least squares, and the greater share of a channel's squares that they take."""
+    green, red, blue = (c - c.mean() for c in p.reshape(-1, 4)[:, [1, 0, 2]].T.astype(np.int8).astype(np.float64))
+    product = lambda a, b: float((a * b).sum())  # noqa: E731 - a dot product would start threads of its own
+    spread = product(green, green)
+    if not spread:
+        return (0, 0, 0), 0.0
+    with_red, with_blue = product(green, red), product(green, blue)
+    share = max(x * x / (spread * product(c, c)) if x else 0.0 for x, c in ((with_red, red), (with_blue, blue)))
+    to_red, to_blue = (min(127, max(-128, round(32 * x / spread))) for x in (with_red, with_blue))
+    return (to_red & 255, to_blue & 255, 0), share
+
+
+_OFFSETS = np.arange(4) * 256
+
+
+def _channels(p: np.ndarray) -> float:
+    """About the bits of all pixels as literals."""
+    c = np.bincount((p.reshape(-1, 4) + _OFFSETS).reshape(-1))
+    c = c[c > 0].astype(np.float64)
+    n = p.size // 4
+    return 4 * n * float(np.log2(n)) - float((c * np.log2(c)).sum()) + 5 * len(c)
+
+
+def best(pixels: np.ndarray) -> Options:
+    """The features that make ``pixels`` small, by the information of what they leave."""
+    return _chosen(pixels)[0]
+
+
+def _chosen(pixels: np.ndarray) -> tuple[Options, np.ndarray, list[tuple], list[tuple[int, int, int]]]:
+    """(options, what their transforms leave, the transforms, back-references).
+
+    Transforms are compared where they may save: subtract-green and fitted cross-colour multipliers where channels go together
+    (a fourth of the squares at least; a weaker fit saves less than a quarter of a bit), predictors where a fourth of the pixels
+    hold as they are, a palette where each colour comes twice. Then come back-references, a colour cache, and
+    codes of the image's own where these save more than ``SAVED_BITS`` over common ones.
+    """
+    argb = _argb(pixels)
+    n, width = len(argb), pixels.shape[1]
+    plain, trials = (Options(), pixels, []), []
+    cross, share = _fitted(pixels)
+    if share > 0.25:
+        trials += [Options(transforms=(SUBTRACT_GREEN,)), Options(transforms=(CROSS_COLOUR,), cross=cross, tile_bits=9)]
+    if max(np.count_nonzero(argb[d:] == argb[:-d]) if 0 < d < n else 0 for d in (1, width, width - 1, width + 1)) > n / 4:
+        trials += [Options(transforms=(PREDICTOR,), predictor_mode=k, tile_bits=9) for k in _BY_ROWS]
+    chosen = plain
+    if trials:
+        least = _channels(pixels)
+        for o in trials:
+            q, described = _transformed(pixels, o)
+            cost = _channels(q)
+            if cost < least:
+                chosen, least = (o, q, described), cost
+    forms = [plain] if chosen is plain else [plain, chosen]
+    if len(set(argb[:1024].tolist())) <= 256 and 2 * (colours := len(np.unique(argb))) <= min(n, 512):
+        o = Options(transforms=(PALETTE,))
+        forms.append((o, *_transformed(pixels, o)))
+    out, lowest = None, np.inf
+    for o, q, described in forms:
+        own = _argb(q)
+        matches = _matches(own)
+        extra = 24 * colours if o.transforms == (PALETTE,) else 0
+        for cache_bits in (0, CACHE_BITS):
+            by_own, by_common = _costs(own, matches, cache_bits)
+            for cost, entropy in ((by_common, False), (by_own + SAVED_BITS, True)):
+                if cost + extra < lowest:
+                    lowest = cost + extra
+                    out = replace(o, entropy=entropy, common=not entropy, cache_bits=cache_bits, references=bool(matches)), q, described, matches
+    flat = pixels.reshape(-1, 4)
+    return out if lowest < 8 * n * int((flat != flat[0]).any(0).sum()) + 1000 else (*plain, [])
+
+
+def encode_small(pixels: np.ndarray) -> bytes:
+    """``encode`` with the options that ``best`` names."""
+    return _written(pixels, *_chosen(pixels))
+
+
+def _transformed(p: np.ndarray, o: Options) -> tuple[np.ndarray, list[tuple]]:
+    """What the transforms leave, and of each its kind, the bits of a tile's side and its own image."""
+    described = []
+    for kind in o.transforms:
+        size_bits = o.tile_bits
+        shape = (_up(p.shape[0], size_bits), _up(p.shape[1], size_bits), 4)
         if kind == PREDICTOR:
             tiles = np.zeros(shape, np.uint8)
-            tiles[..., 1] = (np.arange(shape[0] * shape[1]) % 14).reshape(shape[:2]) if options.predictor_mode is None else options.predictor_mode
-            out.put(size_bits - 2, 3)
-            _put_image(out, tiles, Options(), False)
+            tiles[..., 1] = (np.arange(shape[0] * shape[1]) % 14).reshape(shape[:2]) if o.predictor_mode is None else o.predictor_mode
             p = _predicted(p, tiles, size_bits)
         elif kind == CROSS_COLOUR:
             tiles = np.random.default_rng(shape[1]).integers(0, 256, shape, np.uint8)
-            out.put(size_bits - 2, 3)
-            _put_image(out, tiles, Options(), False)
+            if o.cross is not None:
+                tiles[:] = (o.cross[2], o.cross[1], o.cross[0], 255)
             t, q = _spread(tiles, size_bits, *p.shape[:2]), p.astype(np.int32)
             q[..., 0] -= _delta(t[..., 2], p[..., 1])
             q[..., 2] -= _delta(t[..., 1], p[..., 1]) + _delta(t[..., 0], p[..., 0])
             p = (q & 255).astype(np.uint8)
         elif kind == SUBTRACT_GREEN:
-            p = p.copy()
+            tiles, p = None, p.copy()
             p[..., 0] -= p[..., 1]
             p[..., 2] -= p[..., 1]
         else:
-            table, index = np.unique(p.reshape(-1, 4), axis=0, return_inverse=True)
+            table, index = np.unique(_argb(p), return_inverse=True)
             if len(table) > 256:
                 raise ValueError("more than 256 colours")
-            out.put(len(table) - 1, 8)
-            _put_image(out, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)[None], Options(), False)
+            tiles = table.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]]
             packed = _palette_bits(len(table))
-            index = index.reshape(p.shape[:2])
-            wide = np.zeros((height, _up(p.shape[1], packed) << packed), np.int64)
-            wide[:, : p.shape[1]] = index
-            shifts = np.arange(1 << packed) * (8 >> packed)
-            green = (wide.reshape(height, -1, 1 << packed) << shifts).sum(-1)
+            wide = np.zeros((p.shape[0], _up(p.shape[1], packed) << packed), np.int64)
+            wide[:, : p.shape[1]] = index.reshape(p.shape[:2])
+            green = (wide.reshape(p.shape[0], -1, 1 << packed) << (np.arange(1 << packed) * (8 >> packed))).sum(-1)
             p = np.zeros((*green.shape, 4), np.uint8)
             p[..., 1], p[..., 3] = green, 255
+        described.append((kind, size_bits, tiles))
+    return p, described
+
+
+def encode(pixels: np.ndarray, options: Options = Options()) -> bytes:
+    """A lossless WebP file of ``pixels`` (height, width, 4), each side 1 to 16384."""
+    return _written(pixels, options, *_transformed(pixels, options), None)
+
+
+def _written(pixels: np.ndarray, options: Options, p: np.ndarray, described: list[tuple], matches: list[tuple[int, int, int]] | None) -> bytes:
+    height, width, _ = pixels.shape
+    out = BitWriter()
+    out.put(0x2F, 8)
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(int((pixels[..., 3] != 255).any()), 1)
+    out.put(0, 3)
+    for kind, size_bits, own in described:
+        out.put(1, 1)
+        out.put(kind, 2)
+        if kind in (PREDICTOR, CROSS_COLOUR):
+            out.put(size_bits - 2, 3)
+            _put_image(out, own, Options(), False)
+        elif kind == PALETTE:
+            out.put(len(own) - 1, 8)
+            _put_image(out, np.diff(own, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)[None], Options(), False)
     out.put(0, 1)
-    _put_image(out, p, options, True)
+    _put_image(out, p, options, True, matches)
     body = out.done()
     size = len(body)
     body += b"\0" * (size & 1)

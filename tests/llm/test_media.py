@@ -41,6 +41,45 @@ def test_webp_with_every_feature(name, pixels):
         assert (webp.decode(webp.encode(pixels, webp.Options(transforms=(webp.PREDICTOR,), predictor_mode=mode))) == pixels).all()
 
 
+def test_features_by_content():
+    rng = np.random.default_rng(2)
+    grey = np.repeat(rng.integers(0, 256, (40, 64, 1), dtype=np.uint8), 4, axis=2)
+    grey[..., 3] = 255
+    few = rng.integers(0, 256, (4, 4), dtype=np.uint8)[rng.integers(0, 4, (40, 64))]
+    words = np.array([f"{w} " for w in ("some words come again and others only once in a while here there now then".split())])
+    prose = "".join(rng.choice(words, 3000))
+    text = media.to_pixels(prose.encode()[:11520])
+    flat = media.to_pixels(rng.integers(0, 256, 1920, dtype=np.uint8).tobytes())
+    slope = np.full((40, 64, 4), 255, np.uint8)
+    slope[..., :3] = (np.arange(40)[:, None] * 3 + np.arange(64) * 2)[..., None] + rng.integers(0, 2, (40, 64, 3))
+    for p in (grey, few, text, flat, slope, *(p for _, p in images())):
+        assert (webp.decode(webp.encode_small(p)) == p).all()
+        assert webp.encode_small(p) == webp.encode(p, webp.best(p))
+    assert webp.best(grey).transforms in ((webp.SUBTRACT_GREEN,), (webp.CROSS_COLOUR,)) and webp.best(few).transforms == (webp.PALETTE,)
+    o = webp.best(text)
+    assert o.references and (o.entropy or o.common) and webp.best(flat) == webp.Options()
+
+
+def test_stored_texts_are_compressed(spark):
+    prose = ["".join(f"the {k * j % 97} of them went on to the {k + j} houses by the sea, and there it was. " for j in range(60)) for k in range(20)]
+    r = media.media_digest(spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")).selectExpr("sum(media_bytes) / sum(payload_bytes)").first()[0]
+    assert r < 0.6
+
+
+@pytest.mark.parametrize("cache_bits", [0, 3])
+def test_references_and_cache_over_many_segments(monkeypatch, cache_bits):
+    monkeypatch.setattr(webp, "SEGMENT_BYTES", 64)
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 4, (60, 64, 4), dtype=np.uint8)
+    p[20:40] = p[:20]
+    p[50:, :, :] = 7
+    o = webp.Options(entropy=True, references=True, cache_bits=cache_bits)
+    data = webp.encode(p, o)
+    assert (webp.decode(data) == p).all()
+    with pytest.raises(ValueError):
+        webp.decode(data[:16] + (len(data) // 2).to_bytes(4, "little") + data[20 : 20 + len(data) // 2])
+
+
 @pytest.mark.parametrize("broken", [b"", b"RIFF", b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0"])
 def test_webp_that_is_none(broken):
     with pytest.raises((ValueError, IndexError)):
