@@ -2,7 +2,9 @@
 
 A probe says what comes of a coalition of a case's items: a function from (case_id, coalition) to the same
 with delta, ci_lo and ci_hi; coalitions are sorted arrays. What has been asked is kept in a table of the
-shared folder and carried from step to step, so no coalition of a case is asked for twice.
+shared folder and carried from step to step, so no coalition of a case is asked for twice. A probe whose answers
+follow from a few values of the case (``Additive``) has these put beside the case once; it then answers in
+the case's own row, so a step neither shuffles nor reads what has been asked before.
 """
 
 from __future__ import annotations
@@ -41,15 +43,32 @@ class Memo:
         return answers.unionByName(wanted.where(F.size("coalition") == 0).select("case_id", "coalition", *nothing))
 
 
-def additive(effect: DataFrame, margin: float = 0.0) -> Probe:
+class Additive:
     """Probes that add up the effects (case_id, item, effect) of a coalition's items, known to ``margin`` either way."""
 
-    def probe(wanted: DataFrame) -> DataFrame:
-        each = wanted.select("case_id", "coalition", F.explode("coalition").alias("item")).join(effect.select("case_id", "item", "effect"), ["case_id", "item"], "left")
+    def __init__(self, effect: DataFrame, margin: float = 0.0):
+        self.effect, self.margin = effect, margin
+
+    def carried(self, cases: DataFrame) -> DataFrame:
+        """``cases`` with their ``effects``, as ``answer`` needs them."""
+        own = self.effect.where("item is not null").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("item", F.col("effect").cast("double").alias("effect")))).alias("effects"))
+        return cases.join(own, "case_id", "left").withColumn("effects", F.coalesce("effects", F.array().cast("array<struct<item:string,effect:double>>")))
+
+    def answer(self, coalition: Column) -> Column:
+        """delta, ci_lo and ci_hi of a coalition of the row's case."""
+        of = F.filter("effects", lambda e: F.array_contains(coalition, e["item"]))
+        return self._bounds(F.aggregate(of, F.lit(0.0), lambda a, e: a + F.coalesce(e["effect"], F.lit(0.0))))
+
+    def _bounds(self, delta: Column) -> Column:
+        return F.struct(delta.alias("delta"), (delta - self.margin).alias("ci_lo"), (delta + self.margin).alias("ci_hi"))
+
+    def __call__(self, wanted: DataFrame) -> DataFrame:
+        each = wanted.select("case_id", "coalition", F.explode("coalition").alias("item")).join(self.effect.select("case_id", "item", "effect"), ["case_id", "item"], "left")
         total = each.groupBy("case_id", "coalition").agg(F.sum(F.coalesce("effect", F.lit(0.0))).alias("delta"))
-        return total.select("case_id", "coalition", "delta", (F.col("delta") - margin).alias("ci_lo"), (F.col("delta") + margin).alias("ci_hi"))
+        return total.select("case_id", "coalition", self._bounds(F.col("delta")).alias("a")).select("case_id", "coalition", "a.*")
+
 
-    return probe
+additive = Additive
 
 
 def _overlay(old: Column, new: Column) -> Column:
@@ -75,11 +94,13 @@ def bisection_search(cases: DataFrame, probe: Probe, threshold: float, steps: St
     question of the case, repeated ones too. And the decisions (case_id, step, probed, base, delta, ci_lo, significant).
     A case without items has no rows in either.
     """
-    memo = Memo(probe, steps)
+    in_row = isinstance(probe, Additive)
+    memo, values = None if in_row else Memo(probe, steps), ["effects"] if in_row else []
+    cases = probe.carried(cases) if in_row else cases
     no_items, no_score, none = F.array().cast("array<string>"), F.create_map().cast("map<string,double>"), F.array().cast(FOUND)
     start = cases.where(F.size("items") > 0).select(
         "case_id", "items", F.col("items").alias("rest"), F.col("items").alias("open"), no_items.alias("base"), F.lit(0.0).alias("base_delta"),
-        F.lit(0).cast("long").alias("probes"), no_score.alias("ruled_out"), none.alias("found"), F.lit(True).alias("active"),
+        F.lit(0).cast("long").alias("probes"), no_score.alias("ruled_out"), none.alias("found"), F.lit(True).alias("active"), *values,
     )
     state, place, step = steps.keep(start, "start"), steps.place("steps"), 0
     if state.isEmpty():
@@ -91,7 +112,10 @@ def bisection_search(cases: DataFrame, probe: Probe, threshold: float, steps: St
         n = F.size("open")
         probed = F.when(n > 1, F.slice("open", F.lit(1), F.floor(n / 2).cast("int"))).otherwise(F.col("open"))
         asked = state.withColumn("probed", probed).withColumn("coalition", F.array_sort(F.concat("base", "probed")))
-        answered = asked.join(memo.ask(asked), ["case_id", "coalition"])
+        if in_row:
+            answered = asked.withColumn("_answer", probe.answer(F.col("coalition"))).select("*", "_answer.*")
+        else:
+            answered = asked.join(memo.ask(asked), ["case_id", "coalition"])
         for c in ("delta", "ci_lo", "ci_hi"):
             answered = answered.withColumn(c, F.col(c) - F.col("base_delta"))
         answered = answered.withColumn("significant", F.col("ci_lo") > threshold)
@@ -111,6 +135,7 @@ def bisection_search(cases: DataFrame, probe: Probe, threshold: float, steps: St
             F.when(single & hit, F.concat("found", culprit)).otherwise(F.col("found")).alias("found"),
             (~single | (hit & (F.size(rest) > 0))).alias("active"),
             F.struct(F.lit(step).alias("step"), "probed", "base", "delta", "ci_lo", "significant").alias("decision"),
+            *values,
         )
         state = steps.add(moved, place, step).where("active")
     every = steps.parts(place, state.schema)
@@ -137,28 +162,43 @@ def shapley_search(cases: DataFrame, probe: Probe, steps: Steps, seed: int = 42)
     hold an item are asked for and counted in ``probes``; the empty one stands among those without an item once more. The interval
     is half the mean width of the probes with the item to either side. Ties are ranked in the order of ``items``.
     """
-    n = F.size("items")
+    n, in_row = F.size("items"), isinstance(probe, Additive)
     rounds = F.when(n <= 1, n).otherwise(budget(n))
-    drawn = cases.where(n > 0).select("case_id", "items", F.explode(F.sequence(F.lit(0), rounds - 1)).alias("b"))
-    each = drawn.select("case_id", "b", F.size("items").alias("n"), F.posexplode("items").alias("pos", "item"))
-    each = each.withColumn("inside", uniform(F.col("b").cast("long") * F.col("n") + F.col("pos") + 1, seed) < 0.5)
-    sets = each.groupBy("case_id", "b").agg(F.array_sort(F.collect_list(F.when(F.col("inside"), F.col("item")))).alias("coalition"))
-    sets = steps.keep(sets, "coalitions")
-    answers = sets.join(Memo(probe, steps).ask(sets), ["case_id", "coalition"])
-    counted = sets.where(F.size("coalition") > 0).groupBy("case_id").agg(F.countDistinct("coalition").alias("probes"))
-    joined = each.select("case_id", "b", "pos", "item").join(answers, ["case_id", "b"]).withColumn("inside", F.array_contains("coalition", F.col("item")))
-    inside = F.col("inside")
-    g = joined.groupBy("case_id", "item").agg(
-        F.min("pos").alias("pos"),
-        F.coalesce(F.avg(F.when(inside, F.col("delta"))), F.lit(0.0)).alias("with"),
-        (F.sum(F.when(~inside, F.col("delta")).otherwise(0.0)) / (F.count_if(~inside) + 1)).alias("without"),
-        (F.coalesce(F.avg(F.when(inside, F.col("ci_hi") - F.col("ci_lo"))), F.lit(0.0)) / 2).alias("half"),
-    )
-    g = g.withColumn("delta", F.col("with") - F.col("without"))
-    by = F.struct((-F.col("delta")).alias("by"), "pos", "item", "delta", "half")
-    ranked = g.groupBy("case_id").agg(F.array_sort(F.collect_list(by)).alias("r")).select("case_id", F.posexplode("r").alias("at", "r"))
-    out = ranked.join(counted, "case_id", "left").select("case_id", "r.item", (F.col("at") + 1).alias("rank"), "r.delta", (F.col("r.delta") - F.col("r.half")).alias("ci_lo"), (F.col("r.delta") + F.col("r.half")).alias("ci_hi"), "probes")
-    return out.withColumn("probes", F.coalesce("probes", F.lit(0).cast("long")))
+    drawn = lambda b: F.array_sort(F.filter("items", lambda _, i: uniform(b.cast("long") * n + i + 1, seed) < 0.5))
+    cases = (probe.carried(cases) if in_row else cases).where(n > 0)
+    sets = steps.keep(cases.withColumn("sets", F.transform(F.sequence(F.lit(0), rounds - 1), drawn)), "coalitions")
+    nothing = F.struct(*[F.lit(0.0).alias(c) for c in ("delta", "ci_lo", "ci_hi")])
+    if in_row:
+        found = probe.answer
+    else:
+        asked = sets.select("case_id", F.explode("sets").alias("coalition"))
+        answers = Memo(probe, steps).ask(asked).groupBy("case_id").agg(F.collect_list(F.struct("coalition", "delta", "ci_lo", "ci_hi")).alias("known"))
+        sets = sets.join(answers, "case_id")
+        found = lambda s: F.transform(F.slice(F.filter("known", lambda k: k["coalition"] == s), 1, 1), lambda k: F.struct(*[k[c].alias(c) for c in ("delta", "ci_lo", "ci_hi")]))[0]
+    answered = sets.withColumn("rounds", F.transform("sets", lambda s: F.struct(s.alias("coalition"), F.when(F.size(s) > 0, found(s)).otherwise(nothing).alias("a"))))
+
+    def row(x: Column, pos: Column) -> Column:
+        parts = ("inside", "n_inside", "outside", "n_outside", "width")
+
+        def add(total: Column, r: Column) -> Column:
+            inside = F.array_contains(r["coalition"], x)
+            more = {"inside": r["a"]["delta"], "n_inside": F.lit(1.0), "width": r["a"]["ci_hi"] - r["a"]["ci_lo"]}
+            less = {"outside": r["a"]["delta"], "n_outside": F.lit(1.0)}
+            return F.struct(*[(total[p] + F.when(inside, more.get(p, F.lit(0.0))).otherwise(less.get(p, F.lit(0.0)))).alias(p) for p in parts])
+
+        total = F.aggregate("rounds", F.struct(*[F.lit(0.0).alias(p) for p in parts]), add)
+        return F.struct(x.alias("item"), pos.alias("pos"), total.alias("t"))
+
+    def ranked(q: Column) -> Column:
+        t = q["t"]
+        per = lambda v: F.when(t["n_inside"] > 0, v / t["n_inside"]).otherwise(0.0)
+        delta = per(t["inside"]) - t["outside"] / (t["n_outside"] + 1)
+        return F.struct((-delta).alias("by"), q["pos"].alias("pos"), q["item"].alias("item"), delta.alias("delta"), (per(t["width"]) / 2).alias("half"))
+
+    probes = F.size(F.array_distinct(F.filter("sets", lambda s: F.size(s) > 0))).cast("long")
+    items = answered.select("case_id", probes.alias("probes"), F.transform("items", row).alias("totals"))
+    rows = items.select("case_id", "probes", F.posexplode(F.array_sort(F.transform("totals", ranked))).alias("at", "r"))
+    return rows.select("case_id", "r.item", (F.col("at") + 1).alias("rank"), "r.delta", (F.col("r.delta") - F.col("r.half")).alias("ci_lo"), (F.col("r.delta") + F.col("r.half")).alias("ci_hi"), "probes")
 
 
 def traced(decisions: DataFrame, truth: DataFrame) -> DataFrame:

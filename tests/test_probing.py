@@ -154,6 +154,33 @@ def test_no_coalition_is_asked_for_twice(spark):
     assert asked and len(asked) == len(set(asked))
 
 
+def test_a_step_of_additive_probes_shuffles_nothing(spark, monkeypatch):
+    cases = made(12, seed=9)
+    c, e = frames(spark, cases)
+    plans, add = [], Steps.add
+
+    def watched(self, df, place, number):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return add(self, df, place, number)
+
+    monkeypatch.setattr(Steps, "add", watched)
+    ranking, _ = probing.bisection_search(c, probing.additive(e, 1 / 128), THRESHOLD, Steps(spark, "test"))
+    assert ranking.count() and plans and not any("Exchange" in p or "Join" in p for p in plans)
+    contrasts_ = probing.shapley_search(c, probing.additive(e, 1 / 128), Steps(spark, "test"))
+    assert "Exchange" not in contrasts_._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_in_a_row_are_those_of_the_table(spark):
+    cases = made(40, seed=5)
+    c, e = frames(spark, cases)
+    e = e.unionByName(e.where("item = 't3'"))  # effects of one item add up
+    probe = probing.additive(e, 1 / 128)
+    table = lambda wanted: probe(wanted)
+    for search in (lambda p: probing.bisection_search(c, p, THRESHOLD, Steps(spark, "test"))[0], lambda p: probing.shapley_search(c, p, Steps(spark, "test"))):
+        rows = [sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in search(p).collect()), key=repr) for p in (probe, table)]
+        assert rows[0] and rows[0] == rows[1]
+
+
 def test_contrasts_like_a_loop(spark):
     cases = made(80, seed=3)
     c, e = frames(spark, cases)
