@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import json_text, trees
@@ -53,15 +53,23 @@ def jn2_constraint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order as a mirrored catalog: its lines are the tools, with one parameter or none."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    doc = F.concat(F.lit('Ship "'), "l_linestatus", F.lit('"\n\tfrom \\'), "l_suppkey")
-    params = F.array(F.struct(F.lit("q").alias("name"), F.lit("float").alias("annotation"), F.when(F.col("l_linenumber") > 3, F.col("l_returnflag")).alias("default")))
-    params = F.when(F.col("l_linenumber") != 2, params).otherwise(F.array().cast("array<struct<name:string,annotation:string,default:string>>"))
-    tool = F.struct(F.concat(F.lit("t"), "l_linenumber").alias("name"), doc.alias("docstring"), nested.docstring_hash(doc).alias("source_hash"), F.lit("None").alias("return_annotation"), params.alias("params"))
-    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(tool)).alias("tools"))
+    no_params = F.array().cast("array<struct<name:string,annotation:string,default:string>>")
+
+    def tool(line: Column) -> Column:
+        doc = F.concat(F.lit('Ship "'), line["l_linestatus"], F.lit('"\n\tfrom \\'), line["l_suppkey"])
+        params = F.array(F.struct(F.lit("q").alias("name"), F.lit("float").alias("annotation"), F.when(line["l_linenumber"] > 3, line["l_returnflag"]).alias("default")))
+        return F.struct(
+            F.concat(F.lit("t"), line["l_linenumber"]).alias("name"), doc.alias("docstring"), nested.docstring_hash(doc).alias("source_hash"), F.lit("None").alias("return_annotation"),
+            F.when(line["l_linenumber"] != 2, params).otherwise(no_params).alias("params"),
+        )
+
+    # The bare fields of a line are shuffled; texts are made of them where their order is.
+    bare = F.struct("l_linenumber", "l_linestatus", "l_suppkey", "l_returnflag")
+    lines = li.groupBy("l_orderkey").agg(F.collect_list(bare).alias("lines"))
     joined = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
     return joined.select(
         F.col("o_orderkey").cast("string").alias("server_id"), F.concat(F.lit("o/"), "o_custkey").alias("source_repo"), F.lit("python").alias("language"), F.col("o_custkey").alias("stars"),
-        F.col("o_orderstatus").alias("stratum"), F.lit("naïve 😀").alias("notes"), F.coalesce("tools", F.array().cast(f"array<{nested.TOOL}>")).alias("tools"),
+        F.col("o_orderstatus").alias("stratum"), F.lit("naïve 😀").alias("notes"), F.coalesce(F.array_sort(F.transform("lines", tool)), F.array().cast(f"array<{nested.TOOL}>")).alias("tools"),
     )
 
 

@@ -66,8 +66,8 @@ def read_mirrors(spark: SparkSession, path: str, whole_files: bool = False) -> D
 
 
 def write_mirrors(mirrors: DataFrame, path: str) -> None:
-    """JSON lines with every field in the order of the schema, nulls written."""
-    mirrors.to(spark_schema(mirrors.sparkSession, MIRROR)).write.option("ignoreNullFields", False).json(path)
+    """JSON lines (gzip) with every field in the order of the schema, nulls written."""
+    mirrors.to(spark_schema(mirrors.sparkSession, MIRROR)).write.option("ignoreNullFields", False).option("compression", "gzip").json(path)
 
 
 def spark_schema(spark: SparkSession, ddl: str):

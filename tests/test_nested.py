@@ -223,3 +223,15 @@ def test_the_log_goes_on_from_its_checkpoint(spark, tmp_path):
     assert run() == expect
     append(1, ("a", 4, None), ("c", 5, "late"), ("d", 6, "y"), ("d", 6, "z"))  # the append made again
     assert spark.read.schema(schema).parquet(f"{log}/append-*").count() == 8
+
+
+def test_mirrors_shuffle_bare_fields_and_are_written_compressed(spark, tmp_path):
+    from spindrift.plans import nested_queries
+
+    m = nested_queries.order_mirrors(spark, "/root/testdata/sf0.001")
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan.split("Join")[0] and "sha2" not in plan.split("Join")[1]  # texts are made after the shuffle
+    nested.write_mirrors(m, str(tmp_path / "m"))
+    parts = [p.name for p in (tmp_path / "m").iterdir() if p.name.startswith("part-")]
+    assert parts and all(p.endswith(".json.gz") for p in parts)
+    assert nested.read_mirrors(spark, str(tmp_path / "m")).count() == m.count()
