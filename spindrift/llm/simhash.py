@@ -49,7 +49,11 @@ def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words_in_shingle: int) -> int:
     """SimHash of lower-cased (A-Z) word shingles, repeats included; 0 for no words."""
-    hashes = shingle_hashes(text, words_in_shingle)
+    return majority(shingle_hashes(text, words_in_shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
     n = len(hashes)
     if not n:
         return 0

@@ -1,8 +1,10 @@
 """One document of each group linked at a Jaccard similarity of 0.8 or more of word shingles.
 
-A 64-bit SimHash differs in about ten bits at that similarity, and a Hamming search that
-wide meets far more unlike documents than like ones as the corpus grows. So candidates
-meet on banded minima of the same shingle hashes: ``BANDS`` keys of ``ROWS`` minima each,
+Candidates first meet by their SimHashes: sets whose 64-bit fingerprints are linked by
+meet-in-the-middle ball hashing (three bits, as in ``simhash``) each meet the least set
+of their group. A SimHash differs in about ten bits at a similarity of 0.8, and a Hamming search that
+wide meets far more unlike documents than like ones as the corpus grows. So what lies beyond
+three bits meets on banded minima of the same shingle hashes: ``BANDS`` keys of ``ROWS`` minima each,
 of which two documents of similarity J share one with a chance of 1 - (1 - J**ROWS)**BANDS
 (0.9996 at 0.8). Every link is verified on the whole sets of shingles.
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch, documents, unused
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint_groups, majority, shingle_hashes
 from .tokens import sliced
 
 BANDS = 20
@@ -59,15 +61,15 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, words_in_shingle: int) -> DataFrame:
-    """doc_id, node, number of shingles and band keys of every document."""
+    """doc_id, node, number of shingles, SimHash of the set and band keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets = [shingle_set(t.encode(), words_in_shingle) for t in b.column("text").to_pylist()]
-            cols = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.record_batch([b.column("doc_id"), *cols], names=["doc_id", "node", "n", "bands"])
+            cols = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([majority(s) for s in sets], "<u8").view("<i8")), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.record_batch([b.column("doc_id"), *cols], names=["doc_id", "node", "n", "fp", "bands"])
 
-    return documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+    return documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, node long, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words_in_shingle: int) -> DataFrame:
@@ -92,7 +94,11 @@ def similar_groups(scratch: Scratch, docs: DataFrame, distinct: DataFrame, words
     filed = distinct.select("node", "n", F.explode("bands").alias("band"))
     hubs = filed.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
     shared = scratch.stage(filed.join(hubs, "band").select("band", "node", "n", "hub"), "shared")
-    wanted = distinct.join(shared.select("node").distinct(), "node").select("node", F.col("least").alias("doc_id"))
+    balls = fingerprint_groups(scratch, distinct.select("fp").distinct())
+    balls = scratch.stage(distinct.select("node", "n", "fp").join(balls, "fp").select("node", "n", "group"), "balls")
+    centres = balls.groupBy("group").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
+    close = scratch.stage(balls.join(centres, "group").select("node", "n", "hub"), "close")
+    wanted = distinct.join(shared.select("node").unionByName(close.select("node")).distinct(), "node").select("node", F.col("least").alias("doc_id"))
     sets = scratch.stage(_sets(docs, wanted, words_in_shingle), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -102,6 +108,7 @@ def similar_groups(scratch: Scratch, docs: DataFrame, distinct: DataFrame, words
         return scratch.stage(both.where("9 * size(array_intersect(hashes, hashes2)) >= 4 * (n + n2)").select("node", "node2"), "links")
 
     star = shared.where("node <> hub.node").groupBy("node", "n").agg(F.min("hub").alias("hub"))
+    star = star.unionByName(close.where("node <> hub.node"))
     first = verified(star.select("node", "n", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2")))
     joined = connected_components(scratch, first)
     placed = shared.select("band", "node", "n").join(joined, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("c"))
@@ -123,7 +130,7 @@ def keep_one_similar(docs: DataFrame, words_in_shingle: int = 5) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "similar")
     prints = scratch.stage(_prints(docs, words_in_shingle), "prints")
-    distinct = scratch.stage(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
+    distinct = scratch.stage(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
     groups = similar_groups(scratch, docs, distinct, words_in_shingle)
     grouped = scratch.stage(distinct.select("node", "least").join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group")), "groups")
     least = grouped.groupBy("group").agg(F.min("least").alias("kept"))

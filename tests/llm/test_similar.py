@@ -48,3 +48,17 @@ def test_rows_repeated_under_one_id(spark):
     docs = spark.createDataFrame([(2, t), (2, t), (1, "other"), (1, t + " x"), (3, t)], "doc_id int, text string")
     assert sorted(r.doc_id for r in similar.keep_one_similar(docs).collect()) == [1]
     assert similar.keep_one_similar(docs.where("false")).count() == 0
+
+
+def test_near_copies_meet_by_simhash(spark, monkeypatch):
+    """Without any band, sets three bits apart or less still meet; each link is verified."""
+    import numpy as np
+
+    from spindrift.llm import simhash
+
+    fp = lambda t: simhash.majority(similar.shingle_set(t.encode(), 5))
+    base = " ".join(f"w{k}" for k in range(300))
+    near = next(t for k in range(500) if 0 < (fp(base) ^ fp(t := f"{base} x{k}")).bit_count() <= 3)
+    monkeypatch.setattr(similar, "bands", lambda hashes: np.empty(0, "<i8"))
+    docs = spark.createDataFrame([(1, base), (2, near), (3, " ".join(f"v{k}" for k in range(300)))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.keep_one_similar(docs).collect()) == [1, 3]
