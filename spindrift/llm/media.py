@@ -79,7 +79,7 @@ def decode_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "media"):
-            images = [webp.decode(m) for m in b.column("media").to_pylist()]
+            images = list(webp.decode_many(b.column("media").to_pylist()))
             cols = [pa.array([p.shape[1] for p in images], pa.int32()), pa.array([p.shape[0] for p in images], pa.int32()), pa.array([to_payload(p) for p in images], pa.binary())]
             yield pa.record_batch([b.column("doc_id"), *cols], names=["doc_id", "width", "height", "pixels"])
 
@@ -104,8 +104,8 @@ def media_digest(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "media"):
             rows = []
-            for media in b.column("media").to_pylist():
-                pixels = webp.decode(media)
+            files = b.column("media").to_pylist()
+            for media, pixels in zip(files, webp.decode_many(files)):
                 payload = to_payload(pixels)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pixels)))
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

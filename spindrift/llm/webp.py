@@ -13,8 +13,9 @@ Pixels are uint8 arrays (height, width, 4) in the order red, green, blue, alpha.
 from __future__ import annotations
 
 import heapq
+import math
 import struct
-from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -37,8 +38,13 @@ DISTANCES = (
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
 BLOCK_PIXELS = 1 << 20
-SEGMENT_BYTES = 1 << 14  # of the stream whose bits are looked at together
+SEGMENT_BYTES = 1 << 14  # of the stream that is read at once
+STEP_BITS = 18  # that are looked up for the length of a whole token
+TOGETHER_BYTES, LEAST_TOGETHER = 1 << 21, 40  # of streams that are read together, and images for which that is worth it
+TOGETHER_PIXELS = 1 << 21
+WAITING_STEPS = 5  # that a token waits at most whose length is not looked up
 LEAST_MATCH, MOST_MATCH = 3, 4096  # pixels of a back-reference
+_DISTANCE_X, _DISTANCE_Y = np.array(DISTANCES).T.copy()
 
 
 def _up(n: int, bits: int) -> int:
@@ -92,6 +98,7 @@ class PrefixCode:
             raise ValueError("a prefix code is not complete")
         self.most = 0 if self.single is not None else int(lengths.max(initial=0))
         self._table: np.ndarray | None = None
+        self._entries: list[int] | None = None
 
     def symbols(self) -> np.ndarray:
         """Symbols by the value of their code's bits, first bit highest; only for codes of one length."""
@@ -108,6 +115,12 @@ class PrefixCode:
                 self._table = in_order[_REVERSED_16[: 1 << self.most] >> (16 - self.most)]
         return self._table
 
+    def entries(self) -> list[int]:
+        """``table`` as a list."""
+        if self._entries is None:
+            self._entries = self.table().tolist()
+        return self._entries
+
     def read(self, bits: BitReader) -> int:
         if self.single is not None:
             return self.single
@@ -125,16 +138,18 @@ _known: dict[int, list[tuple[int, int, PrefixCode]]] = {}
 def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     """The next code; a description that was read before is known by its bits."""
     known = _known.setdefault(alphabet, [])
-    for value, n, code in known:
+    for k, (value, n, code) in enumerate(known):
         if bits.at + n <= bits.end and bits.peek(n) == value:
             bits.at += n
+            if k > 5:
+                known.insert(0, known.pop(k))  # codes that come again stay
             return code
     first = bits.at
     code = _parse_code(bits, alphabet)
     n = bits.at - first
     bits.at = first
     known.insert(0, (bits.read(n), n, code))
-    del known[6:]
+    del known[12:]
     return code
 
 
@@ -238,135 +253,282 @@ def _values(prefix: np.ndarray, extra: np.ndarray, more: np.ndarray) -> np.ndarr
     return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + more) + 1
 
 
+#: By codes: the bytes that ``_steps`` makes of them, those of the last images last.
+_known_steps: dict[tuple, bytes] = {}
+
+
+def _steps(codes: list[PrefixCode], n: int) -> bytes:
+    """By the next bits of the stream: how many of them a literal or a cached colour takes; 0 for references and what is longer.
+
+    Codes that come again, as common ones do, get ``STEP_BITS``; others what an image of ``n`` pixels is worth.
+    """
+    key = tuple(codes[:4])
+    found = _known_steps.pop(key, None)
+    if found is None or len(found) < 1 << STEP_BITS:
+        most = STEP_BITS if found is not None else min(STEP_BITS, max(8, n.bit_length() + 1))
+        ahead = np.arange(1 << most, dtype=np.int32)
+        green, red, blue, alpha = (codes[k].table().astype(np.int32) for k in (GREEN, RED, BLUE, ALPHA))
+        code = green[ahead & (len(green) - 1)]
+        short = code & 15
+        size = short
+        for table in (red, blue, alpha):
+            size = size + (table[(ahead >> size) & (len(table) - 1)] & 15)
+        found = np.where(code >= 280 << 4, short, np.where((code < 256 << 4) & (size <= most), size, 0)).astype(np.uint8).tobytes()
+    _known_steps[key] = found
+    if len(_known_steps) > 8:
+        del _known_steps[next(iter(_known_steps))]
+    return found
+
+
+def _padded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a stream with zeros behind them, and the next four of each as a number."""
+    raw = np.zeros(len(data) + 36, np.uint8)  # a token takes 73 bits at most
+    raw[: len(data)] = np.frombuffer(data, np.uint8)
+    wide = raw.astype(np.uint32)
+    return raw, (wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24).astype(np.int64)
+
+
+def _starts(ahead: np.ndarray, p: int, end: int, codes: list[PrefixCode], n: int) -> list[int]:
+    """Where the tokens of one stream begin, from bit ``p`` to ``end``."""
+    green, red, blue, alpha, distance = (c.entries() for c in codes)
+    green_mask, red_mask, blue_mask, alpha_mask, distance_mask = ((1 << c.most) - 1 for c in codes)
+    steps, ahead, here = _steps(codes, n), ahead.tolist(), []
+    step_mask, put = len(steps) - 1, here.append
+    while p < end:
+        put(p)
+        four = ahead[p >> 3] >> (p & 7)  # 25 bits are the stream's
+        if size := steps[four & step_mask]:
+            p += size
+            continue
+        code = green[four & green_mask]
+        p += code & 15
+        if code < 256 << 4:
+            p += red[ahead[p >> 3] >> (p & 7) & red_mask] & 15
+            p += blue[ahead[p >> 3] >> (p & 7) & blue_mask] & 15
+            p += alpha[ahead[p >> 3] >> (p & 7) & alpha_mask] & 15
+        elif code < 280 << 4:
+            p += max(code - (258 << 4), 0) >> 5
+            code = distance[ahead[p >> 3] >> (p & 7) & distance_mask]
+            p += (code & 15) + (max(code - 32, 0) >> 5)
+    return [*here, p]
+
+
+def _starts_together(ahead: np.ndarray, p: np.ndarray, ends: np.ndarray, codes: list[PrefixCode]) -> np.ndarray:
+    """Where the tokens of streams of the same codes begin, from bits ``p`` to ``ends``; each stream goes on by a token in a step.
+
+    Tokens whose length ``_steps`` does not know wait for each other.
+    """
+    steps = np.frombuffer(_steps(codes, 1 << STEP_BITS), np.uint8)
+    (green, red, blue, alpha, distance), masks = (c.table() for c in codes), [(1 << c.most) - 1 for c in codes]
+    four = lambda q: ahead[q >> 3] >> (q & 7)
+    seen = []
+    while len(p) >= LEAST_TOGETHER:
+        for _ in range(WAITING_STEPS):
+            seen.append(p)
+            size = steps[four(p) & (len(steps) - 1)]
+            p = np.minimum(p + size, ends)
+        going = p < ends
+        if 4 * np.count_nonzero(going) < 3 * len(p):
+            p, ends = p[going], ends[going]
+        seen.append(p)
+        late = np.flatnonzero(steps[four(p) & (len(steps) - 1)] == 0)
+        q = p[late]
+        code = green[four(q) & masks[GREEN]]
+        q = q + (code & 15)
+        ref = np.flatnonzero((code >= 256 << 4) & (code < 280 << 4))
+        own = np.flatnonzero(code < 256 << 4)
+        r = q[own]
+        for table, k in ((red, RED), (blue, BLUE), (alpha, ALPHA)):
+            r = r + (table[four(r) & masks[k]] & 15)
+        q[own] = r
+        r = q[ref] + (np.maximum(code[ref] - (258 << 4), 0) >> 5)
+        code = distance[four(r) & masks[DISTANCE]]
+        q[ref] = r + (code & 15) + (np.maximum(code - 32, 0) >> 5)
+        p = p.copy()
+        p[late] = np.minimum(q, ends[late])
+    for q, end in zip(p.tolist(), ends.tolist()):
+        first = q >> 3
+        seen.append(np.array(_starts(ahead[first : (end >> 3) + 16], q & 7, end - 8 * first, codes, 1 << STEP_BITS)[:-1], np.int64) + 8 * first)
+    at = np.sort(np.concatenate(seen))
+    return at[np.diff(at, prepend=-1) > 0]
+
+
+def _tokens_at(raw: np.ndarray, at: np.ndarray, codes: list[PrefixCode]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(green symbols, colours of literals, places of references, their lengths and distance codes) of the tokens that begin at these bits."""
+    tables, masks = [c.table() for c in codes], [(1 << c.most) - 1 for c in codes]
+
+    def ahead_of(q: np.ndarray) -> np.ndarray:  # 57 bits are the stream's
+        return raw[(q >> 3)[:, None] + _EIGHT].view("<i8")[:, 0] >> (q & 7)
+
+    eight = ahead_of(at)
+    code = tables[GREEN][eight & masks[GREEN]]
+    s, size = code >> 4, code & 15
+    back = np.flatnonzero((s >= 256) & (s < 280))
+    prefix = s[back] - 256
+    extra = _extra_bits(prefix)
+    length = _values(prefix, extra, (eight[back] >> size[back]) & ((1 << extra) - 1))
+    q = at[back] + size[back] + extra
+    code = tables[DISTANCE][ahead_of(q) & masks[DISTANCE]]
+    prefix, q = code >> 4, q + (code & 15)
+    extra = _extra_bits(prefix)
+    far = _values(prefix, extra, ahead_of(q) & ((1 << extra) - 1))
+    colour = s << 8
+    for k, shift in ((RED, 16), (BLUE, 0)):
+        code = tables[k][(eight >> size) & masks[k]]
+        colour, size = colour | (code >> 4) << shift, size + (code & 15)
+    if masks[ALPHA]:
+        return s, colour | (tables[ALPHA][ahead_of(at + size) & masks[ALPHA]] >> 4) << 24, back, length, far
+    return s, colour | codes[ALPHA].single << 24, back, length, far
+
+
 def _read_tokens(bits: BitReader, codes: list[PrefixCode], cache_bits: int, width: int, n: int) -> np.ndarray:
     """``n`` pixels (argb) of one group of codes: literals, back-references and cached colours.
 
-    At every bit of a segment of the stream it is worked out which token would begin there and where the next one
-    would; following these from the first bit gives the tokens.
+    First it is found where each token of a segment of the stream begins; then all of it are read at once.
     """
-    green, red, blue, alpha, distance = (c.table() for c in codes)
-    masks = [(1 << c.most) - 1 for c in codes]
-    symbols, colours, lengths, distances, got, segment = [], [], [], [], 0, 8 * SEGMENT_BYTES
+    parts, got, tokens = [], 0, 0
     while got < n:
         first = bits.at >> 3
-        own = np.frombuffer(bits.data, np.uint8, min(SEGMENT_BYTES + 16, len(bits.data) - first), first)
-        raw = np.zeros(len(own) + 20, np.int64)  # a token takes 73 bits at most
-        raw[: len(own)] = own
-        four = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-        ahead = (four[:, None] >> np.arange(8)).reshape(-1)  # 25 bits of each are the stream's
-        end = min(segment, bits.end - 8 * first)
-        code = green[ahead[:end] & masks[GREEN]]
-        symbol, after = code >> 4, np.arange(end) + (code & 15)
-        then, colour = after, symbol << 8
-        for k, table, shift in ((RED, red, 16), (BLUE, blue, 0), (ALPHA, alpha, 24)):
-            if codes[k].single is None:
-                code = table[ahead[then] & masks[k]]
-                then = then + (code & 15)
-                colour = colour | (code >> 4) << shift
-            else:
-                colour = colour | codes[k].single << shift
-        back = np.flatnonzero(symbol >= 256)
-        if len(back):
-            then[back] = after[back]
-            back = back[symbol[back] < 280]
-            prefix, at = symbol[back] - 256, after[back]
-            extra = _extra_bits(prefix)
-            length = _values(prefix, extra, ahead[at] & ((1 << extra) - 1))
-            at = at + extra
-            code = distance[ahead[at] & masks[DISTANCE]]
-            prefix, at = code >> 4, at + (code & 15)
-            extra = _extra_bits(prefix)
-            far = _values(prefix, extra, ahead[at] & ((1 << extra) - 1))
-            then[back] = at + extra
-        p, follow, here = bits.at & 7, then.tolist(), []
-        while p < end:
-            here.append(p)
-            p = follow[p]
-        bits.at = 8 * first + p
+        raw, ahead = _padded(bits.data[first : first + SEGMENT_BYTES + 16])
+        *here, after = _starts(ahead, bits.at & 7, min(8 * SEGMENT_BYTES, bits.end - 8 * first), codes, n)
         if not here:
             raise ValueError("the bit stream ends early")
-        at = np.array(here)
-        s = symbol[at]
-        ref = (s >= 256) & (s < 280)
-        which = np.searchsorted(back, at[ref]) if len(back) else at[:0]
-        size = np.ones(len(at), np.int64)
-        size[ref] = length[which] if len(which) else 0
-        reach = np.cumsum(size)
-        left = n - got
-        if reach[-1] >= left:  # what follows are the bits that fill the last byte
-            last = int(np.searchsorted(reach, left))
-            if reach[last] > left:
+        s, colour, back, length, far = _tokens_at(raw, np.array(here), codes)
+        reach = np.ones(len(s), np.int64)
+        reach[back] = length
+        reach = np.cumsum(reach)
+        if got + reach[-1] >= n:  # what follows are the bits that fill the last byte
+            last = int(np.searchsorted(reach, n - got))
+            if got + reach[last] > n:
                 raise ValueError("a back-reference leaves the image")
-            at, s, which = at[: last + 1], s[: last + 1], which[: int(ref[: last + 1].sum())]
-            bits.at = 8 * first + follow[int(at[-1])]
-            got = n
-        else:
-            got += int(reach[-1])
-        symbols.append(s)
-        colours.append(colour[at])
-        if len(which):
-            lengths.append(length[which])
-            distances.append(far[which])
+            after = [*here, after][last + 1]
+            some = int(np.searchsorted(back, last + 1))
+            s, colour, back, length, far, reach = s[: last + 1], colour[: last + 1], back[:some], length[:some], far[:some], reach[: last + 1]
+        got += int(reach[-1])
+        parts.append((s, colour, back + tokens, length, far))
+        tokens += len(s)
+        bits.at = 8 * first + after
         if bits.at > bits.end:
             raise ValueError("the bit stream ends early")
-    s, colour = np.concatenate(symbols), np.concatenate(colours)
-    if lengths:
-        return _resolved(s, colour, np.concatenate(lengths), np.concatenate(distances), cache_bits, width)
-    if not cache_bits or s.max() < 256:
+    s, colour, back, length, far = (np.concatenate(x) for x in zip(*parts))
+    return _resolved(s, colour, back, length, far, cache_bits, np.array([0]), np.array([width]))
+
+
+def _read_together(streams: list[BitReader], codes: list[PrefixCode], cache_bits: int, width: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """``_read_tokens`` of images of the same codes, with their widths and numbers of pixels."""
+    sizes = np.array([len(bits.data) + 1 for bits in streams])  # a byte between them, as a stream may end at the next one's first bit
+    starts = 8 * (np.cumsum(sizes) - sizes)
+    p, ends = starts + [bits.at for bits in streams], starts + [bits.end for bits in streams]
+    raw, ahead = _padded(b"\0".join(bits.data for bits in streams) + b"\0")
+    at = _starts_together(ahead, p, ends, codes)
+    image = np.searchsorted(starts, at, side="right") - 1
+    at, image = at[at < ends[image]], image[at < ends[image]]
+    s, colour, back, length, far = _tokens_at(raw, at, codes)
+    size = np.ones(len(at), np.int64)
+    size[back] = length
+    first = np.searchsorted(image, np.arange(len(streams)))
+    reach = np.concatenate([[0], np.cumsum(size)])
+    before = reach[:-1] - reach[first][image]  # pixels of the image before the token
+    used = before < n[image]
+    if (before + size > n[image])[back[used[back]]].any():
+        raise ValueError("a back-reference leaves the image")
+    if (np.bincount(image[used], size[used], len(streams)) < n).any():
+        raise ValueError("the bit stream ends early")
+    last = np.cumsum(np.bincount(image[used], minlength=len(streams))) - 1
+    kept = used[back]
+    at, s, colour, place = at[used], s[used], colour[used], np.cumsum(used) - 1
+    if (_ends(ahead, at[last], codes) > ends).any():
+        raise ValueError("the bit stream ends early")
+    argb = _resolved(s, colour, place[back[kept]], length[kept], far[kept], cache_bits, np.cumsum(n) - n, width)
+    return np.split(argb, np.cumsum(n)[:-1])
+
+
+def _ends(ahead: np.ndarray, at: np.ndarray, codes: list[PrefixCode]) -> np.ndarray:
+    """Where the tokens at these bits end."""
+    tables, masks = [c.table() for c in codes], [(1 << c.most) - 1 for c in codes]
+    four = lambda q: ahead[q >> 3] >> (q & 7)
+    code = tables[GREEN][four(at) & masks[GREEN]]
+    q = at + (code & 15)
+    literal = q
+    for k in (RED, BLUE, ALPHA):
+        literal = literal + (tables[k][four(literal) & masks[k]] & 15)
+    back = q + (np.maximum(code - (258 << 4), 0) >> 5)
+    far = tables[DISTANCE][four(back) & masks[DISTANCE]]
+    back = back + (far & 15) + (np.maximum(far - 32, 0) >> 5)
+    return np.where(code < 256 << 4, literal, np.where(code < 280 << 4, back, q))
+
+
+_EIGHT = np.arange(8)
+
+
+def _roots(above: np.ndarray) -> np.ndarray:
+    """Where the way from each place ends, if every place names itself or one before it."""
+    while True:
+        further = above[above]
+        if (further == above).all():
+            return above
+        above = further
+
+
+def _resolved(s: np.ndarray, colour: np.ndarray, back: np.ndarray, lengths: np.ndarray, distances: np.ndarray, cache_bits: int, firsts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The pixels of the tokens of images that begin at the pixels ``firsts``.
+
+    Every pixel but a literal names one before it that is the same, and so on to a literal.
+    """
+    above = None
+    if len(back):
+        size = np.ones(len(s), np.int64)
+        size[back] = lengths
+        starts = (np.cumsum(size) - size)[back]
+        image = np.searchsorted(firsts, starts, side="right") - 1
+        short = np.minimum(distances, 120) - 1
+        far = np.where(distances > 120, distances - 120, np.maximum(1, _DISTANCE_X[short] + _DISTANCE_Y[short] * widths[image]))
+        if (far > starts - firsts[image]).any():
+            raise ValueError("a back-reference leaves the image")
+        token = np.repeat(np.arange(len(s)), size)
+        above = np.arange(len(token))
+        ends = np.cumsum(lengths)
+        above[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])] -= np.repeat(far, lengths)
+        above = _roots(above)
+        token = token[above]
+        s, colour = s[token], colour[token]
+    hit = s >= 280
+    if not hit.any():
         return colour.astype("<u4")
-    # A hit leaves the cache as it is, so a slot holds the last literal that fell there.
-    slot = np.where(s < 256, _slots(colour, cache_bits), s - 280)
+    # A hit leaves the cache as it is: it is the same as the pixel before it in its slot; the first of a slot is zero.
+    own = np.arange(len(s))
+    slot = np.where(hit, s - 280, _slots(colour, cache_bits))
+    if len(firsts) > 1:
+        slot += np.repeat(np.arange(len(firsts)) << cache_bits, np.diff(firsts, append=len(s)))
     order = np.argsort(slot, kind="stable")
-    literal = s[order] < 256
-    last = np.maximum.accumulate(np.where(literal, np.arange(len(order)), -1))
-    found = (last >= 0) & (slot[order[last]] == slot[order])
-    out = np.empty(len(s), "<u4")
-    out[order] = np.where(found, colour[order[last]], 0)
-    return out
+    ordered = slot[order]
+    before = np.full(len(s), -1)
+    before[order[1:]] = np.where(ordered[1:] == ordered[:-1], order[:-1], -1)
+    fresh = hit if above is None else hit & (above == own)  # not copied
+    empty = fresh & (before < 0)
+    return np.where(empty, 0, colour)[_roots(np.where(fresh & ~empty, before, own if above is None else above))].astype("<u4")
 
 
 def _slots(argb: np.ndarray, cache_bits: int) -> np.ndarray:
     return ((argb.astype(np.uint32) * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.int64)
 
 
-def _resolved(s: np.ndarray, colour: np.ndarray, lengths: np.ndarray, distances: np.ndarray, cache_bits: int, width: int) -> np.ndarray:
-    """The pixels of tokens with back-references, one after the other; literals between two of them go together."""
-    if cache_bits:
-        slots, cache = _slots(colour, cache_bits).tolist(), [0] * (1 << cache_bits)
-    out = array("I")
-    references = np.flatnonzero((s >= 256) & (s < 280)).tolist()
-    colours, hits = colour.astype("<u4"), s >= 280
-    listed, at = (colours.tolist(), 0) if cache_bits else (None, 0)
-    symbols = s.tolist() if cache_bits else None
-    for k, length, d in zip([*references, len(s)], [*lengths.tolist(), 0], [*distances.tolist(), 0]):
-        if not cache_bits:
-            out.frombytes(colours[at:k].tobytes())
-        else:
-            for t in range(at, k):
-                if symbols[t] < 256:
-                    q = cache[slots[t]] = listed[t]
-                else:
-                    q = cache[symbols[t] - 280]
-                out.append(q)
-        at = k + 1
-        if not length:
-            break
-        d = d - 120 if d > 120 else max(1, DISTANCES[d - 1][0] + DISTANCES[d - 1][1] * width)
-        if d > len(out):
-            raise ValueError("a back-reference leaves the image")
-        some = out[len(out) - d : len(out) - d + length]
-        some = (some * (-(-length // len(some))))[:length]
-        out.extend(some)
-        if cache_bits:
-            for q in some[-(2 << cache_bits) :] if length <= d else some[: min(length, d)]:
-                cache[(CACHE_MULTIPLIER * q & 0xFFFFFFFF) >> (32 - cache_bits)] = q
-            if length > d:
-                for q in some[-d:]:
-                    cache[(CACHE_MULTIPLIER * q & 0xFFFFFFFF) >> (32 - cache_bits)] = q
-    return np.frombuffer(out, "<u4")
+@dataclass
+class _Head:
+    """What stands before the pixels of an image."""
+
+    cache_bits: int
+    group_of: np.ndarray | None
+    group_bits: int
+    groups: list[list[PrefixCode]]
+    tokens: bool  # one group of codes that ``_read_tokens`` takes
 
 
 def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
+    return _read_pixels(bits, _read_head(bits, width, height, main), width, height)
+
+
+def _read_head(bits: BitReader, width: int, height: int, main: bool) -> _Head:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -378,12 +540,24 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
         n_groups = int(group_of.max()) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[_read_code(bits, s) for s in sizes] for _ in range(n_groups)]
+    one = groups[0]
+    tokens = main and group_of is None and (one[GREEN].single is None or (one[GREEN].single < 256 and any(one[k].single is None for k in (RED, BLUE, ALPHA))))
+    return _Head(cache_bits, group_of, group_bits, groups, tokens and not _in_block(groups, cache_bits))
+
+
+def _in_block(groups: list[list[PrefixCode]], cache_bits: int) -> bool:
+    one = groups[0]
+    return len(groups) == 1 and not cache_bits and all(one[k].fixed is not None and one[k].fixed <= 8 for k in (GREEN, RED, BLUE, ALPHA)) and bool(one[GREEN].symbols().max() < 256)
+
+
+def _read_pixels(bits: BitReader, head: _Head, width: int, height: int) -> np.ndarray:
+    cache_bits, group_of, group_bits, groups = head.cache_bits, head.group_of, head.group_bits, head.groups
     n = width * height
     one = groups[0]
-    if n_groups == 1 and not cache_bits and all(one[k].fixed is not None and one[k].fixed <= 8 for k in (GREEN, RED, BLUE, ALPHA)) and one[GREEN].symbols().max() < 256:
+    if _in_block(groups, cache_bits):
         return _read_block(bits, one, n).reshape(height, width, 4)
 
-    if main and group_of is None and (one[GREEN].single is None or (one[GREEN].single < 256 and any(one[k].single is None for k in (RED, BLUE, ALPHA)))):
+    if head.tokens:
         return _read_tokens(bits, one, cache_bits, width, n).view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
 
     pixels: list[int] = []  # argb
@@ -529,8 +703,8 @@ def _undo_palette(p: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
     return colours[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width, 4) of a lossless WebP file."""
+def _opened(data: bytes) -> tuple[BitReader, int, int, list[tuple], _Head]:
+    """(stream at the pixels, width and height as coded, what undoes the transforms, head of the pixels) of a lossless WebP file."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not a lossless WebP file")
     bits = BitReader(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
@@ -552,12 +726,57 @@ def decode(data: bytes) -> np.ndarray:
             table = np.cumsum(_read_image(bits, n, 1, False)[0], axis=0, dtype=np.uint8)
             undo.append((_undo_palette, (table, coded_width)))
             coded_width = _up(coded_width, _palette_bits(n))
-    pixels = _read_image(bits, coded_width, height, True)
+    return bits, coded_width, height, undo, _read_head(bits, coded_width, height, True)
+
+
+def _undone(pixels: np.ndarray, undo: list[tuple]) -> np.ndarray:
     for f, args in reversed(undo):
         pixels = f(pixels, *args)
     return pixels
 
 
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (height, width, 4) of a lossless WebP file."""
+    bits, width, height, undo, head = _opened(data)
+    return _undone(_read_pixels(bits, head, width, height), undo)
+
+
+def decode_many(files: list[bytes]) -> Iterator[np.ndarray]:
+    """``decode`` of every file; images of the same codes are read together, of ``TOGETHER_PIXELS`` in all (a file at least)."""
+    some, pixels = [], 0
+    for data in files:
+        size = int.from_bytes(data[21:25], "little")
+        n = ((size & 16383) + 1) * ((size >> 14 & 16383) + 1)
+        if some and pixels + n > TOGETHER_PIXELS:
+            yield from _decoded(some)
+            some, pixels = [], 0
+        some.append(data)
+        pixels += n
+    yield from _decoded(some)
+
+
+def _decoded(files: list[bytes]) -> list[np.ndarray]:
+    opened = [_opened(data) for data in files]
+    alike: dict[tuple, tuple[list[list[int]], list[int]]] = {}
+    for k, (bits, width, height, _, head) in enumerate(opened):
+        if head.tokens and len(bits.data) <= SEGMENT_BYTES:
+            groups, size = alike.setdefault((*head.groups[0], head.cache_bits), ([[]], [0]))
+            if size[0] > TOGETHER_BYTES:
+                groups.append([])
+                size[0] = 0
+            groups[-1].append(k)
+            size[0] += len(bits.data)
+    out: list[np.ndarray | None] = [None] * len(files)
+    for some in (g for groups, _ in alike.values() for g in groups if len(g) >= LEAST_TOGETHER):
+        head = opened[some[0]][4]
+        width, height = (np.array([opened[k][x] for k in some]) for x in (1, 2))
+        found = _read_together([opened[k][0] for k in some], head.groups[0], head.cache_bits, width, width * height)
+        for k, argb in zip(some, found):
+            _, w, h, undo, _ = opened[k]
+            out[k] = _undone(argb.view(np.uint8).reshape(h, w, 4)[..., [2, 1, 0, 3]], undo)
+    return [p if p is not None else _undone(_read_pixels(bits, head, width, height), undo) for p, (bits, width, height, undo, head) in zip(out, opened)]
+
+
 # ---- writing ----
 
 
@@ -566,9 +785,9 @@ def _as_bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     parts = []
     for k in range(0, len(values), 1 << 16):  # bounded memory for very long texts
         v, n = values[k : k + (1 << 16)], sizes[k : k + (1 << 16)]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-        parts.append(((np.repeat(v, n) >> at) & 1).astype(np.uint8))
+        rest = np.repeat(v, n)
+        rest >>= np.arange(len(rest)) - np.repeat(np.cumsum(n) - n, n)
+        parts.append(rest.astype(np.uint8) & np.uint8(1))
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -716,23 +935,28 @@ def _matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
     wide = argb.astype(np.uint64)
     key = wide[:-2] | wide[1:-1] << np.uint64(32)
     key = (key ^ key >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93) + wide[2:] * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    same = np.flatnonzero(ordered[1:] == ordered[:-1])
-    places = order[same + 1]
-    before = order[same]
-    turn = np.argsort(places)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    ordered = np.sort(key & ~low | np.arange(len(key), dtype=np.uint64))  # by key, then by place
+    order = (ordered & low).astype(np.int64)
+    same = np.flatnonzero(ordered[1:] ^ ordered[:-1] <= low)
+    before = np.full(len(key), -1)
+    before[order[same + 1]] = order[same]
+    places = np.flatnonzero(before >= 0)
     out, at = [], 0
-    for k, start in zip(places[turn].tolist(), before[turn].tolist()):
+    raw = argb.tobytes()
+    for k, start in zip(places.tolist(), before[places].tolist()):
         if k < at:
             continue
-        length, most = 0, min(MOST_MATCH, n - k)
-        for size in (16, most):
-            other = argb[k : k + min(size, most)] != argb[start : start + min(size, most)]
+        most = min(MOST_MATCH, n - k)
+        length = min(16, most)
+        a, b = raw[4 * k : 4 * (k + length)], raw[4 * start : 4 * (start + length)]
+        if a != b:
+            other = int.from_bytes(a, "little") ^ int.from_bytes(b, "little")
+            length = ((other & -other).bit_length() - 1) >> 5
+        elif most > 16:
+            other = argb[k : k + most] != argb[start : start + most]
             length = int(other.argmax())
-            if other[length]:
-                break
-            length = len(other)
+            length = length if other[length] else most
         if length >= LEAST_MATCH:
             out.append((k, length, k - start))
             at = k + length
@@ -742,7 +966,7 @@ def _matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
 def _cached(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The slot of each pixel, and whether its colour is there: the last pixel of the slot was the same."""
     slot = _slots(argb, cache_bits)
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
     in_order, hit = argb[order], np.zeros(len(argb), bool)
     hit[order[1:]] = in_order[1:] == in_order[:-1]  # equal colours have one slot
     return slot, hit
@@ -769,50 +993,71 @@ def _common_code(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out.bits(), values, sizes
 
 
-def _symbols(argb: np.ndarray, matches: list[tuple[int, int, int]], cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, green symbols) of the pixels outside of ``matches``."""
-    green = (argb >> np.uint32(8) & np.uint32(255)).astype(np.int64)
-    if cache_bits:
-        slot, hit = _cached(argb, cache_bits)
-        green[hit] = 280 + slot[hit]
+def _outside(n: int, matches: list[tuple[int, int, int]]) -> np.ndarray | slice:
+    """Places of the ``n`` pixels outside of ``matches``."""
     if not matches:
-        return np.arange(len(argb)), green
-    edge = np.zeros(len(argb) + 1, np.int64)
+        return np.arange(n)
+    edge = np.zeros(n + 1, np.int64)
     first, length, _ = np.array(matches).T
     edge[first] += 1
     edge[first + length] -= 1
-    places = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-    return places, green[places]
+    return np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+
+
+def _symbols(argb: np.ndarray, places: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Green symbols of the pixels at ``places``, those outside of references."""
+    green = (argb >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    if cache_bits:
+        slot, hit = _cached(argb, cache_bits)
+        green[hit] = 280 + slot[hit]
+    return green[places]
 
 
 def _information(counts: np.ndarray) -> float:
     """Bits that symbols of these counts take, and about those of their code."""
+    used = int(np.count_nonzero(counts))
+    if used <= 1:
+        return 0.0
+    n = int(np.add.reduce(counts))
+    if n < len(_N_LOG_N):
+        return float(_N_LOG_N[n] - np.add.reduce(_N_LOG_N[counts])) + 5 * used
     c = counts[counts > 0].astype(np.float64)
-    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) + 5 * len(c) if len(c) > 1 else 0.0
+    return n * math.log2(n) - float((c * np.log2(c)).sum()) + 5 * used
+
 
+_N_LOG_N = np.arange(1 << 14) * np.log2(np.maximum(1, np.arange(1 << 14)))
 
-def _costs(argb: np.ndarray, matches: list[tuple[int, int, int]], cache_bits: int) -> tuple[float, float]:
+
+def _prefixes(matches: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of the lengths and distances of ``matches``: prefix, extra value, extra bits; short codes of distances left out."""
+    return (np.array([_value_prefix(m[1]) for m in matches]), np.array([_value_prefix(m[2] + 120) for m in matches])) if matches else None
+
+
+def _costs(argb: np.ndarray, places: np.ndarray, symbols: np.ndarray, prefixes: tuple[np.ndarray, np.ndarray] | None, cache_bits: int) -> tuple[float, float]:
     """About the bits of an image with these features: with codes of its own, and (if there is one alpha) with common codes."""
-    places, symbols = _symbols(argb, matches, cache_bits)
     literal = argb[places[symbols < 256]].astype(np.int64)
     green = np.bincount(symbols, minlength=280 + (1 << cache_bits if cache_bits else 0))
-    bits, own_codes = 0.0, 0.0
-    if matches:
-        lengths, far = (np.array([_value_prefix(m[k] + more) for m in matches]) for k, more in ((1, 0), (2, 120)))
+    bits, own_codes, bits_common = 0.0, 0.0, 0.0
+    if prefixes:
+        lengths, far = prefixes
         green[256:280] += np.bincount(lengths[:, 0], minlength=24)
         bits = float(lengths[:, 2].sum() + far[:, 2].sum())
         own_codes = _information(np.bincount(far[:, 0]))
-        bits_common = bits + 5.2 * len(matches)
-    else:
-        bits_common = 0.0
+        bits_common = bits + 5.2 * len(lengths)
     channels = np.bincount(np.concatenate([literal & 255, (literal >> 16 & 255) + 256]), minlength=512)
     own_codes += _information(green) + _information(channels[:256]) + _information(channels[256:])
     size = _common_code(256)[2]
-    bits_common += float(green @ _common_code(len(green))[2]) + float(channels[:256] @ size + channels[256:] @ size)
+    bits_common += float((green * _common_code(len(green))[2]).sum() + (channels.reshape(2, 256) * size).sum())
     alpha = literal >> 24
     if len(alpha) and (alpha != alpha[0]).any():
         return bits + own_codes + _information(np.bincount(alpha)), np.inf
-    return bits + own_codes, bits_common + sum(len(_common_code(k)[0]) for k in (len(green), 256, 256, 40))
+    return bits + own_codes, bits_common + _common_bits(len(green))
+
+
+@lru_cache(maxsize=16)
+def _common_bits(size: int) -> int:
+    """Bits that describe the common codes of an image with a green alphabet of that size."""
+    return sum(len(_common_code(k)[0]) for k in (size, 256, 256, 40))
 
 
 def _argb(p: np.ndarray) -> np.ndarray:
@@ -848,8 +1093,8 @@ def _put_image(out: BitWriter, p: np.ndarray, o: Options, main: bool, matches: l
         return
     argb = _argb(p)
     matches = [] if not o.references else _matches(argb) if matches is None else matches
-    places, symbols = _symbols(argb, matches, cache_bits)
-    rest = flat[places].astype(np.int64)
+    places = _outside(n, matches)
+    symbols = _symbols(argb, places, cache_bits)
     literal = symbols < 256
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     near = _near(width)
@@ -861,10 +1106,40 @@ def _put_image(out: BitWriter, p: np.ndarray, o: Options, main: bool, matches: l
         every, back = np.concatenate([places, at]), np.concatenate([symbols, 256 + length_code[:, 0]])
     else:
         every, back = places, symbols
-    group = which[(every // width) >> 2, (every % width) >> 2, 1].astype(np.int64) if grouped else np.zeros(len(every), np.int64)
+    if not grouped:
+        pixels, group = argb[places[literal]].astype(np.int64), None
+        counts = lambda: [np.bincount(back, minlength=sizes[GREEN]), *(np.bincount(pixels >> k & 255, minlength=256) for k in (16, 0, 24)), np.bincount(far_code[:, 0], minlength=40) if matches else np.zeros(40, np.int64)]
+        if o.common:
+            for k in (GREEN, RED, BLUE):
+                out.put_bits(_common_code(sizes[k])[0])
+            out.put_bits(_plain_code(0, 256, int(flat[0, 3])))
+            out.put_bits(_common_code(40)[0])
+            one = [_common_code(sizes[k])[1:] for k in (GREEN, RED, BLUE)] + [None, _common_code(40)[1:]]
+        else:
+            one = [_put_code(out, code_lengths(x, 15) if x.any() else x) for x in counts()]
+        # All bits of a token are one number: 62 at most.
+        value, bits = one[GREEN][0][back], one[GREEN][1][back]
+        own = np.flatnonzero(literal)
+        own_value, own_bits = value[own], bits[own]
+        for k, shift in ((RED, 16), (BLUE, 0), (ALPHA, 24))[: 2 if o.common else 3]:  # a lone alpha takes no bits
+            c = pixels >> shift & 255
+            own_value |= one[k][0][c] << own_bits
+            own_bits += one[k][1][c]
+        value[own], bits[own] = own_value, own_bits
+        if matches:
+            m = len(places)
+            for more, size in (length_code[:, 1:].T, (one[DISTANCE][0][far_code[:, 0]], one[DISTANCE][1][far_code[:, 0]]), far_code[:, 1:].T):
+                value[m:] |= more << bits[m:]
+                bits[m:] += size
+            order = np.argsort(every)
+            value, bits = value[order], bits[order]
+        out.put_bits(_as_bits(value, bits))
+        return
+    rest = flat[places].astype(np.int64)
+    group = which[(every // width) >> 2, (every % width) >> 2, 1].astype(np.int64)
     m = len(places)
     codes = []
-    for g in range(2 if grouped else 1):
+    for g in range(2):
         if o.common:
             known = [_common_code(x) for x in (sizes[GREEN], 256, 256)]
             for k in known:
@@ -970,16 +1245,17 @@ def _chosen(pixels: np.ndarray) -> tuple[Options, np.ndarray, list[tuple], list[
             if cost < least:
                 chosen, least = (o, q, described), cost
     forms = [plain] if chosen is plain else [plain, chosen]
-    if len(set(argb[:1024].tolist())) <= 256 and 2 * (colours := len(np.unique(argb))) <= min(n, 512):
+    if len(set(argb[:320].tolist())) <= 256 and len(set(argb[:1024].tolist())) <= 256 and 2 * (colours := len(np.unique(argb))) <= min(n, 512):
         o = Options(transforms=(PALETTE,))
         forms.append((o, *_transformed(pixels, o)))
     out, lowest = None, np.inf
     for o, q, described in forms:
-        own = _argb(q)
+        own = argb if q is pixels else _argb(q)
         matches = _matches(own)
+        places, prefixes = _outside(len(own), matches), _prefixes(matches)
         extra = 24 * colours if o.transforms == (PALETTE,) else 0
         for cache_bits in (0, CACHE_BITS):
-            by_own, by_common = _costs(own, matches, cache_bits)
+            by_own, by_common = _costs(own, places, _symbols(own, places, cache_bits), prefixes, cache_bits)
             for cost, entropy in ((by_common, False), (by_own + SAVED_BITS, True)):
                 if cost + extra < lowest:
                     lowest = cost + extra

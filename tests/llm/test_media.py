@@ -80,6 +80,27 @@ def test_references_and_cache_over_many_segments(monkeypatch, cache_bits):
         webp.decode(data[:16] + (len(data) // 2).to_bytes(4, "little") + data[20 : 20 + len(data) // 2])
 
 
+def test_images_read_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = np.array([f"{w} " for w in ("Some words come again & others ONLY once in a while; ~{here}~ there\n now then é".split())])
+    texts = ["".join(rng.choice(words, int(n))).encode() for n in rng.integers(1, 900, 160)] + [b"", b"y" * 9000, bytes(rng.integers(0, 256, 5000, np.uint8)), bytes(192)]
+    pixels = [media.to_pixels(t + b" " * (-len(t) % 192 if t else 192)) for t in texts]
+    files = [webp.encode_small(p) for p in pixels]
+    files += [webp.encode(p, webp.Options(common=True, cache_bits=c, references=r)) for p in pixels[:60] for c, r in ((0, False), (3, True))]
+    pixels += [p for p in pixels[:60] for _ in range(2)]
+    together = []
+    monkeypatch.setattr(webp, "_read_together", lambda *a, f=webp._read_together: together.append(len(a[0])) or f(*a))
+    got = list(webp.decode_many(files))
+    assert len(got) == len(files) and all((a == b).all() for a, b in zip(got, pixels)) and sum(together) > 200
+    monkeypatch.setattr(webp, "TOGETHER_PIXELS", 5000)
+    assert all((a == b).all() for a, b in zip(webp.decode_many(files), pixels))
+    monkeypatch.undo()
+    k = next(k for k, f in enumerate(files) if len(f) > 500)
+    files[k] = files[k][:16] + (300).to_bytes(4, "little") + files[k][20:320]
+    with pytest.raises(ValueError):
+        list(webp.decode_many(files))
+
+
 @pytest.mark.parametrize("broken", [b"", b"RIFF", b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0"])
 def test_webp_that_is_none(broken):
     with pytest.raises((ValueError, IndexError)):
