@@ -121,27 +121,52 @@ def _filed(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*slots)).alias("slot"))
 
 
+def _edits_by_words(a: str, b: str) -> str:
+    """Edits that make the words ``a`` into ``b``, and so no less than the edit distance of the lines.
+
+    Words are taken one after the other; where they differ, one of them is left out if that brings equal words together, else one takes the other's place.
+    """
+    b_word, b_next = f"get({b}, s.j)", f"get({b}, s.j + 1)"
+    cases = [
+        (f"x.w <=> {b_word}", "s.j + 1", "s.n"),
+        (f"x.w <=> {b_next}", "s.j + 2", f"s.n + char_length({b_word}) + 1"),
+        (f"x.after = {b_word} OR s.j >= size({b})", "s.j", "s.n + char_length(x.w) + 1"),
+        ("true", "s.j + 1", f"s.n + greatest(char_length(x.w), char_length({b_word}))"),
+    ]
+    step = " ".join(f"WHEN {when} THEN named_struct('j', {j}, 'n', {n})" for when, j, n in cases)
+    rest = f"aggregate(slice({b}, s.j + 1, size({b})), 0, (n, w) -> n + char_length(w) + 1)"
+    words = f"zip_with({a}, slice({a}, 2, size({a})), (w, after) -> named_struct('w', w, 'after', after))"
+    return f"aggregate({words}, named_struct('j', 0, 'n', 0), (s, x) -> CASE {step} END, s -> s.n + {rest})"
+
+
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose ``norm`` and ``norm2`` have that edit similarity.
 
     Words that both begin or end with do not change the distance and are left out,
-    one word at least being kept of each; smaller bounds are tried before the full one,
-    as the cost of a distance grows with its bound.
+    one word at least being kept of each. Most pairs need no distance, as what is left
+    is short or few of its words differ; for others smaller bounds are tried before the
+    full one, as the cost of a distance grows with its bound.
     """
     most = F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(F.char_length("norm"), F.char_length("norm2"))).cast("int")
-    p = pairs.withColumns({"_most": most, "_a": F.split("norm", " "), "_b": F.split("norm2", " ")})
-    p = p.withColumn("_m", F.least(F.size("_a"), F.size("_b")) - 1)
+
+    def known(df: DataFrame, **columns: Column) -> DataFrame:
+        """``df`` with columns that are worked out once a row: a filter above does not work them out again wherever it names them."""
+        return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
     def common(a: Column, b: Column, limit: Column) -> Column:
         first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
         return F.least(F.when(first == 0, limit).otherwise(first - 1), limit)
 
-    p = p.withColumn("_p", common(F.col("_a"), F.col("_b"), F.col("_m")))
-    p = p.withColumn("_s", common(F.reverse("_a"), F.reverse("_b"), F.col("_m") - F.col("_p")))
-    inner = lambda w: F.array_join(F.slice(w, F.col("_p") + 1, F.size(w) - F.col("_p") - F.col("_s")), " ")
-    p = p.withColumns({"_a": inner("_a"), "_b": inner("_b"), })
-    steps = " ".join(f"WHEN levenshtein(_a, _b, least(_most, {k})) >= 0 THEN true WHEN _most <= {k} THEN false" for k in (16, 64, 256, 1024))
-    return p.where(f"abs(char_length(norm) - char_length(norm2)) <= _most AND CASE {steps} ELSE levenshtein(_a, _b, _most) >= 0 END")
+    inner = lambda w: F.slice(w, F.col("_p") + 1, F.size(w) - F.col("_p") - F.col("_s"))
+    p = known(pairs, _most=most).where("abs(char_length(norm) - char_length(norm2)) <= _most")
+    p = known(p, _w=F.split("norm", " "), _w2=F.split("norm2", " "))
+    p = known(p, _p=common(F.col("_w"), F.col("_w2"), F.least(F.size("_w"), F.size("_w2")) - 1))
+    p = known(p, _s=common(F.reverse("_w"), F.reverse("_w2"), F.least(F.size("_w"), F.size("_w2")) - 1 - F.col("_p")))
+    p = known(p, _a=inner(F.col("_w")), _b=inner(F.col("_w2")))
+    p = known(p, _left=F.array_join("_a", " "), _left2=F.array_join("_b", " "))
+    few = f"greatest(char_length(_left), char_length(_left2)) <= _most OR {_edits_by_words('_a', '_b')} <= _most"
+    steps = " ".join(f"WHEN levenshtein(_left, _left2, least(_most, {k})) >= 0 THEN true WHEN _most <= {k} THEN false" for k in (16, 64, 256, 1024))
+    return p.where(f"CASE WHEN {few} THEN true {steps} ELSE levenshtein(_left, _left2, _most) >= 0 END")
 
 
 def _first_meeting() -> Column:

@@ -265,3 +265,39 @@ def test_repeats_in_rows_repeated_under_one_id(spark):
 
 def test_repeat_intervals_by_stack_scan():
     assert sorted(repeats.intervals(np.array([3, 5, 5, 1]))) == [(1, 0, 4), (3, 0, 3), (5, 1, 3)]
+
+
+def test_edits_by_words_are_no_fewer_than_the_distance(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(300):
+        a = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 30))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 6)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(0, 2)] = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))] * rng.randrange(0, 2)
+            b = b or ["a"]
+        rows.append((a, b))
+    rows += [(["a"], ["b"]), (["a"], ["a", "b"]), (["a", "b"], ["b"]), (["é", "x"], ["x", "é"])]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").selectExpr("a = b AS same", "levenshtein(array_join(a, ' '), array_join(b, ' ')) AS least", f"{lines._edits_by_words('a', 'b')} AS n").collect()
+    assert all(r.least <= r.n and (r.n == 0) == r.same for r in got)
+    assert sum(r.n <= r.least + 3 for r in got) > len(got) / 2  # near enough to be of use
+
+
+def test_alike_is_the_edit_similarity(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(30)]
+    pairs = []
+    for _ in range(200):
+        a = [rng.choice(words) for _ in range(rng.randrange(1, 25))]
+        b = [w for w in a if rng.random() > 0.1]
+        for _ in range(rng.randrange(0, 5)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice(words))
+        pairs.append((" ".join(a), " ".join(b) or "x"))
+    df = spark.createDataFrame(pairs, "norm string, norm2 string")
+    plain = df.where("levenshtein(norm, norm2) <= floor((1 - 0.8 + 1e-9) * greatest(char_length(norm), char_length(norm2)))")
+    kept = lines._alike(df, 0.8)
+    assert 0 < plain.count() < len(pairs)
+    assert sorted(map(tuple, kept.select("norm", "norm2").collect())) == sorted(map(tuple, plain.collect()))
+    # What pairs are compared by is worked out in one place of the plan, not again wherever it is named.
+    assert kept._jdf.queryExecution().executedPlan().toString().count("split(norm#") == 1
