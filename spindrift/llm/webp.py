@@ -1064,7 +1064,14 @@ def _argb(p: np.ndarray) -> np.ndarray:
     return p.reshape(-1, 4)[:, [2, 1, 0, 3]].copy().view("<u4")[:, 0]
 
 
-def _put_image(out: BitWriter, p: np.ndarray, o: Options, main: bool, matches: list[tuple[int, int, int]] | None = None) -> None:
+def _tokens_of(argb: np.ndarray, o: Options) -> tuple:
+    """(pixels, back-references, their prefixes, places outside of them, green symbols there)."""
+    matches = _matches(argb) if o.references else []
+    places = _outside(len(argb), matches)
+    return argb, matches, _prefixes(matches), places, _symbols(argb, places, o.cache_bits)
+
+
+def _put_image(out: BitWriter, p: np.ndarray, o: Options, main: bool, tokens: tuple | None = None) -> None:
     height, width, _ = p.shape
     n = width * height
     plain = not (o.entropy or o.common or o.references or o.cache_bits or o.groups) or not main
@@ -1091,18 +1098,14 @@ def _put_image(out: BitWriter, p: np.ndarray, o: Options, main: bool, matches: l
         if kept:  # the code of a byte is the byte, highest bit first
             out.put_bits(np.unpackbits(flat[:, kept].reshape(-1)))
         return
-    argb = _argb(p)
-    matches = [] if not o.references else _matches(argb) if matches is None else matches
-    places = _outside(n, matches)
-    symbols = _symbols(argb, places, cache_bits)
+    argb, matches, prefixes, places, symbols = tokens or _tokens_of(_argb(p), o)
     literal = symbols < 256
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     near = _near(width)
-    lengths = [_value_prefix(m) for _, m, _ in matches]
     far = [_value_prefix(near.get(d, d + 120)) for _, _, d in matches]
     if matches:
         at = np.array([m[0] for m in matches])
-        length_code, far_code = np.array(lengths), np.array(far)
+        length_code, far_code = prefixes[0], np.array(far)
         every, back = np.concatenate([places, at]), np.concatenate([symbols, 256 + length_code[:, 0]])
     else:
         every, back = places, symbols
@@ -1220,8 +1223,8 @@ def best(pixels: np.ndarray) -> Options:
     return _chosen(pixels)[0]
 
 
-def _chosen(pixels: np.ndarray) -> tuple[Options, np.ndarray, list[tuple], list[tuple[int, int, int]]]:
-    """(options, what their transforms leave, the transforms, back-references).
+def _chosen(pixels: np.ndarray) -> tuple[Options, np.ndarray, list[tuple], tuple | None]:
+    """(options, what their transforms leave, the transforms, the tokens as ``_tokens_of`` gives them).
 
     Transforms are compared where they may save: subtract-green and fitted cross-colour multipliers where channels go together
     (a fourth of the squares at least; a weaker fit saves less than a quarter of a bit), predictors where a fourth of the pixels
@@ -1255,13 +1258,14 @@ def _chosen(pixels: np.ndarray) -> tuple[Options, np.ndarray, list[tuple], list[
         places, prefixes = _outside(len(own), matches), _prefixes(matches)
         extra = 24 * colours if o.transforms == (PALETTE,) else 0
         for cache_bits in (0, CACHE_BITS):
-            by_own, by_common = _costs(own, places, _symbols(own, places, cache_bits), prefixes, cache_bits)
+            symbols = _symbols(own, places, cache_bits)
+            by_own, by_common = _costs(own, places, symbols, prefixes, cache_bits)
             for cost, entropy in ((by_common, False), (by_own + SAVED_BITS, True)):
                 if cost + extra < lowest:
                     lowest = cost + extra
-                    out = replace(o, entropy=entropy, common=not entropy, cache_bits=cache_bits, references=bool(matches)), q, described, matches
+                    out = replace(o, entropy=entropy, common=not entropy, cache_bits=cache_bits, references=bool(matches)), q, described, (own, matches, prefixes, places, symbols)
     flat = pixels.reshape(-1, 4)
-    return out if lowest < 8 * n * int((flat != flat[0]).any(0).sum()) + 1000 else (*plain, [])
+    return out if lowest < 8 * n * int((flat != flat[0]).any(0).sum()) + 1000 else (*plain, None)
 
 
 def encode_small(pixels: np.ndarray) -> bytes:
@@ -1311,7 +1315,7 @@ def encode(pixels: np.ndarray, options: Options = Options()) -> bytes:
     return _written(pixels, options, *_transformed(pixels, options), None)
 
 
-def _written(pixels: np.ndarray, options: Options, p: np.ndarray, described: list[tuple], matches: list[tuple[int, int, int]] | None) -> bytes:
+def _written(pixels: np.ndarray, options: Options, p: np.ndarray, described: list[tuple], tokens: tuple | None) -> bytes:
     height, width, _ = pixels.shape
     out = BitWriter()
     out.put(0x2F, 8)
@@ -1329,7 +1333,7 @@ def _written(pixels: np.ndarray, options: Options, p: np.ndarray, described: lis
             out.put(len(own) - 1, 8)
             _put_image(out, np.diff(own, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)[None], Options(), False)
     out.put(0, 1)
-    _put_image(out, p, options, True, matches)
+    _put_image(out, p, options, True, tokens)
     body = out.done()
     size = len(body)
     body += b"\0" * (size & 1)
