@@ -101,6 +101,16 @@ class Scratch:
                 delete_path(self.spark, at)
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` for a join whose sides are both shuffled, whatever size Spark takes them for.
+
+    Spark sizes an exploded table as one row for each row before, and a table of the
+    shared folder as its compressed files; by that it may collect tables on the driver
+    that are many times larger than its limit.
+    """
+    return df.hint("merge")
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and whole ``text`` (null: empty), without any other column whose name may clash."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, documents
+from .scratch import Scratch, documents, never_broadcast
 from .tokens import sliced
 
 RADIUS = 3
@@ -101,7 +101,7 @@ def fingerprint_groups(scratch: Scratch, distinct: DataFrame) -> DataFrame:
     plain = grouped.select("fp", "g", half.alias("h")).select("fp", "g", "h.half", "h.value")
     balls = plain.select(F.col("fp").alias("fp2"), F.col("g").alias("g2"), "half", _flips("value", 32).alias("value"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    met = plain.alias("p").join(balls.alias("b"), (F.col("p.half") == F.col("b.half")) & (F.col("p.value") == F.col("b.value")) & (F.col("g") < F.col("g2")) & (apart <= RADIUS))
+    met = plain.alias("p").join(never_broadcast(balls).alias("b"), (F.col("p.half") == F.col("b.half")) & (F.col("p.value") == F.col("b.value")) & (F.col("g") < F.col("g2")) & (apart <= RADIUS))
     links = met.select("g", "g2").distinct()
     merged = connected_components(scratch, links).withColumnRenamed("node", "g")
     return grouped.join(merged, "g", "left").select("fp", F.coalesce("component", "g").alias("group"))

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spindrift.llm import components, lines, repeats, simhash
 from spindrift.llm.scratch import Scratch
@@ -85,6 +86,22 @@ def test_ball_hashing_finds_every_distance(spark, distance):
     assert all(together) if distance <= 3 else not any(together)
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plan of every table that is written from now on, by its name."""
+    seen, stage = {}, Scratch.stage
+    monkeypatch.setattr(Scratch, "stage", lambda self, df, what: (seen.setdefault(what, []).append(df._jdf.queryExecution().executedPlan().toString()), stage(self, df, what))[1])
+    return seen
+
+
+def test_exploded_balls_are_not_broadcast(spark, plans):
+    """Spark takes the 33 variants of a half for one row, and would collect them all on the driver."""
+    fps = spark.range(200).select((F.xxhash64("id")).alias("fp"))
+    simhash.fingerprint_groups(Scratch(spark, "t"), fps)
+    met = [p for p in plans["links"] if "bit_count" in p]
+    assert len(met) == 1 and "SortMergeJoin" in met[0] and "Broadcast" not in met[0]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(300, 300), (301, None)]
