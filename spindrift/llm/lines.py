@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, unused
+from .scratch import Scratch, never_broadcast, unused
 
 DISTANCE = 3
 SIMILARITY = 0.8
@@ -198,10 +198,10 @@ def fuzzy_groups(scratch: Scratch, docs: DataFrame, distinct: DataFrame, similar
     filed = _filed(hubs)
     other = _filed(hubs).select(F.col("fp").alias("fp2"), F.col("slot").alias("slot2"))
     near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE) & _first_meeting()
-    met = scratch.stage(filed.join(other, (F.col("slot") == F.col("slot2")) & near).select("fp", "fp2"), "near")
+    met = scratch.stage(filed.join(never_broadcast(other), (F.col("slot") == F.col("slot2")) & near).select("fp", "fp2"), "near")
 
     near_fps = met.select("fp").unionByName(met.select(F.col("fp2").alias("fp"))).unionByName(hubs.where("n > 1").select("fp")).distinct()
-    members = scratch.stage(distinct.join(near_fps, "fp").select("fp", "n_chars", _node().alias("node")), "members")
+    members = scratch.stage(distinct.join(never_broadcast(near_fps), "fp").select("fp", "n_chars", _node().alias("node")), "members")
     if members.isEmpty():
         return members.select("node", F.col("node").alias("component"))
     by_doc = members.groupBy("node.doc_id").agg(F.collect_list("node").alias("want"))

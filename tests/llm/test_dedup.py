@@ -102,6 +102,14 @@ def test_exploded_balls_are_not_broadcast(spark, plans):
     assert len(met) == 1 and "SortMergeJoin" in met[0] and "Broadcast" not in met[0]
 
 
+def test_exploded_slots_are_not_broadcast(spark, plans):
+    docs = spark.createDataFrame([(k, f"some words of line {'abcdefghij'[k % 10]} here\nand again {'xyz'[k % 3]} of them all") for k in range(40)], "doc_id long, text string")
+    assert lines.dedup_lines(docs).count() == 40
+    for name in ("near", "members"):
+        (plan,) = plans[name]
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(300, 300), (301, None)]
