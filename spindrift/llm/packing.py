@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .scratch import Scratch, documents, partitions
+from .scratch import Scratch, documents, never_broadcast, partitions
 
 CAPACITY = 4096
 END_ID = 1
@@ -171,7 +171,7 @@ def place(scratch: Scratch, pieces: DataFrame, capacity: int = CAPACITY) -> Data
     table = slots(plan(histogram, capacity))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank").cast("long") + F.col("_before") - 1).drop("_salt", "_before")
+    ranked = ranked.join(never_broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_rank").cast("long") + F.col("_before") - 1).drop("_salt", "_before")
 
     length, first, times, base, offset = (table[c].to_numpy() for c in table)
     shift = np.int64(1) << 44  # ranks stay below 2^44

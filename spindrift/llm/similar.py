@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, documents, unused
+from .scratch import Scratch, documents, never_broadcast, unused
 from .simhash import SEED, fingerprint_groups, majority, shingle_hashes
 from .tokens import sliced
 
@@ -93,7 +93,7 @@ def similar_groups(scratch: Scratch, docs: DataFrame, distinct: DataFrame, words
     """(node, component) of the nodes that have a link."""
     filed = distinct.select("node", "n", F.explode("bands").alias("band"))
     hubs = filed.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
-    shared = scratch.stage(filed.join(hubs, "band").select("band", "node", "n", "hub"), "shared")
+    shared = scratch.stage(filed.join(never_broadcast(hubs), "band").select("band", "node", "n", "hub"), "shared")
     balls = fingerprint_groups(scratch, distinct.select("fp").distinct())
     balls = scratch.stage(distinct.select("node", "n", "fp").join(balls, "fp").select("node", "n", "group"), "balls")
     centres = balls.groupBy("group").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")

@@ -43,6 +43,15 @@ def test_near_dedup_links_at_similarity_alone(spark):
     assert [r.text for r in got if r.doc_id is None] == [texts[0]]
 
 
+def test_exploded_bands_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the twenty bands of a set for one row."""
+    plans, stage = {}, similar.Scratch.stage
+    monkeypatch.setattr(similar.Scratch, "stage", lambda self, df, what: (plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString()), stage(self, df, what))[1])
+    docs = spark.createDataFrame([(k, " ".join(f"w{k // 2 + j}" for j in range(30))) for k in range(20)], "doc_id long, text string")
+    assert similar.keep_one_similar(docs).count() > 0
+    assert "SortMergeJoin" in plans["shared"] and "Broadcast" not in plans["shared"]
+
+
 def test_rows_repeated_under_one_id(spark):
     t = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(2, t), (2, t), (1, "other"), (1, t + " x"), (3, t)], "doc_id int, text string")

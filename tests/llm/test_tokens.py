@@ -78,6 +78,12 @@ def test_pieces_and_places(spark, docs, plain):
         assert at <= 256
 
 
+def test_counts_of_lengths_are_not_broadcast(spark, docs):
+    """They are rows for each length and partition, in files of a byte or two a row."""
+    plan = packing.pack_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_empty_tables(spark, docs):
     nothing = docs.where("false")
     assert packing.pack_documents(nothing).count() == 0
