@@ -32,6 +32,8 @@ from .tokens import sliced
 
 TOP = 10
 BLOCK_DOCS, BLOCK_POSTINGS = 64, 1 << 17
+#: Blocks that a task unpacks at a time when it reads the index: some 60 bytes a posting, so 63 MB in full blocks.
+READ_BLOCKS = 8
 #: Queries searched at a time, and bytes of their text: what the driver and each worker hold of them.
 QUERIES, QUERY_BYTES = 1024, 4 << 20
 #: Blocks of each query that are scored before the threshold is raised; then all that pass it.
@@ -278,7 +280,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, block_docs: int =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ranked")
-    index = scratch.stage(index_documents(docs, block_docs, block_postings), "index")
+    index = scratch.stage(index_documents(docs, block_docs, block_postings), "index", READ_BLOCKS)
     parts = []
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for block in _query_blocks(items):

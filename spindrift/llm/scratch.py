@@ -86,10 +86,14 @@ class Scratch:
         self._n += 1
         return f"{self.base}/{self._n}-{what}"
 
-    def stage(self, df: DataFrame, what: str) -> DataFrame:
-        """Write ``df`` as a table of the shared folder and read it again."""
+    def stage(self, df: DataFrame, what: str, rows_at_once: int | None = None) -> DataFrame:
+        """Write ``df`` as a table of the shared folder and read it again.
+
+        ``rows_at_once`` is for tables of large rows: Spark's reader unpacks up to 4096 rows
+        of a row group at a time, however long their lists are, so row groups are cut there.
+        """
         at = self.path(what)
-        df.write.parquet(at)
+        (df.write.option("parquet.block.row.count.limit", rows_at_once) if rows_at_once else df.write).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._spindrift_path = at
         return out

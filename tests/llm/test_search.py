@@ -5,7 +5,9 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 import pytest
 from oracle import duck_rows, spark_rows
 
@@ -70,6 +72,18 @@ def test_search_prunes_blocks(spark):
     assert sum(b >= best[0].score for b in bounds.values()) == 1
 
 
+def test_few_blocks_are_unpacked_at_once(spark, monkeypatch):
+    """A task that reads the index holds all rows of a row group, up to 4096, in memory."""
+    kept, stage = [], ranked.Scratch.stage
+    monkeypatch.setattr(ranked.Scratch, "stage", lambda *args: (kept.append(stage(*args)), kept[-1])[1])
+    docs = spark.createDataFrame([(k, f"common word{k % 7}") for k in range(300)], "doc_id long, text string").coalesce(1)
+    assert ranked.search(docs, spark.createDataFrame([(1, "word3")], "item_id long, text string"), block_docs=4).count() == 10
+    (file,) = kept[0].inputFiles()  # the index
+    parts = pq.ParquetFile(urlparse(file).path).metadata
+    assert parts.num_rows == 75
+    assert max(parts.row_group(k).num_rows for k in range(parts.num_row_groups)) <= ranked.READ_BLOCKS
+
+
 def test_search_of_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a")], "item_id long, text string")
