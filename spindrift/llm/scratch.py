@@ -17,8 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of an Arrow batch on its way to a Python worker (a row at least).
-BATCH_BYTES = 8 << 20
+from ..sources.shared import small_batches
+
 _SHIPPED: set[str] = set()
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -38,16 +38,6 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ``BATCH_BYTES`` in this session: Spark's own 64 MB are held twice in the JVM and again in each Python worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, "64m").lower().removesuffix("b")
-    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    size = int(held[:-1]) * scale[held[-1]] if held[-1] in scale else int(held)
-    if size < 0 or size > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is configured (tests)."""
     sc = spark.sparkContext

@@ -19,9 +19,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import small_batches
 from .rng import MASK, jumps
 
 HELD = 1 << 20
@@ -142,6 +144,42 @@ def state_sums(x: np.ndarray, n: int, low: int, stride: int, offset: int, resamp
     return laps * before[-1] + over + (last - before[a] if rest else 0.0)
 
 
+def value_blocks(placed: DataFrame, keys: tuple[str, ...], parts: int) -> DataFrame:
+    """One row for each block ``_b`` of a group: its columns, and the values ``x`` in the order of ``i`` as ``_x``.
+
+    Rows come sorted and a task holds the numbers of one block: in an aggregation each value would be an object of its own, of up to 128 blocks at once.
+    """
+    same = [*keys, "_b"]
+    kept = [f for f in placed.schema if f.name not in ("i", "x")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["_x array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, key, held = None, "", []
+
+        def whole() -> pa.RecordBatch:
+            x = np.concatenate(held)
+            return pa.record_batch([*(head.column(f.name) for f in kept), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], names=[*(f.name for f in kept), "_x"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            marks = [pc.dictionary_encode(b.column(k), null_encoding="encode").indices.to_numpy() for k in same]
+            cuts = [0, *(np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1).tolist(), b.num_rows]
+            x = b.column("x").to_numpy()
+            for a, z in zip(cuts, cuts[1:]):
+                now = repr([b.column(k)[a].as_py() for k in same])
+                if head is not None and now != key:
+                    yield whole()
+                    head = None
+                if head is None:
+                    head, key, held = b.slice(a, 1), now, []
+                held.append(x[a:z].copy())
+        if head is not None:
+            yield whole()
+
+    return placed.repartition(parts, *same).sortWithinPartitions(*same, "i").mapInArrow(run, schema)
+
+
 def replicate_sums(values: DataFrame, resamples: int, seed: int, keys: tuple[str, ...], stride: Column, offset: Column, point: Column | None = None, held: int = HELD, dear: float = DEAR) -> DataFrame:
     """(keys, n, r, s): sums of the replicates of ``values`` (keys, i, n, x); ``x`` is never null.
 
@@ -150,15 +188,15 @@ def replicate_sums(values: DataFrame, resamples: int, seed: int, keys: tuple[str
     """
     column = F.lit(None).cast("double") if point is None else point.cast("double")
     placed = values.select(*keys, "i", "n", F.col("x").cast("double").alias("x"), (F.col("i") / held).cast("int").alias("_b"), stride.cast("long").alias("_stride"), offset.cast("long").alias("_offset"), column.alias("_point"))
-    first = lambda c: F.first(c).alias(c)
-    blocks = placed.groupBy(*keys, "_b").agg(first("n"), first("_stride"), first("_offset"), first("_point"), F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("_x"))
+    small_batches(values.sparkSession)  # a row of work holds up to ``held`` values
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = value_blocks(placed, keys, parts)
     step = F.greatest(F.lit(LEAST), F.lit(DRAWS) / F.col("n")).cast("int")
     # By draws or by states, whichever is less work; signs are not picks, and each block makes only its own.
     by_state = F.lit(point is None) & (F.col("n") * F.lit(float(resamples)) > F.lit(float(dear)) * F.size("_x") / F.col("n") * F.lit(MASK + 1.0))
     pieces = F.ceil(F.size("_x") / F.col("n") * F.lit(MASK + 1.0) / STATES).cast("int")
     first_ = F.when(by_state, F.sequence(F.lit(0), pieces - 1)).otherwise(F.sequence(F.lit(0), F.lit(resamples - 1), step))
     work = blocks.withColumn("_pieces", F.when(by_state, pieces)).withColumn("_r", F.explode(first_)).withColumn("_to", F.least(F.col("_r") + step, F.lit(resamples)))
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = work.repartition(parts, *keys, "_b", "_r")
     fields = [work.schema[k] for k in keys]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n long", "r int", "s double"])

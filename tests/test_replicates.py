@@ -90,3 +90,21 @@ def test_large_groups_cost_one_period(spark, monkeypatch):
     one = {r.r: r.s for r in replicates.replicate_sums(*args, held=3, dear=0.0).collect()}
     two = [replicates.drawn_sums(np.array(x[:3]), 4000, 0, 4000, 0, r, r + 1, 42, None)[0] for r in range(30)]
     assert sorted(one) == list(range(30)) and np.allclose([one[r] for r in range(30)], two)
+
+
+def test_blocks_are_cut_from_sorted_rows(spark):
+    """Blocks that begin and end anywhere in a batch, and a null key; no aggregation holds the values of its blocks as objects."""
+    rows = [(s, i, n, float(i * 3 % 11)) for s, n in (("p", 23), ("q", 5), (None, 31)) for i in range(n)]
+    values = spark.createDataFrame(rows, "server string, i long, n long, x double").repartition(3)
+    placed = values.withColumn("_b", F.floor(F.col("i") / 8).cast("int"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        got = {(r["server"], r["_b"]): (r["n"], r["_x"]) for r in replicates.value_blocks(placed, ("server",), 2).collect()}
+    finally:
+        spark.conf.set(key, before)
+    expect = {(s, b): (n, [float(i * 3 % 11) for i in range(8 * b, min(8 * b + 8, n))]) for s, n in (("p", 23), ("q", 5), (None, 31)) for b in range(-(-n // 8))}
+    assert got == expect
+    plan = replicates.replicate_sums(values, 5, 42, ("server",), F.col("n"), F.lit(0))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
